@@ -135,29 +135,24 @@ def date_range(
     return cond
 
 
-# --- period labels ------------------------------------------------------------
+# --- periods ------------------------------------------------------------------
 
 
-def _two(number: Column) -> Column:
-    return F.lpad(number.cast("string"), 2, "0")
+def period_number(ts: Column, kind: str) -> Column:
+    """Period of a UTC time as an integer, which is what facts are joined and grouped on.
 
-
-def period_label(ts: Column, kind: str) -> Column:
-    """Period of a UTC time.
-
-    ``month`` and ``year_week`` take the year from the local clock but the month or
-    ISO week from the UTC clock, as the reports do; ``month_local`` uses one clock.
+    ``month`` and ``year_week`` take the year from the local clock but the month or ISO week
+    from the UTC clock, as the reports do; ``month_local`` uses one clock.
     """
     local = to_local(ts)
     if kind == "month":
-        return F.concat(F.year(local).cast("string"), F.lit("-"), _two(F.month(ts)))
+        return F.year(local) * 100 + F.month(ts)
     if kind == "month_local":
-        return F.date_format(local, "yyyy-MM")
+        return F.year(local) * 100 + F.month(local)
     if kind == "iso_week":
-        year = F.extract(F.lit("YEAROFWEEK"), local).cast("string")
-        return F.concat(year, F.lit("-W"), _two(F.weekofyear(local)))
+        return F.extract(F.lit("YEAROFWEEK"), local) * 100 + F.weekofyear(local)
     if kind == "year_week":
-        return F.concat(F.year(local).cast("string"), F.lit("-"), _two(F.weekofyear(ts)))
+        return F.year(local) * 100 + F.weekofyear(ts)
     if kind == "month_no":
         return F.month(ts)
     if kind == "month_no_local":
@@ -165,6 +160,19 @@ def period_label(ts: Column, kind: str) -> Column:
     raise ValueError(f"unknown period kind {kind!r}")
 
 
+def period_text(number: Column, kind: str) -> Column:
+    """Label of a period number: 2021-05, 2020-W53, or the bare number of a month."""
+    if kind in ("month_no", "month_no_local"):
+        return number
+    dash = "-W" if kind == "iso_week" else "-"
+    year = F.floor(number / F.lit(100)).cast("string")
+    return F.concat(year, F.lit(dash), F.lpad((number % 100).cast("string"), 2, "0"))
+
+
+def with_period_text(df: DataFrame, kind: str) -> DataFrame:
+    return df.withColumn("period", period_text(F.col("period"), kind))
+
+
 def day_type(day: Column, holidays: tuple[str, ...], substitutes: tuple[str, ...]) -> Column:
     """Holiday, weekend or weekday; only Sundays and substitute days are weekend."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crewmetrics import config as C
-from crewmetrics.functions.text import like_any
+from crewmetrics.functions.text import in_list, like_any, lookup
 from crewmetrics.functions.timeops import Window, millis_between, minutes_between, with_shift
 
 SHIFT_KEYS = ("date", "shift", "worker_id")
@@ -20,19 +20,25 @@ GAP_CODES = (C.MEAL, C.LOGOUT)
 
 
 def activity_code(rules: C.ActivityRules) -> Column:
-    """First matching rule of the classifier as one CASE expression."""
-    code, app = F.col("activity_type_id"), F.col("application_name")
-    on_image = (F.coalesce(F.col("image_id"), F.lit(0)) > 0) & (
-        (F.col("login_type_id") == 0) | (code == 0)
-    )
-    case = F.when(on_image, C.IMAGE_PROCESSING).when(code.isin(*rules.direct_codes), code)
-    for category, patterns in rules.app_rules:
-        hit = like_any(app, patterns)
-        # A row without a code fails the guard: NULL <> 12 is unknown, not true.
-        case = case.when((code != C.MEAL_SOURCE_CODE) & hit if rules.guard_meal_code else hit, category)
+    """First matching rule of the classifier as one CASE expression.
+
+    A row without a code fails the guard: NULL <> 12 is unknown, not true.
+    """
+    guard = f"activity_type_id <> {C.MEAL_SOURCE_CODE} and " if rules.guard_meal_code else ""
+    branches = [
+        f"when coalesce(image_id, 0) > 0 and (login_type_id = 0 or activity_type_id = 0) "
+        f"then {C.IMAGE_PROCESSING}",
+        f"when {in_list('activity_type_id', rules.direct_codes)} then activity_type_id",
+        *[
+            f"when {guard}{like_any('application_name', patterns)} then {category}"
+            for category, patterns in rules.app_rules
+        ],
+    ]
     if rules.guard_meal_code:
-        case = case.when(code == C.MEAL_SOURCE_CODE, C.MEAL_REFERENCE)
-    return case.otherwise(rules.default).cast("int")
+        branches.append(
+            f"when activity_type_id = {C.MEAL_SOURCE_CODE} then {C.MEAL_REFERENCE}"
+        )
+    return F.expr(f"cast(case {' '.join(branches)} else {rules.default} end as int)")
 
 
 def classify_activity(
@@ -46,10 +52,10 @@ def classify_activity(
     )
 
 
-def with_activity_names(df: DataFrame, names: Mapping[int, str], how: str = "left") -> DataFrame:
+def with_activity_names(df: DataFrame, names: Mapping[int, str], keep_unnamed: bool = True) -> DataFrame:
     """Adds the display name of a code from the fixed dictionary."""
-    table = df.sparkSession.createDataFrame(list(names.items()), "code int, activity string")
-    return df.join(F.broadcast(table), "code", how)
+    named = df.withColumn("activity", F.expr(lookup("code", names)))
+    return named if keep_unnamed else named.filter(F.col("activity").isNotNull())
 
 
 # --- gaps ---------------------------------------------------------------------
@@ -188,18 +194,14 @@ def shift_times(events: DataFrame) -> DataFrame:
     )
 
 
-def rollup_codes(code: Column, rollups: Mapping[int, Sequence[int]], with_gaps: bool) -> Column:
+def rollup_codes(rollups: Mapping[int, Sequence[int]], with_gaps: bool) -> Column:
     """Array of the code itself and the roll-up codes it counts towards."""
-    own = F.array(code)
-    if not rollups:
-        return own
     members = [
-        F.when(
-            code.isin(*[m for m in listed if with_gaps or m not in GAP_CODES]), F.lit(target)
-        )
+        f"case when {in_list('code', [m for m in listed if with_gaps or m not in GAP_CODES])} "
+        f"then {target} end"
         for target, listed in rollups.items()
     ]
-    return F.concat(own, F.array_compact(F.array(*members)))
+    return F.expr(f"array_compact(array({', '.join(['code', *members])}))")
 
 
 def rollup_categories(
@@ -214,7 +216,7 @@ def rollup_categories(
     roll-up lists their codes. Fanning out the aggregate keeps the raw events single.
     """
     keys = [*SHIFT_KEYS, *extra_keys]
-    fanned = times.withColumn("code", F.explode(rollup_codes(F.col("code"), rollups, with_gaps)))
+    fanned = times.withColumn("code", F.explode(rollup_codes(rollups, with_gaps)))
     return fanned.groupBy(*keys, "code").agg(F.sum("ms").alias("ms"))
 
 
@@ -229,9 +231,7 @@ def working_time(
 
 
 def _is_normal(first: Column, last: Column, max_start_gap: int, min_end: int) -> Column:
-    start = F.to_timestamp_ntz(F.col("date").cast("string")) + F.make_dt_interval(
-        hours=F.col("shift") * F.lit(C.SHIFT_HOURS)
-    )
+    start = F.expr(f"cast(date as timestamp_ntz) + shift * interval '{C.SHIFT_HOURS}' hour")
     return (minutes_between(start, first) < max_start_gap) & (minutes_between(start, last) > min_end)
 
 

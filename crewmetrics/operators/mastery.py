@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from crewmetrics import config as C
 from crewmetrics.functions import numeric as N
-from crewmetrics.functions.text import like_none
-from crewmetrics.functions.timeops import local_since, ntz, period_label
+from crewmetrics.functions.text import like_none, lookup
+from crewmetrics.functions.timeops import local_since, ntz, period_number
 from crewmetrics.operators import ranking
 
 UNIT = ("image_id", "skill_id", "worker_id")
@@ -36,7 +36,7 @@ def step_facts(
         .select(
             *UNIT,
             "skill_name",
-            period_label(F.col("assign_at"), period).alias("period"),
+            period_number(F.col("assign_at"), period).alias("period"),
             "actual_s",
             "expected_ms",
         )
@@ -44,7 +44,7 @@ def step_facts(
 
 
 def named_workers(workers: DataFrame, blocks: Sequence[str] = C.MASTERY_NAME_BLOCKS) -> DataFrame:
-    return workers.filter(like_none(F.col("worker_name"), blocks)).select(
+    return workers.filter(like_none("worker_name", blocks)).select(
         "worker_id", "worker_name", "joined_date", "office_name"
     )
 
@@ -66,7 +66,7 @@ def period_rejections(
             "image_id",
             "skill_id",
             F.col("receiver_id").alias("worker_id"),
-            period_label(F.col("rejected_at"), period).alias("period"),
+            period_number(F.col("rejected_at"), period).alias("period"),
         )
         .distinct()
     )
@@ -145,19 +145,17 @@ def worker_skill_stats(
     )
 
 
-def min_volume(skill: Column, volume: C.MinVolume) -> Column:
-    """Minimum image count of a skill as a literal map lookup."""
+def min_volume(volume: C.MinVolume) -> Column:
+    """Minimum image count of ``skill_id`` as a literal map lookup."""
     if not volume.by_skill:
         return F.lit(volume.default)
-    pairs = [F.lit(x) for item in volume.by_skill.items() for x in item]
-    # A missing key of the map gives NULL, which takes the default.
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), skill), F.lit(volume.default))
+    return F.expr(f"coalesce({lookup('skill_id', volume.by_skill)}, {volume.default})")
 
 
 def efficiency_rank(stats: DataFrame, volume: C.MinVolume | None = None) -> DataFrame:
     """RANK by efficiency per skill and period, of all workers or those with enough images."""
     if volume is not None:
-        stats = stats.filter(F.col("img_count") >= min_volume(F.col("skill_id"), volume))
+        stats = stats.filter(F.col("img_count") >= min_volume(volume))
     placed = ranking.sort_once(stats, GROUP, ["efficiency", "worker_id"])
     return ranking.rank_rows(placed, GROUP, "efficiency", "efficiency_rank", "ranked_workers")
 

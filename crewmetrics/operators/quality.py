@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from crewmetrics import config as C
 from crewmetrics.functions import numeric as N
 from crewmetrics.functions.text import like_none
-from crewmetrics.functions.timeops import local_since, period_label, to_local
+from crewmetrics.functions.timeops import local_since, period_number, to_local
 
 IDS = ("skill_id", "worker_id", "customer_id", "template_name")
 
@@ -101,10 +101,10 @@ def step_performance(
         *extra,
     )
     skills = wh.skills.filter(
-        like_none(F.col("skill_name"), C.PERFORMANCE_SKILL_BLOCKS)
+        like_none("skill_name", C.PERFORMANCE_SKILL_BLOCKS)
     ).select("skill_id", "skill_name", "sort_order")
     workers = wh.workers.filter(
-        like_none(F.col("worker_name"), C.PERFORMANCE_NAME_BLOCKS)
+        like_none("worker_name", C.PERFORMANCE_NAME_BLOCKS)
     ).select("worker_id", "worker_name", "email", "employee_code", "office_name")
     templates = wh.templates.filter(F.col("is_deleted") != 1).select(
         "template_id", "template_name", "customer_id"
@@ -153,14 +153,14 @@ def template_monthly(
 ) -> DataFrame:
     """Images, rejection rates, hours and efficiency per month number and skill."""
     kept = wh.workers.filter(
-        like_none(F.col("worker_name"), C.TEMPLATE_NAME_BLOCKS)
+        like_none("worker_name", C.TEMPLATE_NAME_BLOCKS)
     ).select("worker_id")
     steps = wh.steps.filter(local_since("assign_at", since, strict=True)).filter(
-        (F.col("expected_ms") > 0) & like_none(F.col("skill_name"), C.TEMPLATE_SKILL_BLOCKS)
+        (F.col("expected_ms") > 0) & F.expr(like_none("skill_name", C.TEMPLATE_SKILL_BLOCKS))
     )
     if template_prefix is not None:
         steps = steps.filter(F.col("template_name").startswith(template_prefix))
-    steps = steps.withColumn("month", period_label(F.col("assign_at"), "month_no_local"))
+    steps = steps.withColumn("month", period_number(F.col("assign_at"), "month_no_local"))
     skill = ["skill_id", "skill_name"]
     units = images_per_key(steps, wh.images, ["month", *skill, "worker_id"]).join(
         kept, "worker_id", "left_semi"
@@ -180,7 +180,7 @@ def template_monthly(
     internal = F.col("receiver_id").isNotNull() & F.col("is_customer").isNull()
     rejected = (
         wh.rejections.groupBy(
-            "image_id", "skill_id", period_label(F.col("rejected_at"), "month_no").alias("month")
+            "image_id", "skill_id", period_number(F.col("rejected_at"), "month_no").alias("month")
         )
         .agg(
             F.count(F.when(internal, 1)).alias("internal"),

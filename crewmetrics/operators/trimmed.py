@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from crewmetrics import config as C
 from crewmetrics.functions import numeric as N
 from crewmetrics.functions.text import like_none
-from crewmetrics.functions.timeops import date_range, period_label
+from crewmetrics.functions.timeops import date_range, period_number
 from crewmetrics.operators import ranking
 
 GROUP = ("skill_id", "period")
@@ -62,14 +62,14 @@ def image_efficiency(
     name_blocks: Sequence[str] = C.TRIM_NAME_BLOCKS,
 ) -> DataFrame:
     """Actual over expected time of the steps of sole-worker images."""
-    kept = workers.filter(like_none(F.col("worker_name"), name_blocks)).select("worker_id")
+    kept = workers.filter(like_none("worker_name", name_blocks)).select("worker_id")
     return (
         steps.filter(dates.on("assign_at"))
         .filter((F.col("actual_ms") > 0) & (F.col("expected_ms") > 0))
         .join(sole, ["image_id", "skill_id", "worker_id"])
         .join(kept, "worker_id", "left_semi")
         .select(
-            period_label(F.col("assign_at"), period).alias("period"),
+            period_number(F.col("assign_at"), period).alias("period"),
             "skill_id",
             "skill_name",
             "worker_id",

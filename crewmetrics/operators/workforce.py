@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewmetrics import config as C
-from crewmetrics.functions.text import like_any, like_none
+from crewmetrics.functions.text import like_any, like_none, quoted
 from crewmetrics.functions.timeops import Window, shift_of_hour
 
 
@@ -18,14 +18,14 @@ def worker_cohort(workers: DataFrame, roles: DataFrame) -> DataFrame:
     A worker who holds the freelance role and another producing role keeps one row per
     group, so reports show that worker under both.
     """
-    name = F.col("worker_name")
-    kept = workers.filter(like_none(name, C.COHORT_NAME_BLOCKS, fold="lower")).select(
+    kept = workers.filter(like_none("worker_name", C.COHORT_NAME_BLOCKS, fold="lower")).select(
         "worker_id", "worker_name", "office_id"
     )
     producing = roles.filter(F.col("role_id").isin(*C.PRODUCING_ROLES))
+    bot = F.expr(like_any("worker_name", [("lower", p) for p in C.BOT_NAME_PATTERNS]))
     group = (
         F.when(F.col("role_id") == C.FREELANCE_ROLE, C.FREELANCE_GROUP)
-        .when(like_any(name, [("lower", p) for p in C.BOT_NAME_PATTERNS]), C.BOT_GROUP)
+        .when(bot, C.BOT_GROUP)
         .otherwise(F.col("office_id"))
     )
     return (
@@ -39,8 +39,8 @@ def office_labels(
     offices: DataFrame, prefixes: Sequence[tuple[int, str]] = C.OFFICE_PREFIXES
 ) -> DataFrame:
     """Label per group: fixed prefix and office name, from either side of a full join."""
-    spark = offices.sparkSession
-    fixed = spark.createDataFrame(list(prefixes), "group_id int, prefix string")
+    rows = ", ".join(f"({group}, {quoted(prefix)})" for group, prefix in prefixes)
+    fixed = offices.sparkSession.sql(f"select * from values {rows} as t(group_id, prefix)")
     named = offices.select(F.col("office_id").alias("group_id"), "office_name")
     label = F.concat(
         F.coalesce(F.col("prefix"), F.lit("")),

@@ -34,6 +34,7 @@ SINCE = dt.datetime(1995, 1, 1)
 EVERY_DAY = T.DateRange()
 # Minimum volumes that suit about a dozen steps per worker, skill and month.
 VOLUME = C.MinVolume({121: 3, 5: 4}, 2)
+PERIODS = ("month", "month_local", "iso_week", "year_week", "month_no")
 OFFICES = {"delta": "Delta Office", "metro": "Metro Office", "dock": "Dock Office"}
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,11 +213,10 @@ _add(
 _add(
     "period_labels",
     lambda wh: wh.plain_steps.groupBy(
-        *[
-            TO.period_label(F.col("assign_at"), kind).alias(kind)
-            for kind in ("month", "month_local", "iso_week", "year_week", "month_no")
-        ]
-    ).agg(F.count(F.lit(1)).alias("steps")),
+        *[TO.period_number(F.col("assign_at"), kind).alias(kind) for kind in PERIODS]
+    )
+    .agg(F.count(F.lit(1)).alias("steps"))
+    .select(*[TO.period_text(F.col(kind), kind).alias(kind) for kind in PERIODS], "steps"),
     with_views(f"""
 select {O.month('assign_at')} as month,
   strftime(assign_at + interval '7' hour, '%Y-%m') as month_local,
@@ -234,9 +234,13 @@ def _facts(wh):
     return R.mastery_inputs(wh, SINCE)
 
 
+def _labelled(df: DataFrame) -> DataFrame:
+    return TO.with_period_text(df, "month")
+
+
 _add(
     "skill_steps",
-    lambda wh: M.skill_steps(_facts(wh)[0], wh.workers),
+    lambda wh: _labelled(M.skill_steps(_facts(wh)[0], wh.workers)),
     with_views(f"with {_B} select * from facts"),
 )
 
@@ -247,15 +251,15 @@ def _named_rejections(wh) -> DataFrame:
     return rejected.join(office, "worker_id")
 
 
-_add("period_rejections", _named_rejections, with_views(f"with {_B} select * from rejected"))
+_add("period_rejections", lambda wh: _labelled(_named_rejections(wh)), with_views(f"with {_B} select * from rejected"))
 _add(
     "rejections_by_worker",
-    lambda wh: M.rejections_by_worker(_named_rejections(wh)),
+    lambda wh: _labelled(M.rejections_by_worker(_named_rejections(wh))),
     with_views(f"with {_B} select period, skill_id, worker_id, rej_img_count from rej_counts"),
 )
 _add(
     "rejections_by_office",
-    lambda wh: M.rejections_by_office(_facts(wh)[1], wh.workers, OFFICES),
+    lambda wh: _labelled(M.rejections_by_office(_facts(wh)[1], wh.workers, OFFICES)),
     with_views(f"""with {_B} select period, skill_id, count(image_id) as rej_img_count,
   count(case when office_name = 'Delta Office' then image_id end) as rej_img_count_delta,
   count(case when office_name = 'Metro Office' then image_id end) as rej_img_count_metro,
@@ -264,49 +268,49 @@ from rejected group by all"""),
 )
 _add(
     "accepted_steps",
-    lambda wh: M.skill_steps(M.accepted_steps(*_facts(wh)), wh.workers),
+    lambda wh: _labelled(M.skill_steps(M.accepted_steps(*_facts(wh)), wh.workers)),
     with_views(f"with {_B} select * from accepted"),
 )
 _add(
     "worker_skill_stats",
-    lambda wh: R.mastery_stats(wh, SINCE),
+    lambda wh: _labelled(R.mastery_stats(wh, SINCE)),
     with_views(f"with {_B} select * from stats"),
 )
 _add(
     "worker_skill_stats_all_workers",
-    lambda wh: R.mastery_stats(wh, SINCE, keep_zero_rejections=True),
+    lambda wh: _labelled(R.mastery_stats(wh, SINCE, keep_zero_rejections=True)),
     with_views(f"with {O.mastery_ctes(join='left join')} select * from stats"),
 )
 _add(
     "efficiency_rank",
-    lambda wh: M.efficiency_rank(R.mastery_stats(wh, SINCE)).drop("ranked_workers"),
+    lambda wh: _labelled(M.efficiency_rank(R.mastery_stats(wh, SINCE)).drop("ranked_workers")),
     with_views(f"with {_B} select * from everyone"),
 )
 _add(
     "efficiency_rank_min_volume",
-    lambda wh: M.efficiency_rank(R.mastery_stats(wh, SINCE), VOLUME),
+    lambda wh: _labelled(M.efficiency_rank(R.mastery_stats(wh, SINCE), VOLUME)),
     with_views(f"with {_B} select * from ranked"),
 )
 _add(
     "expert_quota",
-    lambda wh: M.expert_quota(
+    lambda wh: _labelled(M.expert_quota(
         M.efficiency_rank(R.mastery_stats(wh, SINCE), VOLUME), C.AVERAGE_RULE
-    ),
+    )),
     with_views(f"with {_B} select * from quota"),
 )
 _add(
     "zone_bounds_average",
-    lambda wh: M.zone_bounds(
+    lambda wh: _labelled(M.zone_bounds(
         M.efficiency_rank(R.mastery_stats(wh, SINCE), VOLUME), C.AVERAGE_RULE
-    ),
+    )),
     with_views(f"with {_B} {O.bounds_select('average')}"),
 )
 _add(
     "zone_bounds_boundary",
-    lambda wh: M.zone_bounds(
+    lambda wh: _labelled(M.zone_bounds(
         M.efficiency_rank(R.mastery_stats(wh, SINCE, efficiency_digits=4), VOLUME),
         C.BOUNDARY_RULE,
-    ),
+    )),
     with_views(f"with {O.mastery_ctes(digits=4)} {O.bounds_select('boundary')}"),
 )
 
@@ -351,7 +355,7 @@ _add(
 )
 _add(
     "trimmed_images",
-    lambda wh: T.trim_by_rank(R.ranked_images(wh, period="month")),
+    lambda wh: _labelled(T.trim_by_rank(R.ranked_images(wh, period="month"))),
     O.trimmed("select * from trimmed", O.month),
 )
 _add(
@@ -362,12 +366,12 @@ _add(
 )
 _add(
     "worker_efficiency",
-    lambda wh: R.ranked_workers(wh, period="month"),
+    lambda wh: _labelled(R.ranked_workers(wh, period="month")),
     O.trimmed("select * from ranked_workers", O.month),
 )
 _add(
     "level_quotas",
-    lambda wh: T.level_quotas(R.ranked_workers(wh, period="month")),
+    lambda wh: _labelled(T.level_quotas(R.ranked_workers(wh, period="month"))),
     O.trimmed("select * from quotas", O.month),
 )
 _FREE = {"free": True}

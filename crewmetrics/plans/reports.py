@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from crewmetrics import config as C
 from crewmetrics.functions import numeric as N
-from crewmetrics.functions.timeops import Window, day_type, shift_label
+from crewmetrics.functions.timeops import Window, day_type, shift_label, with_period_text
 from crewmetrics.operators import activity as A
 from crewmetrics.operators import mastery as M
 from crewmetrics.operators import trimmed as T
@@ -71,7 +71,7 @@ def report_worker_shift(
         P.office_labels(wh.offices), "group_id", "left"
     )
     registered = P.registered_shifts(wh.shift_reports, wh.workers, window)
-    named = A.with_activity_names(times, names, "left" if codes is None else "inner")
+    named = A.with_activity_names(times, names, keep_unnamed=codes is None)
     return (
         named.join(cohort, "worker_id")
         .join(people, "worker_id", "left")
@@ -123,7 +123,7 @@ def report_office_shift(
         .groupBy("date", "shift", "group_id", *team, "code", "is_normal")
         .agg(F.sum("ms").alias("ms"), F.count("worker_id").alias("worker_rows"))
     )
-    named = A.with_activity_names(summed, names, "left" if codes is None else "inner")
+    named = A.with_activity_names(summed, names, keep_unnamed=codes is None)
     return named.join(P.office_labels(wh.offices), "group_id", "left").select(
         "date",
         shift_label(F.col("shift"), labels).alias("shift"),
@@ -211,7 +211,7 @@ def report_mastery_zones(
 ) -> DataFrame:
     """Workers per skill and period with rank, zone bounds, distance and level."""
     stats = mastery_stats(wh, since, period, skills, rule.efficiency_digits)
-    return M.mastery_zones(stats, volume, rule, office_prefix)
+    return with_period_text(M.mastery_zones(stats, volume, rule, office_prefix), period)
 
 
 # --- trimmed efficiency -------------------------------------------------------
@@ -244,7 +244,8 @@ def _people(wh) -> DataFrame:
 
 
 def report_zone_boundaries(wh, dates=T.DateRange(), period: str = "month_no") -> DataFrame:
-    return T.zone_boundary_values(ranked_workers(wh, dates, period))
+    bounds = T.zone_boundary_values(ranked_workers(wh, dates, period))
+    return with_period_text(bounds, period)
 
 
 def _mean_seconds() -> Column:
@@ -254,8 +255,9 @@ def _mean_seconds() -> Column:
 
 def report_worker_levels(wh, dates=T.DateRange(), period: str = "month_no") -> DataFrame:
     """Level of every worker by quota, with images and efficiency."""
+    levels = T.worker_levels(ranked_workers(wh, dates, period))
     return (
-        T.worker_levels(ranked_workers(wh, dates, period))
+        with_period_text(levels, period)
         .join(_people(wh), "worker_id")
         .select(
             *T.KEYS,
@@ -277,7 +279,7 @@ def report_worker_efficiency(wh, dates=T.DateRange(), period: str = "year_week")
         return N.ratio(F.col(f"sum_{ms}_ms"), F.lit(N.MS_PER_SECOND)).alias(f"sum_{ms}_s")
 
     return (
-        ranked_workers(wh, dates, period)
+        with_period_text(ranked_workers(wh, dates, period), period)
         .join(_people(wh), "worker_id")
         .select(
             *T.KEYS,
@@ -308,7 +310,7 @@ def report_hours(
         F.sum("actual_ms").alias("actual_ms"),
         F.sum("expected_ms").alias("expected_ms"),
     )
-    return (
+    total = (
         work.join(_people(wh), "worker_id")
         .groupBy(*T.KEYS, *who)
         .agg(
@@ -317,6 +319,7 @@ def report_hours(
             N.round_half_up(N.hours(F.sum("expected_ms")), 2).alias("expected_hours"),
         )
     )
+    return with_period_text(total, period)
 
 
 def report_expert_bounds(
@@ -328,7 +331,8 @@ def report_expert_bounds(
 ) -> DataFrame:
     """Expert bound as average and as boundary value, per skill and period."""
     keys = ("period", "skill_name") if by_skill_name else T.KEYS
-    return T.expert_bounds(ranked_workers(wh, dates, period, name_blocks), keys)
+    bounds = T.expert_bounds(ranked_workers(wh, dates, period, name_blocks), keys)
+    return with_period_text(bounds, period)
 
 
 # --- paging -------------------------------------------------------------------

@@ -7,274 +7,231 @@ about the same at every scale factor.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from crewmetrics.sources.schemas import Warehouse
 
 # --- Fixed values of the adapters ---------------------------------------------
 
-OFFICE_IDS = (4, 2, 3, 8, 5)  # by region key
-OFFICE_NAMES = ("Delta Office", "Metro Office", "Borough Office", "Canal Office", "Dock Office")
-NAME_PREFIXES = {
-    3: "robot ",
-    5: "auto ",
-    12: "demo ",
-    13: "Test ",
-    17: "Crew Bot ",
-    21: "Freelance ",
-}  # by nation key
-SKILL_IDS = {"ECONOMY": 121, "LARGE": 5, "MEDIUM": 43, "PROMO": 10, "SMALL": 22, "STANDARD": 600}
-SKILL_ORDER = {"ECONOMY": 3, "LARGE": 1, "MEDIUM": 6, "PROMO": 2, "SMALL": 5, "STANDARD": 4}
-APPLICATIONS = (
-    "Adobe Photoshop CC",
-    "Google Chrome",
-    "Skype for Business",
-    "IDLE",
-    "Windows Explorer",
-    "Firefox",
-    "smoothXpath",
-    "Notepad++",
-    "Brave Browser",
-    "Solitaire",
-    None,
-)
-VIEW_CODES = (7, 0, 14, 3)
-CLICK_CODES = (12, 10, 5, 9, 0, 11)
-LOGOUT_REASONS = (1, 6, 7, None)
-TEMPLATE_KINDS = ("F", "O", "P")
-
-
-def _pick(index: Column, values: tuple, kind: str) -> Column:
-    return F.element_at(
-        F.array(*[F.lit(v).cast(kind) for v in values]), (index + 1).cast("int")
-    )
-
-
-def _lookup(key: Column, table: dict) -> Column:
-    case = None
-    for k, v in table.items():
-        case = F.when(key == k, v) if case is None else case.when(key == k, v)
-    return case
-
-
-def _minutes(n: Column) -> Column:
-    return F.make_dt_interval(mins=n.cast("int"))
+DRIVER_TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, "
+    "value double, props string",
+}
+OFFICE_ID = """case {key} when 0 then 4 when 1 then 2 when 2 then 3 when 3 then 8 when 4 then 5
+ end as office_id"""
+OFFICE_NAME = """case {key} when 0 then 'Delta Office' when 1 then 'Metro Office'
+ when 2 then 'Borough Office' when 3 then 'Canal Office' when 4 then 'Dock Office'
+ end as office_name"""
+WORKER_OFFICE = "c_nationkey div 5"
+NAME_PREFIX = """case c_nationkey when 3 then 'robot ' when 5 then 'auto ' when 12 then 'demo '
+ when 13 then 'Test ' when 17 then 'Crew Bot ' when 21 then 'Freelance ' else '' end"""
+SKILL_ID = """case p_type when 'ECONOMY' then 121 when 'LARGE' then 5 when 'MEDIUM' then 43
+ when 'PROMO' then 10 when 'SMALL' then 22 when 'STANDARD' then 600 end as skill_id"""
+SKILL_ORDER = """case p_type when 'ECONOMY' then 3 when 'LARGE' then 1 when 'MEDIUM' then 6
+ when 'PROMO' then 2 when 'SMALL' then 5 when 'STANDARD' then 4 end as sort_order"""
+ACTIVITY_TYPE = """case
+ when event_type = 'view' then case k % 4 when 0 then 7 when 1 then 0 when 2 then 14 else 3 end
+ when event_type = 'click' then case k % 6 when 0 then 12 when 1 then 10 when 2 then 5
+   when 3 then 9 when 4 then 0 else 11 end
+ when k >= 70 then 12 end as activity_type_id"""
+APPLICATION = """case whole % 11 when 0 then 'Adobe Photoshop CC' when 1 then 'Google Chrome'
+ when 2 then 'Skype for Business' when 3 then 'IDLE' when 4 then 'Windows Explorer'
+ when 5 then 'Firefox' when 6 then 'smoothXpath' when 7 then 'Notepad++'
+ when 8 then 'Brave Browser' when 9 then 'Solitaire' end as application_name"""
+LOGOUT_REASON = "case k % 4 when 0 then 1 when 1 then 6 when 2 then 7 end as reason_id"
 
 
 def driver_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """All relations over the parquet tables of one scale factor."""
 
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        # A declared schema spares the job that reads footers to infer one.
+        return spark.read.schema(DRIVER_TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
     def workers() -> DataFrame:
-        nation = table("nation").select("n_nationkey", "n_regionkey")
-        prefix = F.coalesce(_lookup(F.col("c_nationkey"), NAME_PREFIXES), F.lit(""))
-        segment = F.col("c_mktsegment")
-        return (
-            table("customer")
-            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-            .select(
-                F.col("c_custkey").alias("worker_id"),
-                F.concat(prefix, "c_name").alias("worker_name"),
-                _pick(F.col("n_regionkey"), OFFICE_IDS, "int").alias("office_id"),
-                F.col("c_nationkey").alias("planning_group_id"),
-                F.when(segment == "HOUSEHOLD", 1)
-                .when(segment != "BUILDING", 0)
-                .cast("int")
-                .alias("is_locked"),
-                F.concat(F.lit("E"), F.col("c_custkey").cast("string")).alias("employee_code"),
-                F.concat(
-                    F.lit("w"), F.col("c_custkey").cast("string"), F.lit("@example.com")
-                ).alias("email"),
-                _pick(F.col("n_regionkey"), OFFICE_NAMES, "string").alias("office_name"),
-                F.date_add(F.lit("2015-01-01").cast("date"), F.col("c_nationkey") * 30).alias(
-                    "joined_date"
-                ),
-            )
+        return table("customer").selectExpr(
+            "c_custkey as worker_id",
+            f"concat({NAME_PREFIX}, c_name) as worker_name",
+            OFFICE_ID.format(key=WORKER_OFFICE),
+            "c_nationkey as planning_group_id",
+            "case when c_mktsegment = 'HOUSEHOLD' then 1 when c_mktsegment <> 'BUILDING' "
+            "then 0 end as is_locked",
+            "concat('E', c_custkey) as employee_code",
+            "concat('w', c_custkey, '@example.com') as email",
+            OFFICE_NAME.format(key=WORKER_OFFICE),
+            "date_add(date '2015-01-01', c_nationkey * 30) as joined_date",
         )
 
     def worker_roles() -> DataFrame:
-        segment = F.col("c_mktsegment")
-        first = F.when(segment == "BUILDING", 33).when(segment == "MACHINERY", 5).otherwise(3)
-        second = F.when(segment == "FURNITURE", 8)
-        leader = F.when(F.col("c_acctbal") > 4000, 9)
-        held = F.array_compact(F.array(first, second, leader))
-        return table("customer").select(
-            F.col("c_custkey").alias("worker_id"), F.explode(held).alias("role_id")
+        held = """array_compact(array(
+          case c_mktsegment when 'BUILDING' then 33 when 'MACHINERY' then 5 else 3 end,
+          case when c_mktsegment = 'FURNITURE' then 8 end,
+          case when c_acctbal > 4000 then 9 end))"""
+        return table("customer").selectExpr(
+            "c_custkey as worker_id", f"explode({held}) as role_id"
         )
 
     def offices() -> DataFrame:
-        key = F.col("r_regionkey")
-        return table("region").select(
-            _pick(key, OFFICE_IDS, "int").alias("office_id"),
-            _pick(key, OFFICE_NAMES, "string").alias("office_name"),
+        return table("region").selectExpr(
+            OFFICE_ID.format(key="r_regionkey"), OFFICE_NAME.format(key="r_regionkey")
         )
 
-    def events(kinds: tuple[str, ...]) -> DataFrame:
+    def events(*kinds: str) -> DataFrame:
+        listed = ", ".join(f"'{k}'" for k in kinds)
         return (
             table("events")
-            .filter(F.col("event_type").isin(*kinds))
-            .withColumn("worker_id", F.expr("user_id div 10"))
-            .withColumn("k", F.regexp_extract("props", "[0-9]+", 0).cast("int"))
-            .withColumn("whole", F.floor("value"))
+            .filter(f"event_type in ({listed})")
+            .selectExpr(
+                "event_id",
+                "ts",
+                "event_type",
+                "value",
+                "user_id div 10 as worker_id",
+                "user_id div 100 as leader_id",
+                "cast(regexp_extract(props, '[0-9]+', 0) as int) as k",
+                "floor(value) as whole",
+            )
         )
 
     def activity_log() -> DataFrame:
-        k, kind = F.col("k"), F.col("event_type")
-        code = (
-            F.when(kind == "view", _pick(k % 4, VIEW_CODES, "int"))
-            .when(kind == "click", _pick(k % 6, CLICK_CODES, "int"))
-            .when(k >= 70, F.lit(12))
-        )
-        return events(("view", "click", "error")).select(
+        return events("view", "click", "error").selectExpr(
             "event_id",
             "worker_id",
-            F.when(k % 3 == 0, F.col("event_id")).when(k % 3 == 1, F.lit(0)).alias("image_id"),
-            (k % 2).alias("login_type_id"),
-            code.alias("activity_type_id"),
-            _pick(F.col("whole") % 11, APPLICATIONS, "string").alias("application_name"),
-            F.floor(F.col("value") * 1000).alias("runtime_ms"),
-            F.col("ts").alias("time_at"),
+            "case when k % 3 = 0 then event_id when k % 3 = 1 then 0 end as image_id",
+            "k % 2 as login_type_id",
+            ACTIVITY_TYPE,
+            APPLICATION,
+            "floor(value * 1000) as runtime_ms",
+            "ts as time_at",
         )
 
     def logout_requests() -> DataFrame:
-        return events(("signup",)).select(
-            "event_id",
-            "worker_id",
-            F.col("ts").alias("requested_at"),
-            _pick(F.col("k") % 4, LOGOUT_REASONS, "int").alias("reason_id"),
+        return events("signup").selectExpr(
+            "event_id", "worker_id", "ts as requested_at", LOGOUT_REASON
         )
 
     def meals() -> DataFrame:
-        return events(("purchase",)).select(
-            "event_id",
-            "worker_id",
-            F.col("ts").alias("start_at"),
-            (F.col("ts") + _minutes(F.col("whole"))).alias("finish_at"),
+        return events("purchase").selectExpr(
+            "event_id", "worker_id", "ts as start_at", "ts + whole * interval '1' minute as finish_at"
         )
 
     def shift_reports() -> DataFrame:
         # A report per end-of-shift logout, stamped with the local start of that shift.
-        clock = F.col("ts") + F.expr("interval '45' minute")
-        start_minute = F.floor(F.hour(clock) / 8) * 480 + 375
         return (
-            events(("signup",))
-            .filter(_pick(F.col("k") % 4, LOGOUT_REASONS, "int") == 6)
-            .select(
+            events("signup")
+            .selectExpr("*", LOGOUT_REASON, "ts + interval '45' minute as clock")
+            .filter("reason_id = 6")
+            .selectExpr(
                 "worker_id",
-                F.expr("user_id div 100").alias("leader_id"),
-                (F.to_date(clock).cast("timestamp_ntz") + _minutes(start_minute)).alias(
-                    "shift_start_local"
-                ),
+                "leader_id",
+                "cast(to_date(clock) as timestamp_ntz) "
+                "+ (hour(clock) div 8 * 480 + 375) * interval '1' minute as shift_start_local",
             )
         )
 
     def skills() -> DataFrame:
-        kind = F.col("p_type")
         return (
             table("part")
             .select("p_type")
             .distinct()
-            .select(
-                _lookup(kind, SKILL_IDS).cast("int").alias("skill_id"),
-                kind.alias("skill_name"),
-                F.when(kind == "STANDARD", 1).otherwise(0).alias("skill_kind_id"),
-                _lookup(kind, SKILL_ORDER).cast("int").alias("sort_order"),
+            .selectExpr(
+                SKILL_ID,
+                "p_type as skill_name",
+                "case when p_type = 'STANDARD' then 1 else 0 end as skill_kind_id",
+                SKILL_ORDER,
             )
         )
 
     def lines() -> DataFrame:
-        skill = table("part").select(
-            F.col("p_partkey").alias("l_partkey"),
-            _lookup(F.col("p_type"), SKILL_IDS).cast("int").alias("skill_id"),
-            F.col("p_type").alias("skill_name"),
-        )
-        hours = F.make_dt_interval(hours=F.col("l_linenumber") * 5)
-        return (
-            table("lineitem")
-            .join(skill, "l_partkey")
-            .withColumn("worker_id", F.expr("l_suppkey div 10"))
-            .withColumn("assign_at", F.col("l_shipdate") + hours)
+        skill = table("part").selectExpr("p_partkey as l_partkey", SKILL_ID, "p_type as skill_name")
+        return table("lineitem").join(skill, "l_partkey").selectExpr(
+            "*",
+            "l_suppkey div 10 as worker_id",
+            "l_shipdate + l_linenumber * interval '5' hour as assign_at",
         )
 
     def plain_steps() -> DataFrame:
-        net = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
-        actual = F.floor(net)
-        return lines().select(
-            F.col("l_orderkey").alias("image_id"),
-            F.col("l_linenumber").alias("line_no"),
-            F.col("l_partkey").alias("part_id"),
-            "skill_id",
-            "skill_name",
-            "worker_id",
-            "assign_at",
-            F.floor(actual / 1000).alias("actual_s"),
-            actual.alias("actual_ms"),
-            F.floor(F.col("l_quantity") * 1000).alias("expected_ms"),
+        return (
+            lines()
+            .selectExpr("*", "floor(l_extendedprice * (1 - l_discount) * (1 + l_tax)) as actual_ms")
+            .selectExpr(
+                "l_orderkey as image_id",
+                "l_linenumber as line_no",
+                "l_partkey as part_id",
+                "skill_id",
+                "skill_name",
+                "worker_id",
+                "assign_at",
+                "actual_ms div 1000 as actual_s",
+                "actual_ms",
+                "floor(l_quantity * 1000) as expected_ms",
+            )
         )
 
     def steps() -> DataFrame:
-        orders = table("orders").select(
-            F.col("o_orderkey").alias("image_id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.concat(F.lit("Template "), "o_orderstatus").alias("template_name"),
+        orders = table("orders").selectExpr(
+            "o_orderkey as image_id",
+            "o_custkey as customer_id",
+            "concat('Template ', o_orderstatus) as template_name",
         )
         return plain_steps().join(orders, "image_id")
 
     def rejections() -> DataFrame:
-        late = F.make_dt_interval(days=F.col("l_quantity").cast("int") % 9)
-        third = F.col("l_linenumber") % 3
         return (
             lines()
-            .filter(F.col("l_returnflag") == "R")
-            .select(
-                F.col("l_orderkey").alias("image_id"),
+            .filter("l_returnflag = 'R'")
+            .selectExpr(
+                "l_orderkey as image_id",
                 "skill_id",
-                F.when(F.col("l_partkey") % 11 != 0, F.col("worker_id")).alias("receiver_id"),
-                (F.col("assign_at") + late).alias("rejected_at"),
-                F.when(third == 0, 1).when(third == 1, 0).cast("int").alias("is_customer"),
+                "case when l_partkey % 11 <> 0 then worker_id end as receiver_id",
+                "assign_at + cast(l_quantity as int) % 9 * interval '1' day as rejected_at",
+                "case l_linenumber % 3 when 0 then 1 when 1 then 0 end as is_customer",
             )
         )
 
     def images() -> DataFrame:
-        return table("orders").select(F.col("o_orderkey").alias("image_id"))
+        return table("orders").selectExpr("o_orderkey as image_id")
 
     def customers() -> DataFrame:
-        return table("customer").select(
-            F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("company")
-        )
+        return table("customer").selectExpr("c_custkey as customer_id", "c_name as company")
 
     def templates() -> DataFrame:
-        kinds = F.posexplode(F.array(*[F.lit(x) for x in TEMPLATE_KINDS])).alias("pos", "kind")
         return (
             table("customer")
-            .select("c_custkey", "c_acctbal", kinds)
-            .select(
-                (F.col("c_custkey") * 3 + F.col("pos")).alias("template_id"),
-                F.concat(F.lit("Template "), "kind").alias("template_name"),
-                F.col("c_custkey").alias("customer_id"),
-                F.when((F.col("c_acctbal") < 0) & (F.col("kind") == "P"), 1)
-                .otherwise(0)
-                .alias("is_deleted"),
+            .selectExpr("c_custkey", "c_acctbal", "posexplode(array('F', 'O', 'P')) as (pos, kind)")
+            .selectExpr(
+                "c_custkey * 3 + pos as template_id",
+                "concat('Template ', kind) as template_name",
+                "c_custkey as customer_id",
+                "case when c_acctbal < 0 and kind = 'P' then 1 else 0 end as is_deleted",
             )
         )
 
     def work_reports() -> DataFrame:
-        return lines().select(
-            F.col("l_orderkey").alias("image_id"),
+        return lines().selectExpr(
+            "l_orderkey as image_id",
             "skill_id",
             "worker_id",
-            F.col("l_shipdate").alias("created_at"),
-            F.when(F.col("l_quantity") >= 3, 10).otherwise(5).alias("status_id"),
+            "l_shipdate as created_at",
+            "case when l_quantity >= 3 then 10 else 5 end as status_id",
         )
 
     def mask_quality() -> DataFrame:
-        return table("lineitem").select(
-            F.col("l_orderkey").alias("image_id"),
-            F.col("l_shipdate").alias("created_at"),
-            F.when(F.col("l_returnflag") == "N", "Bad").otherwise("Good").alias("grade"),
+        return table("lineitem").selectExpr(
+            "l_orderkey as image_id",
+            "l_shipdate as created_at",
+            "case when l_returnflag = 'N' then 'Bad' else 'Good' end as grade",
         )
 
     return Warehouse(

@@ -6,18 +6,18 @@ VIEWS = {
           (case c_nationkey when 3 then 'robot ' when 5 then 'auto ' when 12 then 'demo '
              when 13 then 'Test ' when 17 then 'Crew Bot ' when 21 then 'Freelance ' else '' end)
             || c_name as worker_name,
-          case n_regionkey when 0 then 4 when 1 then 2 when 2 then 3 when 3 then 8 when 4 then 5
+          case c_nationkey // 5 when 0 then 4 when 1 then 2 when 2 then 3 when 3 then 8 when 4 then 5
             end as office_id,
           c_nationkey as planning_group_id,
           case when c_mktsegment = 'HOUSEHOLD' then 1 when c_mktsegment <> 'BUILDING' then 0
             end as is_locked,
           'E' || cast(c_custkey as varchar) as employee_code,
           'w' || cast(c_custkey as varchar) || '@example.com' as email,
-          case n_regionkey when 0 then 'Delta Office' when 1 then 'Metro Office'
+          case c_nationkey // 5 when 0 then 'Delta Office' when 1 then 'Metro Office'
             when 2 then 'Borough Office' when 3 then 'Canal Office' when 4 then 'Dock Office'
             end as office_name,
           date '2015-01-01' + c_nationkey * 30 as joined_date
-        from customer join nation on n_nationkey = c_nationkey""",
+        from customer""",
     "worker_roles": """
         select c_custkey as worker_id, case c_mktsegment when 'BUILDING' then 33
             when 'MACHINERY' then 5 else 3 end as role_id from customer

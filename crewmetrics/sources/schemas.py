@@ -36,10 +36,11 @@ class Warehouse:
         self._builders = builders
 
     def __getattr__(self, name: str) -> DataFrame:
-        try:
-            return self._builders[name]()
-        except KeyError:
-            raise AttributeError(name) from None
+        if name.startswith("_") or name not in self._builders:
+            raise AttributeError(name)
+        relation = self._builders[name]()
+        setattr(self, name, relation)
+        return relation
 
 
 def read_warehouse(spark: SparkSession, root: str) -> Warehouse:
