@@ -10,6 +10,7 @@ import datetime as dt
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crewmetrics import config as C
@@ -54,11 +55,11 @@ def skill_steps(facts: DataFrame, workers: DataFrame) -> DataFrame:
     return facts.join(named_workers(workers), "worker_id")
 
 
-def period_rejections(
-    rejections: DataFrame, facts: DataFrame, since: dt.datetime, period: str = "month"
+def internal_rejections(
+    rejections: DataFrame, since: dt.datetime, period: str = "month"
 ) -> DataFrame:
-    """Distinct internal rejections that fall in the period the step was assigned in."""
-    rejected = (
+    """Rejections by colleagues with a receiver, labelled with the period they fall in."""
+    return (
         rejections.filter(F.col("rejected_at") >= ntz(since))
         .filter(F.coalesce(F.col("is_customer"), F.lit(0)) == 0)
         .filter(F.col("receiver_id").isNotNull())
@@ -68,10 +69,13 @@ def period_rejections(
             F.col("receiver_id").alias("worker_id"),
             period_number(F.col("rejected_at"), period).alias("period"),
         )
-        .distinct()
     )
+
+
+def period_rejections(internal: DataFrame, facts: DataFrame) -> DataFrame:
+    """Distinct internal rejections that fall in the period the step was assigned in."""
     keys = [*UNIT, "period"]
-    return facts.select(*keys).join(rejected, keys).distinct()
+    return facts.select(*keys).join(internal.distinct(), keys).distinct()
 
 
 def rejections_by_worker(rejected: DataFrame) -> DataFrame:
@@ -100,9 +104,30 @@ def accepted_steps(facts: DataFrame, rejected: DataFrame) -> DataFrame:
     return facts.join(rejected.select(*UNIT), list(UNIT), "left_anti")
 
 
+def rejection_units(facts: DataFrame, internal: DataFrame) -> DataFrame:
+    """Facts reduced to image, skill, worker and period, with their rejection state.
+
+    ``rejected`` says whether the unit was rejected in its own period, ``ever_rejected``
+    whether any period of the same image, skill and worker was. One join and one shuffle of
+    the facts give both; a group of the window holds one row per period.
+    """
+    periods = internal.groupBy(*UNIT).agg(F.collect_set("period").alias("_periods"))
+    hit = F.coalesce(F.array_contains("_periods", F.col("period")), F.lit(False))
+    units = (
+        facts.join(periods, list(UNIT), "left")
+        .groupBy(*UNIT, "skill_name", "period")
+        .agg(
+            F.count(F.lit(1)).alias("img_count"),
+            F.sum("actual_s").alias("actual_s"),
+            F.sum("expected_ms").alias("expected_ms"),
+            F.max(hit).alias("rejected"),
+        )
+    )
+    return units.withColumn("ever_rejected", F.max("rejected").over(W.partitionBy(*UNIT)))
+
+
 def worker_skill_stats(
-    facts: DataFrame,
-    rejected: DataFrame,
+    units: DataFrame,
     workers: DataFrame,
     efficiency_digits: int = 5,
     keep_zero_rejections: bool = False,
@@ -111,22 +136,22 @@ def worker_skill_stats(
 
     Workers without any rejection in the period are left out unless asked for.
     """
+    accepted = ~F.col("ever_rejected")
     work = (
-        accepted_steps(facts, rejected)
-        .groupBy(*WORKER_KEYS, "skill_name")
+        units.groupBy(*WORKER_KEYS, "skill_name")
         .agg(
-            F.count("image_id").alias("img_count"),
-            F.sum("actual_s").alias("sum_actual_s"),
-            F.sum("expected_ms").alias("sum_expected_ms"),
+            F.sum(F.when(accepted, F.col("img_count"))).alias("img_count"),
+            F.sum(F.when(accepted, F.col("actual_s"))).alias("sum_actual_s"),
+            F.sum(F.when(accepted, F.col("expected_ms"))).alias("sum_expected_ms"),
+            F.count(F.when(F.col("rejected"), 1)).alias("rej_img_count"),
         )
+        .filter(F.col("img_count") > 0)
     )
-    counts = rejections_by_worker(rejected)
-    joined = work.join(counts, list(WORKER_KEYS), "left" if keep_zero_rejections else "inner")
-    if keep_zero_rejections:
-        joined = joined.fillna(0, ["rej_img_count"])
+    if not keep_zero_rejections:
+        work = work.filter(F.col("rej_img_count") > 0)
     images, actual, expected = F.col("img_count"), F.col("sum_actual_s"), F.col("sum_expected_ms")
     rejects = F.col("rej_img_count")
-    return joined.join(named_workers(workers), "worker_id").select(
+    return work.join(named_workers(workers), "worker_id").select(
         *WORKER_KEYS,
         "skill_name",
         "worker_name",

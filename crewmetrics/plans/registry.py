@@ -231,7 +231,8 @@ _B = O.mastery_ctes()
 
 
 def _facts(wh):
-    return R.mastery_inputs(wh, SINCE)
+    facts, internal = R.mastery_inputs(wh, SINCE)
+    return facts, M.period_rejections(internal, facts)
 
 
 def _labelled(df: DataFrame) -> DataFrame:

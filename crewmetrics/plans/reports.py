@@ -181,9 +181,9 @@ def mastery_inputs(
     period: str = "month",
     skills: Sequence[int] = C.MASTERY_SKILLS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Step facts and the internal rejections of the same period."""
+    """Step facts and internal rejections."""
     facts = M.step_facts(wh.plain_steps, since, skills, period)
-    return facts, M.period_rejections(wh.rejections, facts, since, period)
+    return facts, M.internal_rejections(wh.rejections, since, period)
 
 
 def mastery_stats(
@@ -194,10 +194,8 @@ def mastery_stats(
     efficiency_digits: int = 5,
     keep_zero_rejections: bool = False,
 ) -> DataFrame:
-    facts, rejected = mastery_inputs(wh, since, period, skills)
-    return M.worker_skill_stats(
-        facts, rejected, wh.workers, efficiency_digits, keep_zero_rejections
-    )
+    units = M.rejection_units(*mastery_inputs(wh, since, period, skills))
+    return M.worker_skill_stats(units, wh.workers, efficiency_digits, keep_zero_rejections)
 
 
 def report_mastery_zones(
