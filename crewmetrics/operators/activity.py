@@ -79,17 +79,20 @@ def logout_gaps(
 ) -> DataFrame:
     """Time from a logout to the worker's next event of either kind.
 
-    The next event is looked up per worker and time slice, so one busy worker is spread
-    over many tasks. Each slice also gets the first event of the worker's next non-empty
-    slice, which is what a logout at the end of a slice has to see. The worker's last event
-    in the window has no successor and keeps a NULL duration.
+    The next event is looked up per worker and time slice, so one busy worker is spread over
+    many tasks. Only a logout that ends its slice has to look further: for it, the first
+    events of all slices of the worker are enough, at most two rows per slice. The worker's
+    last event in the window has no successor and keeps a NULL duration.
     """
     if window is not None:
         log = log.filter(window.utc("time_at"))
         logouts = logouts.filter(window.utc("requested_at"))
-    no_reason = F.lit(None).cast("int")
     events = log.select(
-        "worker_id", "time_at", F.lit(0).alias("kind"), "event_id", no_reason.alias("reason_id")
+        "worker_id",
+        "time_at",
+        F.lit(0).alias("kind"),
+        "event_id",
+        F.lit(None).cast("int").alias("reason_id"),
     ).unionByName(
         logouts.select(
             "worker_id",
@@ -100,29 +103,22 @@ def logout_gaps(
         )
     )
     seconds = F.unix_seconds(F.col("time_at").cast("timestamp"))
-    events = events.withColumn("slice", F.floor(seconds / F.lit(slice_seconds)))
-
-    # One row per worker and slice: small enough to look ahead over the whole window.
-    firsts = events.groupBy("worker_id", "slice").agg(F.min("time_at").alias("first_at"))
-    ahead = W.partitionBy("worker_id").orderBy("slice")
-    successors = (
-        firsts.withColumn("time_at", F.lead("first_at").over(ahead))
-        .filter(F.col("time_at").isNotNull())
-        .select(
-            "worker_id",
-            "time_at",
-            F.lit(2).alias("kind"),
-            F.lit(None).cast("long").alias("event_id"),
-            no_reason.alias("reason_id"),
-            "slice",
-        )
+    order = ["time_at", "kind", "event_id"]
+    in_slice = W.partitionBy("worker_id", "slice").orderBy(*order)
+    first, last = F.col("before").isNull(), F.col("after").isNull()
+    counted = F.col("reason_id").isNotNull() & (F.col("reason_id") != C.REASON_END_SHIFT)
+    near = (
+        events.withColumn("slice", F.floor(seconds / F.lit(slice_seconds)))
+        .withColumn("before", F.lag("kind").over(in_slice))
+        .withColumn("after", F.lead("time_at").over(in_slice))
+        .filter(first | counted)
+        .withColumn("edge", first | last)
     )
-    in_slice = W.partitionBy("worker_id", "slice").orderBy("time_at", "kind", "event_id")
+    # Edges of all slices of a worker together; the other logouts stay in their slice.
+    ahead = W.partitionBy("worker_id", F.when(~F.col("edge"), F.col("slice"))).orderBy(*order)
     return (
-        events.unionByName(successors)
-        .withColumn("next_at", F.lead("time_at").over(in_slice))
-        .filter((F.col("kind") == 1) & F.col("reason_id").isNotNull())
-        .filter(F.col("reason_id") != C.REASON_END_SHIFT)
+        near.withColumn("next_at", F.coalesce("after", F.lead("time_at").over(ahead)))
+        .filter(counted)
         .select(
             "event_id",
             "worker_id",

@@ -12,14 +12,16 @@ from crewmetrics.functions.text import like_any, like_none, quoted
 from crewmetrics.functions.timeops import Window, shift_of_hour
 
 
-def worker_cohort(workers: DataFrame, roles: DataFrame) -> DataFrame:
-    """Producing workers with their group.
+def worker_cohort(
+    workers: DataFrame, roles: DataFrame, attributes: Sequence[str] = ()
+) -> DataFrame:
+    """Producing workers with their group and, if asked, further attributes.
 
     A worker who holds the freelance role and another producing role keeps one row per
     group, so reports show that worker under both.
     """
     kept = workers.filter(like_none("worker_name", C.COHORT_NAME_BLOCKS, fold="lower")).select(
-        "worker_id", "worker_name", "office_id"
+        "worker_id", "worker_name", "office_id", *attributes
     )
     producing = roles.filter(F.col("role_id").isin(*C.PRODUCING_ROLES))
     bot = F.expr(like_any("worker_name", [("lower", p) for p in C.BOT_NAME_PATTERNS]))
@@ -30,7 +32,7 @@ def worker_cohort(workers: DataFrame, roles: DataFrame) -> DataFrame:
     )
     return (
         kept.join(producing, "worker_id")
-        .select("worker_id", "worker_name", group.cast("int").alias("group_id"))
+        .select("worker_id", "worker_name", group.cast("int").alias("group_id"), *attributes)
         .distinct()
     )
 

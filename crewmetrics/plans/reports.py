@@ -38,12 +38,22 @@ def shift_hours(
     return rolled if codes is None else rolled.filter(F.col("code").isin(*codes))
 
 
-def cohort_of(wh, groups: Sequence[int] | None, excluded: Sequence[int] = ()) -> DataFrame:
-    """Worker id and group of the reported workers, filtered before any join to facts."""
-    cohort = P.exclude_workers(P.worker_cohort(wh.workers, wh.worker_roles), excluded)
+def cohort_of(
+    wh,
+    groups: Sequence[int] | None,
+    excluded: Sequence[int] = (),
+    attributes: Sequence[str] = (),
+) -> DataFrame:
+    """The reported workers, filtered before any join to facts."""
+    cohort = P.worker_cohort(P.exclude_workers(wh.workers, excluded), wh.worker_roles, attributes)
     return cohort if groups is None else cohort.filter(F.col("group_id").isin(*groups))
 
 
+def with_team(cohort: DataFrame, wh) -> DataFrame:
+    teams = P.team_names(wh.workers, wh.worker_roles)
+    return cohort.join(teams, "planning_group_id", "left").drop("planning_group_id")
+
+
 def report_worker_shift(
     wh,
     window: Window,
@@ -61,20 +71,13 @@ def report_worker_shift(
     Several end-of-shift reports of one shift repeat its rows.
     """
     times = shift_hours(wh, window, rules, rollups, codes, min_end)
-    teams = P.team_names(wh.workers, wh.worker_roles)
-    people = (
-        wh.workers.select("worker_id", "planning_group_id")
-        .join(teams, "planning_group_id", "left")
-        .select("worker_id", "team")
-    )
-    cohort = cohort_of(wh, groups, excluded).join(
+    cohort = with_team(cohort_of(wh, groups, excluded, ["planning_group_id"]), wh).join(
         P.office_labels(wh.offices), "group_id", "left"
     )
     registered = P.registered_shifts(wh.shift_reports, wh.workers, window)
     named = A.with_activity_names(times, names, keep_unnamed=codes is None)
     return (
         named.join(cohort, "worker_id")
-        .join(people, "worker_id", "left")
         .join(registered, ["worker_id", "date", "shift"], "left")
         .select(
             "date",
@@ -107,17 +110,10 @@ def report_office_shift(
 ) -> DataFrame:
     """Hours and worker rows per shift, office (and team) and category."""
     times = shift_hours(wh, window, rules, rollups, codes, min_end)
-    cohort = cohort_of(wh, groups, excluded).select("worker_id", "group_id")
-    team = []
+    cohort = cohort_of(wh, groups, excluded, ["planning_group_id"])
+    team = ["team"] if by_team else []
     if by_team:
-        team = ["team"]
-        teams = P.team_names(wh.workers, wh.worker_roles)
-        people = wh.workers.select("worker_id", "planning_group_id")
-        cohort = (
-            cohort.join(people, "worker_id", "left")
-            .join(teams, "planning_group_id", "left")
-            .drop("planning_group_id")
-        )
+        cohort = with_team(cohort, wh)
     summed = (
         times.join(cohort, "worker_id")
         .groupBy("date", "shift", "group_id", *team, "code", "is_normal")
@@ -151,12 +147,12 @@ def report_daily_working_time(
     else:
         events = A.classify_activity(wh.activity_log, rules, window)
     times = A.working_time(events, codes, by_category=False)
-    cohort = cohort_of(wh, groups).join(P.office_labels(wh.offices), "group_id", "left")
-    people = wh.workers.select("worker_id", "employee_code")
+    cohort = cohort_of(wh, groups, attributes=["employee_code"]).join(
+        P.office_labels(wh.offices), "group_id", "left"
+    )
     registered = P.registered_shifts(wh.shift_reports, wh.workers, window)
     return (
         times.join(cohort, "worker_id")
-        .join(people, "worker_id", "left")
         .join(registered, ["worker_id", "date", "shift"], "left")
         .select(
             "date",
