@@ -10,6 +10,7 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crewmetrics import config as C
@@ -170,13 +171,7 @@ def template_monthly(
         F.sum("actual_ms").alias("actual_ms"),
         F.sum("expected_ms").alias("expected_ms"),
     )
-    work = per_image.groupBy("month", *skill).agg(
-        F.count(F.lit(1)).alias("img_count"),
-        F.sum("actual_ms").alias("actual_ms"),
-        F.sum("expected_ms").alias("expected_ms"),
-    )
-
-    # Rejections per image, skill and month, split by who rejected, before they meet steps.
+    # Rejections per image and skill: one entry per month number, split by who rejected.
     internal = F.col("receiver_id").isNotNull() & F.col("is_customer").isNull()
     rejected = (
         wh.rejections.groupBy(
@@ -187,25 +182,39 @@ def template_monthly(
             F.count(F.when(F.col("is_customer") == 1, 1)).alias("customer"),
         )
         .filter((F.col("internal") > 0) | (F.col("customer") > 0))
+        .groupBy("image_id", "skill_id")
+        .agg(F.collect_list(F.struct("month", "internal", "customer")).alias("rejected"))
+    )
+    joined = per_image.join(rejected, ["image_id", "skill_id"], "left")
+    if fan_out:
+        joined = joined.withColumn("times", F.col("steps"))
+    else:
+        first = F.min("month").over(W.partitionBy("image_id", "skill_id"))
+        joined = joined.withColumn("times", F.when(F.col("month") == first, 1).otherwise(0))
+    # Work counts in the month of assignment, a rejection in the month it was made; as rows
+    # of one relation both need a single pass over the steps.
+    rows = joined.select(
+        *skill,
+        F.expr("""inline(concat(
+          array(named_struct('month', month, 'images', 1L, 'actual_ms', actual_ms,
+            'expected_ms', expected_ms, 'internal', 0L, 'customer', 0L)),
+          transform(coalesce(rejected, array()), x -> named_struct('month', x.month,
+            'images', 0L, 'actual_ms', 0L, 'expected_ms', 0L,
+            'internal', x.internal * times, 'customer', x.customer * times))))"""),
     )
-    step_count = F.sum("steps") if fan_out else F.lit(1).cast("long")
-    done = per_image.groupBy("image_id", "skill_id").agg(step_count.alias("steps"))
-    counts = (
-        rejected.join(done, ["image_id", "skill_id"])
-        .groupBy("month", "skill_id")
+    work = (
+        rows.groupBy("month", *skill)
         .agg(
-            F.sum(F.col("steps") * F.col("internal")).alias("rej_count"),
-            F.sum(F.col("steps") * F.col("customer")).alias("cust_rej_count"),
-        )
-        .select(
-            "month",
-            "skill_id",
-            F.nullif(F.col("rej_count"), F.lit(0)).alias("rej_count"),
-            F.nullif(F.col("cust_rej_count"), F.lit(0)).alias("cust_rej_count"),
+            F.sum("images").alias("img_count"),
+            F.sum("actual_ms").alias("actual_ms"),
+            F.sum("expected_ms").alias("expected_ms"),
+            F.nullif(F.sum("internal"), F.lit(0)).alias("rej_count"),
+            F.nullif(F.sum("customer"), F.lit(0)).alias("cust_rej_count"),
         )
+        .filter(F.col("img_count") > 0)
     )
     images = F.col("img_count")
-    return work.join(counts, ["month", "skill_id"], "left").select(
+    return work.select(
         "month",
         "skill_name",
         "skill_id",
