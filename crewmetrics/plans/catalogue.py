@@ -23,14 +23,23 @@ from crewmetrics.plans import reports as R
 class Report:
     build: Callable[..., DataFrame]
     params: dict[str, Any] = field(default_factory=dict)
+    order: tuple[str, ...] = ()
 
 
-def _shift(build, months: int, anchor_day: int = 26, **params) -> Report:
+WORKER_ORDER = ("-date", "-shift", "team", "worker_id", "-is_normal", "activity")
+OFFICE_ORDER = ("-date", "-shift", "office", "-is_normal", "activity")
+TEAM_ORDER = ("-date", "-shift", "office", "team", "-is_normal", "activity")
+DAILY_ORDER = ("date", "shift", "worker_id")
+MASTERY_ORDER = ("worker_name", "skill_id", "period", "efficiency_rank")
+BOUND_ORDER = ("-period", "-efficiency")
+
+
+def _shift(build, months: int, anchor_day: int = 26, order=WORKER_ORDER, **params) -> Report:
     def make(wh, as_of: dt.date, **kw):
         window = pay_window(as_of, months, months_forward=1, anchor_day=anchor_day)
         return build(wh, kw.pop("window", window), **kw)
 
-    return Report(make, params)
+    return Report(make, params, order)
 
 
 def _daily(months: int, days_back: int = 0, **params) -> Report:
@@ -38,21 +47,23 @@ def _daily(months: int, days_back: int = 0, **params) -> Report:
         window = pay_window(as_of, months, days_back=days_back)
         return R.report_daily_working_time(wh, kw.pop("window", window), **kw)
 
-    return Report(make, params)
+    return Report(make, params, DAILY_ORDER)
 
 
-def _since(build, unit: str, n: int, **params) -> Report:
+def _since(build, unit: str, n: int, order=MASTERY_ORDER, **params) -> Report:
     def make(wh, as_of: dt.date, **kw):
         return build(wh, kw.pop("since", lookback(as_of, unit, n)), **kw)
 
-    return Report(make, params)
+    return Report(make, params, order)
 
 
-def _fixed(build, start: dt.date, end: dt.date, inclusive: bool, **params) -> Report:
+def _fixed(
+    build, start: dt.date, end: dt.date, inclusive: bool, order=("-period",), **params
+) -> Report:
     def make(wh, as_of: dt.date, **kw):
         return build(wh, kw.pop("dates", DateRange(start, end, inclusive)), **kw)
 
-    return Report(make, params)
+    return Report(make, params, order)
 
 
 def _mask(since: dt.datetime) -> Report:
@@ -61,14 +72,14 @@ def _mask(since: dt.datetime) -> Report:
             wh.mask_quality, wh.plain_steps, wh.rejections, **{"since": since, **kw}
         )
 
-    return Report(make)
+    return Report(make, order=("date", "grade"))
 
 
 def _templates(since: dt.datetime, **params) -> Report:
     def make(wh, as_of: dt.date, **kw):
         return Q.template_monthly(wh, kw.pop("since", since), **kw)
 
-    return Report(make, params)
+    return Report(make, params, ("-month", "-expected_hours"))
 
 
 WORKER, OFFICE = R.report_worker_shift, R.report_office_shift
@@ -99,21 +110,23 @@ CATALOGUE: dict[str, Report] = {
     "shift_office_ewt_12mo": _shift(
         OFFICE,
         12,
+        order=OFFICE_ORDER,
         codes=(7118,),
         rollups=C.ROLLUPS_EWT,
         names=C.ACTIVITY_NAMES_EWT,
         labels=C.SHIFT_LABELS_NS,
     ),
-    "shift_office_all_12mo": _shift(OFFICE, 12),
+    "shift_office_all_12mo": _shift(OFFICE, 12, order=OFFICE_ORDER),
     "shift_office_semi_12mo": _shift(
         OFFICE,
         12,
+        order=OFFICE_ORDER,
         rules=C.RULES_V2_14,
         names=C.ACTIVITY_NAMES_14_SUMMARY,
         min_end=455,
         **SEMI,
     ),
-    "shift_team_1mo": _shift(OFFICE, 1, groups=(2, 4), by_team=True),
+    "shift_team_1mo": _shift(OFFICE, 1, order=TEAM_ORDER, groups=(2, 4), by_team=True),
     # Daily working time per worker.
     "daily_ewt_2mo": _daily(2),
     "daily_ewt_12mo": _daily(12, days_back=360),
@@ -158,27 +171,40 @@ CATALOGUE: dict[str, Report] = {
         name_blocks=C.TRIM_NAME_BLOCKS,
     ),
     "trimmed_expert_bounds_month": _fixed(
-        R.report_expert_bounds, day(2020, 10, 1), day(2021, 12, 12), False
+        R.report_expert_bounds, day(2020, 10, 1), day(2021, 12, 12), False, BOUND_ORDER
     ),
     "trimmed_expert_bounds_week": _fixed(
-        R.report_expert_bounds, day(2020, 10, 1), day(2021, 12, 12), False, period="year_week"
+        R.report_expert_bounds,
+        day(2020, 10, 1),
+        day(2021, 12, 12),
+        False,
+        BOUND_ORDER,
+        period="year_week",
     ),
     "trimmed_expert_bounds_skill_name": _fixed(
         R.report_expert_bounds,
         day(2020, 10, 1),
         day(2021, 12, 12),
         False,
+        BOUND_ORDER,
         period="month_no",
         by_skill_name=True,
         name_blocks=C.TRIM_NAME_BLOCKS,
     ),
     # Customers, templates, masks.
     "template_images_24wk": _since(
-        Q.step_performance, "week", 24, template_prefix="Test template", by_image=True
+        Q.step_performance,
+        "week",
+        24,
+        ("sort_order",),
+        template_prefix="Test template",
+        by_image=True,
+    ),
+    "customer_images_24wk": _since(
+        Q.step_performance, "week", 24, ("-date",), by_image=True, clock="utc"
     ),
-    "customer_images_24wk": _since(Q.step_performance, "week", 24, by_image=True, clock="utc"),
     "customer_rejections_24wk": _since(
-        Q.step_performance, "week", 24, clock="local", with_rejections=True
+        Q.step_performance, "week", 24, ("-date",), clock="local", with_rejections=True
     ),
     "template_monthly": _templates(dt.datetime(2019, 3, 1), template_prefix="Test template"),
     "mask_quality_rate": _mask(dt.datetime(2019, 5, 24)),
@@ -188,3 +214,15 @@ CATALOGUE: dict[str, Report] = {
 def run(name: str, wh, as_of: dt.date, **overrides) -> DataFrame:
     report = CATALOGUE[name]
     return report.build(wh, as_of, **{**report.params, **overrides})
+
+
+def run_page(
+    name: str,
+    wh,
+    as_of: dt.date,
+    limit: int = R.PAGE_ROWS,
+    offset: int = 0,
+    **overrides,
+) -> DataFrame:
+    """One page of a report in its customary order."""
+    return R.page(run(name, wh, as_of, **overrides), CATALOGUE[name].order, limit, offset)

@@ -232,7 +232,7 @@ select t.date,
       then '3_Holiday' when t.date = date '2019-04-15' then '2_Weekend'
     when dayofweek(t.date) = 0 then '2_Weekend' else '1_Weekday' end as day_type,
   {shift_name()} as shift, case when r.shift is null then 0 else 1 end as is_registered,
-  w.worker_name, w.employee_code, coalesce(team_shift, '') as team, office,
+  t.worker_id, w.worker_name, w.employee_code, coalesce(team_shift, '') as team, office,
   cast(ms as double) / 3600000 as hours
 from timing t join cohort c on c.worker_id = t.worker_id
   left join workers w on w.worker_id = t.worker_id
@@ -558,3 +558,7 @@ select cast(g.created_at + interval '7' hour as date) as date, 'Good' as grade,
   count(distinct g.image_id) as img_count, count(r.receiver_id) as rej_count
 from good g {join} rejections r on r.image_id = g.image_id and r.skill_id = 121
 group by 1""")
+
+
+def paged(sql: str, order: str, limit: int, offset: int = 0) -> str:
+    return f"select * from ({sql}) order by {order} limit {limit} offset {offset}"

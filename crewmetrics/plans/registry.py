@@ -563,26 +563,29 @@ _add(
 
 _add(
     "page_two",
-    lambda wh: R.page(
-        A.working_time(A.classify_activity(wh.activity_log)),
-        [F.desc("date"), F.desc("shift"), "worker_id", "code"],
-        limit=200,
-        offset=200,
+    lambda wh: K.run_page("shift_worker_ewt_3mo", wh, SHIFT_DAY, limit=150, offset=150),
+    O.paged(
+        O.worker_shift("2023-10-25 23:15:00", SHIFT_END, C.EWT_CODES),
+        "date desc, shift desc, team, worker_id, is_normal desc, activity, office, team_shift, "
+        "worker_name, is_registered, hours",
+        150,
+        150,
     ),
-    with_views(
-        f"with {_SHIFTED} select date, shift, worker_id, code, cast(sum(runtime_ms) as bigint) as ms "
-        "from (select act.*, cast(time_at + interval '45' minute as date) as date, "
-        "cast(extract(hour from time_at + interval '45' minute) // 8 as int) as shift from act) "
-        "group by all order by date desc, shift desc, worker_id, code limit 200 offset 200"
+)
+_add(
+    "mastery_first_page",
+    lambda wh: K.run_page(
+        "mastery_month_boundary_1mo", wh, STEP_DAY, limit=1000, volume=VOLUME
+    ),
+    O.paged(
+        O.zones("boundary", since="1994-12-01", digits=4),
+        "worker_name, skill_id, period, efficiency_rank, worker_id",
+        1000,
     ),
 )
 _add(
     "top_rows",
-    lambda wh: R.page(
-        Q.mask_quality_rate(wh.mask_quality, wh.plain_steps, wh.rejections, since=SINCE),
-        ["date", "grade"],
-        limit=1000,
-    ),
+    lambda wh: K.run_page("mask_quality_rate", wh, STEP_DAY, limit=1000, since=SINCE),
     O.mask_rate("join") + " order by 1, 2 limit 1000",
 )
 _add(

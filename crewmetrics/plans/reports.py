@@ -159,6 +159,7 @@ def report_daily_working_time(
             day_type(F.col("date"), holidays, substitutes).alias("day_type"),
             shift_label(F.col("shift")).alias("shift"),
             F.coalesce(F.col("is_registered"), F.lit(0)).alias("is_registered"),
+            "worker_id",
             "worker_name",
             "employee_code",
             F.coalesce(F.col("team_shift"), F.lit("")).alias("team"),
@@ -335,9 +336,15 @@ PAGE_ROWS = 10_000
 
 
 def page(
-    df: DataFrame, order: Sequence[Column | str], limit: int = PAGE_ROWS, offset: int = 0
+    df: DataFrame, order: Sequence[str], limit: int = PAGE_ROWS, offset: int = 0
 ) -> DataFrame:
-    """One page of a report. The remaining columns break ties, so pages do not overlap."""
-    named = {c for c in order if isinstance(c, str)}
-    ordered = df.orderBy(*order, *[c for c in df.columns if c not in named])
-    return ordered.offset(offset).limit(limit)
+    """One page of a report, ordered by the named columns; ``-name`` sorts downwards.
+
+    NULLs count as the largest value. The other columns break ties, so pages do not overlap.
+    """
+    names = [o.lstrip("-") for o in order]
+    keys = [*order, *[c for c in df.columns if c not in names]]
+    sorted_by = [
+        F.desc_nulls_first(k[1:]) if k.startswith("-") else F.asc_nulls_last(k) for k in keys
+    ]
+    return df.orderBy(*sorted_by).offset(offset).limit(limit)
