@@ -188,3 +188,39 @@ def test_since_is_on_the_local_clock(spark):
     assert df.filter(local_since("at", dt.datetime(2021, 1, 1))).count() == 1
     assert df.filter(local_since("at", dt.datetime(2021, 1, 1), strict=True)).count() == 0
     assert df.filter(F.lit(True)).count() == 2
+
+
+def test_a_hot_unit_is_split_by_adaptive_execution(spread):
+    """One image, skill and worker with most of the rows does not stay in one task."""
+    spark = spread
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        ids = spark.range(0, 60_000, 1, 12)
+        key = F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id"))
+        facts = ids.select(
+            key.alias("image_id"), F.lit(1).alias("skill_id"), F.lit(1).cast("long").alias("worker_id"),
+            F.lit("s").alias("skill_name"), F.lit(202101).alias("period"),
+            F.col("id").alias("actual_s"), F.lit(1000).cast("long").alias("expected_ms"),
+        )
+        internal = ids.filter("id % 5 = 0").select(
+            "id", F.lit(1).alias("skill_id"), F.lit(1).cast("long").alias("worker_id"),
+            F.lit(202101).alias("period"),
+        ).withColumnRenamed("id", "image_id")
+        units = M.rejection_units(facts, internal)
+        assert units.agg(F.sum("img_count")).first()[0] == 60_000
+        rows = units.collect()
+        plan = units._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan
+        assert len(rows) == 20_000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
