@@ -70,8 +70,16 @@ _add(
 )
 _add(
     "office_labels",
-    lambda wh: P.office_labels(wh.offices),
-    with_views(f"with {O.LABELS} select * from labels_"),
+    lambda wh: P.office_labels(wh.offices)
+    .join(
+        P.worker_cohort(wh.workers, wh.worker_roles)
+        .groupBy("group_id")
+        .agg(F.count("worker_id").alias("members")),
+        "group_id",
+        "left",
+    ),
+    with_views(f"""with {O.LABELS}, {O.COHORT} select group_id, office, nullif(count(worker_id), 0)
+  as members from labels_ left join cohort using (group_id) group by group_id, office"""),
 )
 _add(
     "team_names",

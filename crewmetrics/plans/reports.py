@@ -19,8 +19,29 @@ from crewmetrics.operators import workforce as P
 # --- shift and working time ---------------------------------------------------
 
 
+# Worker ids that may be broadcast: at most 16 MB of longs as hashed rows.
+MAX_BROADCAST_WORKERS = 1_000_000
+
+
+def event_sources(
+    wh, cohort: DataFrame | None = None, limit: int = MAX_BROADCAST_WORKERS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Log, logouts and meals, narrowed to the reported workers before any shuffle.
+
+    The ids are counted first. Beyond the limit the sources stay as they are, and the join
+    of the aggregates with the cohort drops the other workers.
+    """
+    sources = (wh.activity_log, wh.logout_requests, wh.meals)
+    if cohort is None:
+        return sources
+    ids = cohort.select("worker_id").distinct()
+    if ids.limit(limit + 1).count() > limit:
+        return sources
+    return tuple(df.join(F.broadcast(ids), "worker_id", "left_semi") for df in sources)
+
+
 def shift_hours(
-    wh,
+    sources: tuple[DataFrame, DataFrame, DataFrame],
     window: Window,
     rules: C.ActivityRules = C.RULES_V2,
     rollups: Mapping[int, Sequence[int]] = C.ROLLUPS,
@@ -30,9 +51,7 @@ def shift_hours(
 ) -> DataFrame:
     """Milliseconds per shift, worker and category or roll-up, with the normal-shift flag."""
     durations = codes is None or rollup_gaps or any(c in A.GAP_CODES for c in codes)
-    events = A.timed_events(
-        wh.activity_log, wh.logout_requests, wh.meals, rules, window, durations
-    )
+    events = A.timed_events(*sources, rules, window, durations)
     flagged = A.with_normal_flag(A.shift_times(events), min_end=min_end)
     rolled = A.rollup_categories(flagged, rollups, ["is_normal"], rollup_gaps)
     return rolled if codes is None else rolled.filter(F.col("code").isin(*codes))
@@ -65,15 +84,16 @@ def report_worker_shift(
     min_end: int = 420,
     excluded: Sequence[int] = C.EXCLUDED_WORKERS,
     labels: tuple[str, ...] = C.SHIFT_LABELS,
+    rollup_gaps: bool = False,
 ) -> DataFrame:
     """Hours per shift, worker and category, with team and shift flags.
 
     Several end-of-shift reports of one shift repeat its rows.
     """
-    times = shift_hours(wh, window, rules, rollups, codes, min_end)
-    cohort = with_team(cohort_of(wh, groups, excluded, ["planning_group_id"]), wh).join(
-        P.office_labels(wh.offices), "group_id", "left"
-    )
+    cohort = cohort_of(wh, groups, excluded, ["planning_group_id"])
+    sources = event_sources(wh, cohort if groups else None)
+    times = shift_hours(sources, window, rules, rollups, codes, min_end, rollup_gaps)
+    cohort = with_team(cohort, wh).join(P.office_labels(wh.offices), "group_id", "left")
     registered = P.registered_shifts(wh.shift_reports, wh.workers, window)
     named = A.with_activity_names(times, names, keep_unnamed=codes is None)
     return (
@@ -107,10 +127,12 @@ def report_office_shift(
     excluded: Sequence[int] = C.EXCLUDED_WORKERS,
     labels: tuple[str, ...] = C.SHIFT_LABELS,
     by_team: bool = False,
+    rollup_gaps: bool = False,
 ) -> DataFrame:
     """Hours and worker rows per shift, office (and team) and category."""
-    times = shift_hours(wh, window, rules, rollups, codes, min_end)
     cohort = cohort_of(wh, groups, excluded, ["planning_group_id"])
+    sources = event_sources(wh, cohort if groups else None)
+    times = shift_hours(sources, window, rules, rollups, codes, min_end, rollup_gaps)
     team = ["team"] if by_team else []
     if by_team:
         cohort = with_team(cohort, wh)
@@ -142,14 +164,14 @@ def report_daily_working_time(
     substitutes: tuple[str, ...] = C.SUBSTITUTE_DAYS,
 ) -> DataFrame:
     """Hours of the chosen categories per shift and worker, with day type and report flag."""
+    cohort = cohort_of(wh, groups, attributes=["employee_code"])
+    sources = event_sources(wh, cohort if groups else None)
     if any(c in A.GAP_CODES for c in codes):
-        events = A.timed_events(wh.activity_log, wh.logout_requests, wh.meals, rules, window)
+        events = A.timed_events(*sources, rules, window)
     else:
-        events = A.classify_activity(wh.activity_log, rules, window)
+        events = A.classify_activity(sources[0], rules, window)
     times = A.working_time(events, codes, by_category=False)
-    cohort = cohort_of(wh, groups, attributes=["employee_code"]).join(
-        P.office_labels(wh.offices), "group_id", "left"
-    )
+    cohort = cohort.join(P.office_labels(wh.offices), "group_id", "left")
     registered = P.registered_shifts(wh.shift_reports, wh.workers, window)
     return (
         times.join(cohort, "worker_id")
