@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crewmetrics.llm import tokens
+from crewmetrics.llm import mixing, near_dups, pu_quality, quality_rules, suffixes, tokens, warc
 from crewmetrics.llm.common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -18,8 +18,44 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality_rules.report(table(spark, sf_dir, "documents"), trusted)
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_near_duplicates": op3_near_duplicates,
+    "op4_decontamination": op4_decontamination,
+    "op6_source_mix": op6_source_mix,
+    "op7_warc_round_trip": op7_warc_round_trip,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_near_duplicates": near_dups.ORACLE,
+    "op4_decontamination": suffixes.ORACLE,
+    "op6_source_mix": mixing.ORACLE,
+    "op7_warc_round_trip": warc.ORACLE,
+}
