@@ -341,6 +341,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``near_duplicates`` keeps: one doc_id of each component.
+
+    Only the ids of rows to be dropped are joined. Rows without a doc_id stay unless their text belongs to a named row.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    gone = scratch.save(found)
+    into = "gone"
+    while into in docs.columns:
+        into += "_"
+    return docs.join(gone.withColumnRenamed("doc_id", into), docs["doc_id"].eqNullSafe(F.col(into)), "left_anti")
+
+
 ORACLE = r"""
 with recursive d as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crewmetrics.llm import mixing, near_dups, pu_quality, quality_rules, suffixes, tokens, warc
+from crewmetrics.llm import html_text, language, licenses, mixing, near_dups, pu_quality, quality_rules, suffixes, tokens, warc
 from crewmetrics.llm.common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -31,6 +31,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,14 @@ def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,14 +60,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_decontamination": op4_decontamination,
+    "op5_license_scan": op5_license_scan,
     "op6_source_mix": op6_source_mix,
     "op7_warc_round_trip": op7_warc_round_trip,
+    "op8_language_id": op8_language_id,
+    "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {
     "op3_near_duplicates": near_dups.ORACLE,
     "op4_decontamination": suffixes.ORACLE,
+    "op5_license_scan": licenses.oracle(),
     "op6_source_mix": mixing.ORACLE,
     "op7_warc_round_trip": warc.ORACLE,
 }
