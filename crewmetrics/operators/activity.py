@@ -165,9 +165,23 @@ def timed_events(
     rules: C.ActivityRules = C.RULES_V2,
     window: Window | None = None,
     gap_durations: bool = True,
+    workers: DataFrame | None = None,
 ) -> DataFrame:
-    """Classified log events, logout gaps and meals as one relation."""
-    gaps = logout_gaps(log, logouts, window) if gap_durations else logout_marks(logouts, window)
+    """Classified log events, logout gaps and meals as one relation.
+
+    ``workers`` (worker_id) narrows what looks for the event after a logout to the workers asked
+    for; their events are the same with and without it, those of others lose their logouts.
+    """
+    if not gap_durations:
+        gaps = logout_marks(logouts, window)
+    elif workers is None:
+        gaps = logout_gaps(log, logouts, window)
+    else:
+        gaps = logout_gaps(
+            log.join(workers, "worker_id", "left_semi"),
+            logouts.join(workers, "worker_id", "left_semi"),
+            window,
+        )
     return (
         classify_activity(log, rules, window).unionByName(gaps).unionByName(meal_time(meals, window))
     )

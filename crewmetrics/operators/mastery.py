@@ -118,6 +118,7 @@ def rejection_units(facts: DataFrame, internal: DataFrame) -> DataFrame:
         .groupBy(*UNIT, "skill_name", "period")
         .agg(
             F.count(F.lit(1)).alias("img_count"),
+            F.count("actual_s").alias("timed"),
             F.sum("actual_s").alias("actual_s"),
             F.sum("expected_ms").alias("expected_ms"),
             F.max(hit).alias("rejected"),
@@ -134,13 +135,15 @@ def worker_skill_stats(
 ) -> DataFrame:
     """Accepted work per period, skill and worker with rejection rate and efficiency.
 
-    Workers without any rejection in the period are left out unless asked for.
+    Workers without any rejection in the period are left out unless asked for. Steps without an
+    actual time count as images but not in the mean of the times.
     """
     accepted = ~F.col("ever_rejected")
     work = (
         units.groupBy(*WORKER_KEYS, "skill_name")
         .agg(
             F.sum(F.when(accepted, F.col("img_count"))).alias("img_count"),
+            F.sum(F.when(accepted, F.col("timed"))).alias("_timed"),
             F.sum(F.when(accepted, F.col("actual_s"))).alias("sum_actual_s"),
             F.sum(F.when(accepted, F.col("expected_ms"))).alias("sum_expected_ms"),
             F.count(F.when(F.col("rejected"), 1)).alias("rej_img_count"),
@@ -157,7 +160,7 @@ def worker_skill_stats(
         "worker_name",
         "joined_date",
         "office_name",
-        N.round_half_up(N.ratio(actual, images), 2).alias("avg_actual_s"),
+        N.round_half_up(N.ratio(actual, F.col("_timed")), 2).alias("avg_actual_s"),
         N.round_half_up(N.ratio(expected, images * N.MS_PER_SECOND), 2).alias("avg_expected_s"),
         images,
         actual,
@@ -177,10 +180,14 @@ def min_volume(volume: C.MinVolume) -> Column:
     return F.expr(f"coalesce({lookup('skill_id', volume.by_skill)}, {volume.default})")
 
 
+def enough(volume: C.MinVolume) -> Column:
+    return F.col("img_count") >= min_volume(volume)
+
+
 def efficiency_rank(stats: DataFrame, volume: C.MinVolume | None = None) -> DataFrame:
     """RANK by efficiency per skill and period, of all workers or those with enough images."""
     if volume is not None:
-        stats = stats.filter(F.col("img_count") >= min_volume(volume))
+        stats = stats.filter(enough(volume))
     placed = ranking.sort_once(stats, GROUP, ["efficiency", "worker_id"])
     return ranking.rank_rows(placed, GROUP, "efficiency", "efficiency_rank", "ranked_workers")
 
@@ -242,11 +249,12 @@ def mastery_zones(
     """All ranked workers with the zone bounds of their skill, distance and level.
 
     Bounds come from the workers with enough images, levels are given to all. The stats
-    are computed once: the volume filter reads the written, ranked table.
+    are sorted and written once: those with enough images are numbered anew in the same order.
     """
     placed = ranking.sort_once(stats, GROUP, ["efficiency", "worker_id"])
     everyone = ranking.rank_rows(placed, GROUP, "efficiency", "efficiency_rank", "_size")
-    qualified = efficiency_rank(placed.drop(ranking.PART, ranking.POSITION), volume)
+    kept = ranking.keep_rows(placed, enough(volume))
+    qualified = ranking.rank_rows(kept, GROUP, "efficiency", "efficiency_rank", "ranked_workers")
     bounds = zone_bounds(qualified, rule).drop("skill_name")
     value = F.col("efficiency")
     gap = value.cast("decimal(20,5)") - F.col("mastery_bound").cast("decimal(20,5)")

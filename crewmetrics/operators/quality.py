@@ -92,28 +92,34 @@ def step_performance(
         join = multiply_by_rejections if fan_out else add_rejections
         per_image = join(per_image, wh.rejections)
 
-    keys = [*IDS, *times, *(["image_id"] if by_image else [])]
-    extra = [F.sum("rejections").alias("rej_count")] if with_rejections else []
-    work = per_image.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("img_count"),
-        F.sum("steps").alias("steps"),
-        F.sum("actual_ms").alias("actual_ms"),
-        F.sum("expected_ms").alias("expected_ms"),
-        *extra,
-    )
+    if by_image:  # the rows are one per image and key already
+        work = per_image.withColumn("img_count", F.lit(1).cast("long"))
+        if with_rejections:
+            work = work.withColumnRenamed("rejections", "rej_count")
+    else:
+        extra = [F.sum("rejections").alias("rej_count")] if with_rejections else []
+        work = per_image.groupBy(*IDS, *times).agg(
+            F.count(F.lit(1)).alias("img_count"),
+            F.sum("steps").alias("steps"),
+            F.sum("actual_ms").alias("actual_ms"),
+            F.sum("expected_ms").alias("expected_ms"),
+            *extra,
+        )
     skills = wh.skills.filter(
         like_none("skill_name", C.PERFORMANCE_SKILL_BLOCKS)
     ).select("skill_id", "skill_name", "sort_order")
     workers = wh.workers.filter(
         like_none("worker_name", C.PERFORMANCE_NAME_BLOCKS)
     ).select("worker_id", "worker_name", "email", "employee_code", "office_name")
-    templates = wh.templates.filter(F.col("is_deleted") != 1).select(
-        "template_id", "template_name", "customer_id"
+    # The large facts meet templates and customers together, in one join.
+    templates = (
+        wh.templates.filter(F.col("is_deleted") != 1)
+        .select("template_id", "template_name", "customer_id")
+        .join(wh.customers, "customer_id")
     )
     seconds = N.MS_PER_SECOND
     return (
         work.join(templates, ["template_name", "customer_id"])
-        .join(wh.customers, "customer_id")
         .join(workers, "worker_id")
         .join(skills, "skill_id")
         .select(

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,13 +22,31 @@ PART_BITS = 33
 def sort_once(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows in global (group, order) order, written once, with part and position.
 
-    ``order`` must end in tie-breakers that make it total, up to identical rows.
+    ``order`` must end in tie-breakers that make it total, up to identical rows. NULLs come last.
     """
-    placed = df.orderBy(*group, *order).withColumn(POSITION, F.monotonically_increasing_id())
+    keys = [F.asc_nulls_last(c) for c in (*group, *order)]
+    placed = df.orderBy(*keys).withColumn(POSITION, F.monotonically_increasing_id())
     # The id counts rows within a partition and holds the partition number above bit 33.
     return materialize(placed.withColumn(PART, F.shiftright(POSITION, PART_BITS)))
 
 
+def keep_rows(placed: DataFrame, condition: Column) -> DataFrame:
+    """The rows of ``sort_once`` output that meet the condition, with positions anew.
+
+    Rows are numbered within the part that one task wrote, so nothing is sorted or written again.
+    """
+    within = W.partitionBy(PART).orderBy(POSITION)
+    again = F.shiftleft(PART, PART_BITS) + F.row_number().over(within) - 1
+    return placed.filter(condition).withColumn(POSITION, again)
+
+
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys of which NULLs are equal; still an equi-join."""
+    other = right.select(*[F.col(c).alias(f"_{c}" if c in keys else c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    return left.join(other, same).drop(*[f"_{c}" for c in keys])
+
+
 def _starts(placed: DataFrame, group: Sequence[str], size: str) -> DataFrame:
     """What to add to a position to get the row number, and the group size.
 
@@ -56,7 +74,7 @@ def number_rows(
 
 def _number(rows: DataFrame, starts: DataFrame, group: Sequence[str], number: str) -> DataFrame:
     return (
-        rows.join(starts, [*group, PART])
+        join_same(rows, starts, [*group, PART])
         .withColumn(number, F.col(POSITION) + F.col("_shift"))
         .drop("_shift", POSITION, PART)
     )
@@ -69,11 +87,11 @@ def rank_rows(
     rank: str = "rank",
     size: str = "group_size",
 ) -> DataFrame:
-    """RANK over ``value`` within the group: ties share the number of their first row."""
+    """RANK over ``value`` within the group: ties share the number of their first row, NULLs are last."""
     first = (
         placed.groupBy(*group, value)
         .agg(F.min(POSITION).alias(POSITION))
         .withColumn(PART, F.shiftright(POSITION, PART_BITS))
     )
     ranks = _number(first, _starts(placed, group, size), group, rank)
-    return placed.drop(POSITION, PART).join(ranks, [*group, value])
+    return join_same(placed.drop(POSITION, PART), ranks, [*group, value])

@@ -6,9 +6,57 @@ rows without them.
 
 from __future__ import annotations
 
-from crewmetrics import config as C
 from crewmetrics.sources.oracle_views import with_views
 
+# Fixed values, written out here once more so that a slip in the engine's tables shows.
+ROLLUPS = {7116: (110, 10), 7117: (110, 10, 5)}
+ROLLUPS_EWT = {7116: (110, 10), 7117: (110, 10, 5), 7118: (110, 7, 10, 5, 9)}
+ROLLUPS_14 = {7116: (110, 10, 14), 7117: (110, 10, 14, 5)}
+ROLLUPS_PRODUCTION = {
+    7116: (110, 10, 14),
+    7117: (110, 10, 14, 5),
+    1111: (1, 411, 1312, 514, 310, 1001, 1091, 1092),
+    2222: (110, 7, 10, 14, 6, 5, 9),
+}
+EWT_CODES = (110, 7, 10, 5, 9)
+ALL_TIME_CODES = (110, 1, 7, 411, 1312, -1, 514, 10, 310, 1001, 1013, 6, 5, 9, 8, 1091, 1092)
+SHIFT_LABELS_NS = ("1_AM", "2_PM", "3_NS")
+NAMES = {
+    110: "1_IPT",
+    1: "2_Break",
+    7: "3_NoAssignedImage",
+    411: "4_Others_",
+    1312: "5_Browser_",
+    -1: "6_IDLE",
+    514: "7_Skype_",
+    10: "1__PostProcessingTime",
+    2: "9_TrainingMeetingTime",
+    3: "9_TrainingMeetingTime",
+    4: "9_TrainingMeetingTime",
+    310: "a_Explorer_",
+    1001: "b_WorkingTool_",
+    1013: "b_IDLE_",
+    6: "d_NoDownloadedImage",
+    5: "e_WorkingOnBrowser",
+    9: "f_WaitForDownloading",
+    8: "g_SystemErrorTime",
+    1091: "l_HaveMeal",
+    1093: "l_ref_HaveMeal",
+    1092: "l_Logout",
+    7116: "1__IPTAndPostProcessing",
+    7117: "1__IPTAndPostProcessingWorkOnBrowser",
+}
+NAMES_EWT = NAMES | {7118: "1__EWT"}
+NAMES_V1 = {code: name for code, name in NAMES.items() if code != 1093}
+NAMES_14 = NAMES | {10: "1__FullAutoPostProcessingTime", 14: "1__SemiAutoPostProcessingTime"}
+NAMES_14_SUMMARY = NAMES_14 | {14: "1__SemiPostProcessingTime"}
+NAMES_PRODUCTION = NAMES | {
+    10: "1__PostProcessingTime_full",
+    14: "1__PostProcessingTime_semi",
+    1111: "ProductionTime",
+    2222: "Non_ProductionTime",
+}
+
 
 def _in(values) -> str:
     return "(" + ", ".join(str(v) for v in values) + ")"
@@ -161,8 +209,8 @@ def worker_shift(
     end: str,
     codes=None,
     rule: str | None = None,
-    rollups: dict = C.ROLLUPS,
-    names: dict = C.ACTIVITY_NAMES,
+    rollups: dict = ROLLUPS,
+    names: dict = NAMES,
     min_end: int = 420,
     group: str = "(4)",
 ) -> str:
@@ -191,8 +239,8 @@ def office_shift(
     end: str,
     codes=None,
     rule: str | None = None,
-    rollups: dict = C.ROLLUPS,
-    names: dict = C.ACTIVITY_NAMES,
+    rollups: dict = ROLLUPS,
+    names: dict = NAMES,
     min_end: int = 420,
     group: str = "(4)",
     by_team: bool = False,
@@ -223,7 +271,7 @@ where group_id in {group} {wanted}""")
 
 def daily(start: str, end: str, codes, group: str = "(4)") -> str:
     return with_views(f"""
-with {activity(classifier(), start, end)}, {timed(C.ROLLUPS, start, end)}, {registered(start, end)},
+with {activity(classifier(), start, end)}, {timed(ROLLUPS, start, end)}, {registered(start, end)},
 {COHORT}, {LABELS},
 timing as (select date, shift, worker_id, cast(sum(runtime_ms) as bigint) as ms
   from shifted where code in {_in(codes)} group by date, shift, worker_id)
@@ -290,7 +338,7 @@ accepted as (
   where r.image_id is null),
 stats as (
   select a.period, a.skill_id, a.worker_id, skill_name, worker_name, joined_date, a.office_name,
-    {_rnd(_ratio('sum(actual_s)', 'count(*)'), 2)} as avg_actual_s,
+    {_rnd('avg(actual_s)', 2)} as avg_actual_s,
     {_rnd(_ratio('sum(expected_ms)', '(count(*) * 1000)'), 2)} as avg_expected_s,
     count(image_id) as img_count, cast(sum(actual_s) as bigint) as sum_actual_s,
     {_rnd(_ratio('sum(expected_ms)', '1000'), 2)} as sum_expected_s,
@@ -303,10 +351,10 @@ stats as (
   group by a.period, a.skill_id, a.worker_id, skill_name, worker_name, joined_date,
     a.office_name, rej_img_count),
 everyone as (
-  select *, rank() over (partition by skill_id, period order by efficiency) as efficiency_rank
+  select *, rank() over (partition by skill_id, period order by efficiency nulls last) as efficiency_rank
   from stats),
 ranked as (
-  select *, rank() over (partition by skill_id, period order by efficiency) as efficiency_rank,
+  select *, rank() over (partition by skill_id, period order by efficiency nulls last) as efficiency_rank,
     count(*) over (partition by skill_id, period) as ranked_workers
   from stats where img_count >= case skill_id when 121 then 3 when 5 then 4 else 2 end),
 quota as (
@@ -460,7 +508,11 @@ group by {keys}, expert_quota"""
 
 
 def performance(
-    by_image: bool = False, clock: str | None = None, rejected: str | None = None
+    by_image: bool = False,
+    clock: str | None = None,
+    rejected: str | None = None,
+    since: str | None = None,
+    only: str | None = None,
 ) -> str:
     at = {"utc": "s.assign_at", "local": "s.assign_at + interval '7' hour"}.get(clock)
     times = [f"cast({at} as date) as date", f"{at} as date_time"] if at else []
@@ -480,6 +532,8 @@ def performance(
         "sort_order",
     ]
     join, count = "", ""
+    more = f"and s.assign_at + interval '7' hour > timestamp '{since}'" if since else ""
+    more += f" and {only}" if only else ""
     if rejected == "fan_out":
         join = "left join rejections r on r.skill_id = s.skill_id and r.image_id = s.image_id"
         count = ", count(r.image_id) as rej_count"
@@ -507,7 +561,7 @@ from {source} join workers w on w.worker_id = s.worker_id
   join templates t on t.template_name = s.template_name and t.customer_id = s.customer_id
     and t.is_deleted <> 1
   join customers c on c.customer_id = s.customer_id {join}
-where k.skill_name not like 'QA G%' and worker_name not like 'auto%'
+where k.skill_name not like 'QA G%' and worker_name not like 'auto%' {more}
 group by all""")
 
 

@@ -115,7 +115,7 @@ _add(
         A.classify_activity(wh.activity_log, C.RULES_V2), C.ACTIVITY_NAMES
     ),
     with_views(
-        f"with {_ACT}, {O.names_table(C.ACTIVITY_NAMES)} "
+        f"with {_ACT}, {O.names_table(O.NAMES)} "
         "select * from act left join names_ using (code)"
     ),
 )
@@ -162,7 +162,7 @@ _add(
         C.ROLLUPS_PRODUCTION,
     ),
     with_views(
-        f"with {_ACT_SEMI}, {O.timed(C.ROLLUPS_PRODUCTION)} select date, shift, worker_id, code, "
+        f"with {_ACT_SEMI}, {O.timed(O.ROLLUPS_PRODUCTION)} select date, shift, worker_id, code, "
         "cast(sum(runtime_ms) as bigint) as ms from shifted group by all"
     ),
 )
@@ -220,7 +220,7 @@ _add(
 )
 _add(
     "period_labels",
-    lambda wh: wh.plain_steps.groupBy(
+    lambda wh: wh.steps.groupBy(
         *[TO.period_number(F.col("assign_at"), kind).alias(kind) for kind in PERIODS]
     )
     .agg(F.count(F.lit(1)).alias("steps"))
@@ -433,13 +433,13 @@ _report(
     "shift_worker_breaks_1mo",
     SHIFT_DAY,
     O.worker_shift(
-        "2023-12-25 23:15:00", SHIFT_END, (1, -1, 1013), O.classifier(1), names=C.ACTIVITY_NAMES_V1
+        "2023-12-25 23:15:00", SHIFT_END, (1, -1, 1013), O.classifier(1), names=O.NAMES_V1
     ),
 )
 _report(
     "shift_worker_ewt_3mo",
     SHIFT_DAY,
-    O.worker_shift("2023-10-25 23:15:00", SHIFT_END, C.EWT_CODES),
+    O.worker_shift("2023-10-25 23:15:00", SHIFT_END, O.EWT_CODES),
 )
 _report(
     "shift_worker_ipt_post_browser_4mo",
@@ -448,8 +448,8 @@ _report(
         "2023-09-25 23:15:00",
         SHIFT_END,
         (7117,),
-        rollups=C.ROLLUPS_14,
-        names=C.ACTIVITY_NAMES_14,
+        rollups=O.ROLLUPS_14,
+        names=O.NAMES_14,
     ),
 )
 _report(
@@ -460,8 +460,8 @@ _report(
         "2024-01-31 23:15:00",
         (1111, 2222),
         _SEMI_RULE,
-        C.ROLLUPS_PRODUCTION,
-        C.ACTIVITY_NAMES_PRODUCTION,
+        O.ROLLUPS_PRODUCTION,
+        O.NAMES_PRODUCTION,
         455,
     ),
 )
@@ -472,9 +472,9 @@ _report(
         "2023-01-25 23:15:00",
         SHIFT_END,
         (7118,),
-        rollups=C.ROLLUPS_EWT,
-        names=C.ACTIVITY_NAMES_EWT,
-        labels=C.SHIFT_LABELS_NS,
+        rollups=O.ROLLUPS_EWT,
+        names=O.NAMES_EWT,
+        labels=O.SHIFT_LABELS_NS,
     ),
 )
 _report("shift_office_all_12mo", SHIFT_DAY, O.office_shift("2023-01-25 23:15:00", SHIFT_END))
@@ -485,8 +485,8 @@ _report(
         "2023-01-25 23:15:00",
         SHIFT_END,
         rule=_SEMI_RULE,
-        rollups=C.ROLLUPS_14,
-        names=C.ACTIVITY_NAMES_14_SUMMARY,
+        rollups=O.ROLLUPS_14,
+        names=O.NAMES_14_SUMMARY,
         min_end=455,
     ),
 )
@@ -503,17 +503,17 @@ _add(
 )
 
 _report(
-    "daily_ewt_2mo", dt.date(2024, 2, 10), O.daily("2023-12-25 23:15:00", SHIFT_END, C.EWT_CODES)
+    "daily_ewt_2mo", dt.date(2024, 2, 10), O.daily("2023-12-25 23:15:00", SHIFT_END, O.EWT_CODES)
 )
 _report(
-    "daily_ewt_12mo", dt.date(2025, 2, 4), O.daily("2023-02-25 23:15:00", SHIFT_END, C.EWT_CODES)
+    "daily_ewt_12mo", dt.date(2025, 2, 4), O.daily("2023-02-25 23:15:00", SHIFT_END, O.EWT_CODES)
 )
 _JANUARY = ("2023-12-25 23:15:00", "2024-01-25 23:15:00")
 _report(
-    "daily_ewt_1mo_120_days_back", dt.date(2024, 5, 9), O.daily(*_JANUARY, C.EWT_CODES)
+    "daily_ewt_1mo_120_days_back", dt.date(2024, 5, 9), O.daily(*_JANUARY, O.EWT_CODES)
 )
 _report(
-    "daily_ewt_1mo_150_days_back", dt.date(2024, 6, 8), O.daily(*_JANUARY, C.EWT_CODES)
+    "daily_ewt_1mo_150_days_back", dt.date(2024, 6, 8), O.daily(*_JANUARY, O.EWT_CODES)
 )
 _report(
     "daily_ipt_post_2mo",
@@ -528,7 +528,37 @@ _report(
 _report(
     "daily_all_types_2mo",
     dt.date(2024, 2, 10),
-    O.daily("2023-12-25 23:15:00", SHIFT_END, C.ALL_TIME_CODES),
+    O.daily("2023-12-25 23:15:00", SHIFT_END, O.ALL_TIME_CODES),
+)
+
+# --- windows that cut -----------------------------------------------------------
+# The same reports with a bound inside the data, so that a wrong clock or bound shows.
+
+_add(
+    "mastery_month_average_cut",
+    lambda wh: K.run("mastery_month_average_12mo", wh, dt.date(1998, 3, 10), volume=VOLUME),
+    O.zones("average", since="1997-03-01", office="D"),
+)
+_add(
+    "mastery_week_boundary_cut",
+    lambda wh: K.run("mastery_week_boundary_20wk", wh, dt.date(1998, 7, 1), volume=VOLUME),
+    O.zones("boundary", since="1998-02-09", **_WEEK),
+)
+_CUT_START = "2024-01-25 23:15:00"
+_add(
+    "shift_worker_ewt_cut",
+    lambda wh: K.run("shift_worker_ewt_3mo", wh, dt.date(2024, 4, 15)),
+    O.worker_shift(_CUT_START, "2024-05-25 23:15:00", O.EWT_CODES),
+)
+_add(
+    "shift_worker_all_cut",
+    lambda wh: K.run("shift_worker_ewt_3mo", wh, dt.date(2024, 4, 15), groups=None, codes=None),
+    O.worker_shift(_CUT_START, "2024-05-25 23:15:00", group="(2, 3, 4, 5, 8, 998, 999)"),
+)
+_add(
+    "daily_all_types_cut",
+    lambda wh: K.run("daily_all_types_2mo", wh, dt.date(2024, 3, 10)),
+    O.daily(_CUT_START, "2024-03-25 23:15:00", O.ALL_TIME_CODES),
 )
 
 # --- customers, templates, masks ----------------------------------------------
@@ -538,6 +568,21 @@ _report("customer_images_24wk", STEP_DAY, O.performance(by_image=True, clock="ut
 _report(
     "customer_rejections_24wk", STEP_DAY, O.performance(clock="local", rejected="fan_out")
 )
+_add(
+    "customer_images_cut",
+    lambda wh: K.run("customer_images_24wk", wh, dt.date(1998, 6, 10)),
+    O.performance(by_image=True, clock="utc", since="1997-12-22"),
+)
+_add(
+    "customer_images_one",
+    lambda wh: K.run("customer_images_24wk", wh, STEP_DAY, customer_id=7),
+    O.performance(by_image=True, clock="utc", only="s.customer_id = 7"),
+)
+_add(
+    "customer_rejections_one_skill",
+    lambda wh: K.run("customer_rejections_24wk", wh, STEP_DAY, skill="LARGE"),
+    O.performance(clock="local", rejected="fan_out", only="k.skill_name = 'LARGE'"),
+)
 _add(
     "customer_rejections_single_count",
     lambda wh: K.run("customer_rejections_24wk", wh, STEP_DAY, fan_out=False),
@@ -573,7 +618,7 @@ _add(
     "page_two",
     lambda wh: K.run_page("shift_worker_ewt_3mo", wh, SHIFT_DAY, limit=150, offset=150),
     O.paged(
-        O.worker_shift("2023-10-25 23:15:00", SHIFT_END, C.EWT_CODES),
+        O.worker_shift("2023-10-25 23:15:00", SHIFT_END, O.EWT_CODES),
         "date desc, shift desc, team, worker_id, is_normal desc, activity, office, team_shift, "
         "worker_name, is_registered, hours",
         150,
@@ -593,8 +638,8 @@ _add(
 )
 _add(
     "top_rows",
-    lambda wh: K.run_page("mask_quality_rate", wh, STEP_DAY, limit=1000, since=SINCE),
-    O.mask_rate("join") + " order by 1, 2 limit 1000",
+    lambda wh: K.run_page("mask_quality_rate", wh, STEP_DAY, limit=300, since=SINCE),
+    O.mask_rate("join") + " order by 1, 2 limit 300",
 )
 _add(
     "working_hours_by_office",

@@ -19,39 +19,31 @@ from crewmetrics.operators import workforce as P
 # --- shift and working time ---------------------------------------------------
 
 
-# Worker ids that may be broadcast: at most 16 MB of longs as hashed rows.
-MAX_BROADCAST_WORKERS = 1_000_000
+def _events(wh) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return wh.activity_log, wh.logout_requests, wh.meals
 
 
-def event_sources(
-    wh, cohort: DataFrame | None = None, limit: int = MAX_BROADCAST_WORKERS
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Log, logouts and meals, narrowed to the reported workers before any shuffle.
-
-    The ids are counted first. Beyond the limit the sources stay as they are, and the join
-    of the aggregates with the cohort drops the other workers.
-    """
-    sources = (wh.activity_log, wh.logout_requests, wh.meals)
-    if cohort is None:
-        return sources
-    ids = cohort.select("worker_id").distinct()
-    if ids.limit(limit + 1).count() > limit:
-        return sources
-    return tuple(df.join(F.broadcast(ids), "worker_id", "left_semi") for df in sources)
+def _ids(cohort: DataFrame | None) -> DataFrame | None:
+    return None if cohort is None else cohort.select("worker_id")
 
 
 def shift_hours(
-    sources: tuple[DataFrame, DataFrame, DataFrame],
+    wh,
     window: Window,
+    cohort: DataFrame | None = None,
     rules: C.ActivityRules = C.RULES_V2,
     rollups: Mapping[int, Sequence[int]] = C.ROLLUPS,
     codes: Sequence[int] | None = None,
     min_end: int = 420,
     rollup_gaps: bool = False,
 ) -> DataFrame:
-    """Milliseconds per shift, worker and category or roll-up, with the normal-shift flag."""
+    """Milliseconds per shift, worker and category or roll-up, with the normal-shift flag.
+
+    Only the look-ahead for logout times, which shuffles raw events, is narrowed to ``cohort``; the join of
+    the aggregates drops the other workers.
+    """
     durations = codes is None or rollup_gaps or any(c in A.GAP_CODES for c in codes)
-    events = A.timed_events(*sources, rules, window, durations)
+    events = A.timed_events(*_events(wh), rules, window, durations, _ids(cohort))
     flagged = A.with_normal_flag(A.shift_times(events), min_end=min_end)
     rolled = A.rollup_categories(flagged, rollups, ["is_normal"], rollup_gaps)
     return rolled if codes is None else rolled.filter(F.col("code").isin(*codes))
@@ -91,8 +83,7 @@ def report_worker_shift(
     Several end-of-shift reports of one shift repeat its rows.
     """
     cohort = cohort_of(wh, groups, excluded, ["planning_group_id"])
-    sources = event_sources(wh, cohort if groups else None)
-    times = shift_hours(sources, window, rules, rollups, codes, min_end, rollup_gaps)
+    times = shift_hours(wh, window, cohort if groups else None, rules, rollups, codes, min_end, rollup_gaps)
     cohort = with_team(cohort, wh).join(P.office_labels(wh.offices), "group_id", "left")
     registered = P.registered_shifts(wh.shift_reports, wh.workers, window)
     named = A.with_activity_names(times, names, keep_unnamed=codes is None)
@@ -131,8 +122,7 @@ def report_office_shift(
 ) -> DataFrame:
     """Hours and worker rows per shift, office (and team) and category."""
     cohort = cohort_of(wh, groups, excluded, ["planning_group_id"])
-    sources = event_sources(wh, cohort if groups else None)
-    times = shift_hours(sources, window, rules, rollups, codes, min_end, rollup_gaps)
+    times = shift_hours(wh, window, cohort if groups else None, rules, rollups, codes, min_end, rollup_gaps)
     team = ["team"] if by_team else []
     if by_team:
         cohort = with_team(cohort, wh)
@@ -165,11 +155,11 @@ def report_daily_working_time(
 ) -> DataFrame:
     """Hours of the chosen categories per shift and worker, with day type and report flag."""
     cohort = cohort_of(wh, groups, attributes=["employee_code"])
-    sources = event_sources(wh, cohort if groups else None)
     if any(c in A.GAP_CODES for c in codes):
-        events = A.timed_events(*sources, rules, window)
+        ids = _ids(cohort if groups else None)
+        events = A.timed_events(*_events(wh), rules, window, workers=ids)
     else:
-        events = A.classify_activity(sources[0], rules, window)
+        events = A.classify_activity(wh.activity_log, rules, window)
     times = A.working_time(events, codes, by_category=False)
     cohort = cohort.join(P.office_labels(wh.offices), "group_id", "left")
     registered = P.registered_shifts(wh.shift_reports, wh.workers, window)
@@ -201,7 +191,7 @@ def mastery_inputs(
     skills: Sequence[int] = C.MASTERY_SKILLS,
 ) -> tuple[DataFrame, DataFrame]:
     """Step facts and internal rejections."""
-    facts = M.step_facts(wh.plain_steps, since, skills, period)
+    facts = M.step_facts(wh.steps, since, skills, period)
     return facts, M.internal_rejections(wh.rejections, since, period)
 
 
@@ -241,7 +231,7 @@ def ranked_images(
     name_blocks: Sequence[str] = C.TRIM_NAME_BLOCKS,
 ) -> DataFrame:
     sole = T.sole_worker_images(wh.work_reports, wh.skills, dates)
-    images = T.image_efficiency(sole, wh.plain_steps, wh.workers, dates, period, name_blocks)
+    images = T.image_efficiency(sole, wh.steps, wh.workers, dates, period, name_blocks)
     return T.rank_images(images)
 
 

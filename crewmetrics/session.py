@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,21 +37,20 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a folder of this machine.
-    """
+    """Folder every executor can reach, as named by ``spark.checkpoint.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="crewmetrics-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return named
+
 
+def use_folder(spark: SparkSession, folder: str) -> None:
+    """Names the shared folder of a local session that has none; anything else keeps its own."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.master.startswith("local["):
+        spark.conf.set("spark.checkpoint.dir", folder)
 
-_written: list[str] = []
+
+TABLE = "crewmetrics-"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -61,15 +60,23 @@ def materialize(df: DataFrame) -> DataFrame:
     even when executors are lost. Parquet keeps column pruning for the readers.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/crewmetrics-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{TABLE}{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables written by ``materialize``, once no report reads them any more."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+def tables_of(report: DataFrame) -> set[str]:
+    """Folders of the written tables that a report reads."""
+    root = re.escape(shared_dir(report.sparkSession).rstrip("/").removeprefix("file:").lstrip("/"))
+    table = re.compile(rf"^(.*{root}/{TABLE}[0-9a-f]{{32}})/")
+    return {m[1] for m in map(table.match, report.inputFiles()) if m}
+
+
+def release(*reports: DataFrame) -> None:
+    """Deletes the tables behind reports that nobody reads any more; those of other reports stay."""
+    for report in reports:
+        spark = report.sparkSession
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for table in tables_of(report):
+            path = spark._jvm.org.apache.hadoop.fs.Path(table)
+            path.getFileSystem(conf).delete(path, True)

@@ -161,10 +161,12 @@ def driver_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
             "l_shipdate + l_linenumber * interval '5' hour as assign_at",
         )
 
-    def plain_steps() -> DataFrame:
+    def steps() -> DataFrame:
+        # One step in 17 has no actual time.
+        actual = "floor(l_extendedprice * (1 - l_discount) * (1 + l_tax))"
         return (
             lines()
-            .selectExpr("*", "floor(l_extendedprice * (1 - l_discount) * (1 + l_tax)) as actual_ms")
+            .selectExpr("*", f"case when (l_orderkey + l_partkey) % 17 <> 0 then {actual} end as actual_ms")
             .selectExpr(
                 "l_orderkey as image_id",
                 "l_linenumber as line_no",
@@ -176,17 +178,11 @@ def driver_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
                 "actual_ms div 1000 as actual_s",
                 "actual_ms",
                 "floor(l_quantity * 1000) as expected_ms",
+                "l_partkey as customer_id",
+                "concat('Template ', l_linestatus) as template_name",
             )
         )
 
-    def steps() -> DataFrame:
-        orders = table("orders").selectExpr(
-            "o_orderkey as image_id",
-            "o_custkey as customer_id",
-            "concat('Template ', o_orderstatus) as template_name",
-        )
-        return plain_steps().join(orders, "image_id")
-
     def rejections() -> DataFrame:
         return (
             lines()
@@ -214,7 +210,7 @@ def driver_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
                 "c_custkey * 3 + pos as template_id",
                 "concat('Template ', kind) as template_name",
                 "c_custkey as customer_id",
-                "case when c_acctbal < 0 and kind = 'P' then 1 else 0 end as is_deleted",
+                "case when c_acctbal < 0 and kind = 'O' then 1 else 0 end as is_deleted",
             )
         )
 
@@ -245,7 +241,6 @@ def driver_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
             "shift_reports": shift_reports,
             "skills": skills,
             "steps": steps,
-            "plain_steps": plain_steps,
             "rejections": rejections,
             "images": images,
             "customers": customers,

@@ -21,6 +21,7 @@ def main(sf_dir: str, names: list[str]) -> int:
         **{
             "spark.sql.shuffle.partitions": "8",
             "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": "/tmp/checkpoints/check_queries",
             "spark.log.level": "ERROR",
             "spark.ui.showConsoleProgress": "false",
         },

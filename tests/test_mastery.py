@@ -98,6 +98,23 @@ def test_workers_without_rejections_are_left_out(spark, workers):
     assert {(r.worker_id, r.rej_img_count) for r in everyone} == {(1, 1), (2, 0)}
 
 
+def test_a_worker_without_actual_times_is_ranked_last(spark, workers):
+    """One of two workers has no actual time: both are reported, the other one is the expert."""
+    facts = spark.createDataFrame(
+        [(1, 1, 1, "s", 202101, None, 4000), (2, 1, 1, "s", 202101, None, 4000),
+         (3, 1, 2, "s", 202101, 10, 4000), (4, 1, 2, "s", 202101, None, 4000),
+         (5, 1, 2, "s", 202101, 10, 4000)],
+        FACTS,
+    )
+    internal = spark.createDataFrame([(2, 1, 1, 202101), (5, 1, 2, 202101)], INTERNAL)
+    stats = M.worker_skill_stats(M.rejection_units(facts, internal), workers)
+    means = {r.worker_id: (r.avg_actual_s, r.img_count) for r in stats.collect()}
+    assert means == {1: (None, 1), 2: (10.0, 2)}  # the mean leaves missing times out
+    rows = {r.worker_id: (r.efficiency_rank, r.mastery_level) for r in
+            M.mastery_zones(stats, ANY, C.AVERAGE_RULE).collect()}
+    assert rows == {2: (1, "Expert"), 1: (2, None)}
+
+
 def test_tie_at_the_expert_rank_leaves_no_bound(spark):
     # Twelve workers give a quota of two, but the best two share rank 1.
     eff = {w: 1.0 + max(0, w - 1) / 10 for w in range(12)}

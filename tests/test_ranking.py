@@ -4,7 +4,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from crewmetrics.operators import ranking
-from crewmetrics.session import release, shared_dir
+from crewmetrics.session import release, shared_dir, tables_of
 
 
 def skewed(spark, n=4000):
@@ -59,13 +59,36 @@ def test_order_of_input_does_not_matter(spread):
     assert numbers(df) == numbers(again)
 
 
-def test_written_tables_go_to_the_named_folder_and_can_be_released(spark, tmp_path):
+def test_null_values_rank_last_and_null_groups_are_groups(spark):
+    rows = [("a", 2.0, 1), ("a", None, 2), ("a", None, 3), (None, 1.0, 4), (None, None, 5), ("a", 1.0, 6)]
+    placed = ranking.sort_once(spark.createDataFrame(rows, "g string, v double, id long"), ["g"], ["v", "id"])
+    numbers = {r.id: (r.row_no, r.group_size) for r in ranking.number_rows(placed, ["g"]).collect()}
+    assert numbers == {6: (1, 4), 1: (2, 4), 2: (3, 4), 3: (4, 4), 4: (1, 2), 5: (2, 2)}
+    ranks = {r.id: r["rank"] for r in ranking.rank_rows(placed, ["g"], "v").collect()}
+    assert ranks == {6: 1, 1: 2, 2: 3, 3: 3, 4: 1, 5: 2}
+
+
+def test_kept_rows_are_numbered_anew_without_another_sort(spread):
+    rows, df = skewed(spread, 1500)
+    placed = ranking.sort_once(df, ["g"], ["v", "id"])
+    kept = ranking.keep_rows(placed, F.col("id") % 3 > 0)
+    got = {(r.g, r.id): (r["rank"], r.group_size) for r in ranking.rank_rows(kept, ["g"], "v").collect()}
+    values = defaultdict(list)
+    for g, v, i in rows:
+        if i % 3:
+            values[g].append(v)
+    want = {(g, i): (1 + sum(x < v for x in values[g]), len(values[g])) for g, v, i in rows if i % 3}
+    assert got == want
+
+
+def test_written_tables_go_to_the_named_folder_and_can_be_released(spark):
     from pathlib import Path
 
     df = ranking.sort_once(spark.range(5).withColumn("g", F.lit(1)), ["g"], ["id"])
     assert df.count() == 5
-    folder = Path(shared_dir(spark))
-    assert str(folder) == spark.conf.get("spark.checkpoint.dir")
-    assert any(folder.glob("crewmetrics-*"))
-    release(spark)
-    assert not any(folder.glob("crewmetrics-*"))
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    (table,) = tables_of(df)
+    folder = Path(table.removeprefix("file:"))
+    assert folder.is_dir() and folder.parent == Path(shared_dir(spark))
+    release(df)
+    assert not folder.exists()
