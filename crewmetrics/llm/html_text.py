@@ -52,6 +52,8 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PERIOD = 4
+#: Elements within each other; deeper ones count as part of the last, as browsers have it at a similar depth.
+DEPTH = 200
 
 
 class Node:
@@ -81,7 +83,7 @@ def parse(html: str | None) -> Node:
     """The tree of a page; end tags that are missing or misplaced are dealt with as browsers do, roughly."""
     html = html or ""
     root = Node("#root")
-    stack, tags, run, links, in_link = [root], ["#root"], [], 0, 0
+    stack, tags, run, links, in_link, deeper = [root], ["#root"], [], 0, 0, 0
 
     def flush():
         nonlocal links
@@ -116,6 +118,13 @@ def parse(html: str | None) -> Node:
                 run.append(" ")
             continue
         flush()
+        if len(stack) >= DEPTH and tag not in VOID and tag not in RAW:
+            if not closing:
+                deeper += 1
+                continue
+            if deeper:
+                deeper -= 1
+                continue
         if closing:
             if tag == "p":
                 if tags[-1] == "p":
@@ -326,17 +335,21 @@ def extract(html: str | None, wrapper: list, constant: set[str] = frozenset()) -
 # Over all pages.
 
 
-def _fold_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[str, list] = {}
     seen: dict[str, set[int]] = {}
     for batch in batches:
-        for host, html in zip(batch["host"], batch["html"]):
+        for row in range(batch.num_rows):
+            host, html = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
             made = shape(parse(html))
             mark = xxhash.xxh64_intdigest(json.dumps(made))
             if mark not in seen.setdefault(host, set()):
                 seen[host].add(mark)
                 found[host] = merge(found[host], made) if host in found else made
-    yield pd.DataFrame({"host": list(found), "wrapper": [json.dumps(w) for w in found.values()]})
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(found), pa.string()), pa.array([json.dumps(w) for w in found.values()], pa.string())],
+        names=["host", "wrapper"],
+    )
 
 
 def _fold_wrappers(rows: pd.DataFrame) -> pd.DataFrame:
@@ -352,7 +365,7 @@ def host_of(url: Column) -> Column:
 
 def wrappers(pages: DataFrame, levels: tuple[int, ...] = (64, 1)) -> DataFrame:
     """host, wrapper (JSON) for ``pages`` (host, html); a host's partial wrappers meet in ``levels`` of so many groups."""
-    found = pages.select("host", "html").mapInPandas(_fold_pages, "host string, wrapper string").distinct()
+    found = pages.select("host", "html").mapInArrow(_fold_pages, "host string, wrapper string").distinct()
     for n in levels:
         salt = F.pmod(F.xxhash64("wrapper"), F.lit(n))
         found = found.groupBy("host", salt.alias("salt")).applyInPandas(_fold_wrappers, "host string, wrapper string")
@@ -362,11 +375,12 @@ def wrappers(pages: DataFrame, levels: tuple[int, ...] = (64, 1)) -> DataFrame:
 def _constants(pages: DataFrame, least: int) -> DataFrame:
     """host, constant: the slots that hold one text on all of at least ``least`` pages without an article."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list] = {}
-        found: dict[tuple[str, str], list[int]] = {}
+        found: dict[tuple[str, str], tuple[int, int, int]] = {}
         for batch in batches:
-            for host, html, wrapper in zip(batch["host"], batch["html"], batch["wrapper"]):
+            for row in range(batch.num_rows):
+                host, html, wrapper = (batch.column(c)[row].as_py() for c in range(3))
                 if host not in known:
                     known[host] = json.loads(wrapper)
                 rows = list(read(parse(html), known[host]))
@@ -375,10 +389,12 @@ def _constants(pages: DataFrame, least: int) -> DataFrame:
                 for slot, text in {(slot, text) for slot, text, *_ in rows}:
                     mark = xxhash.xxh64_intdigest(text) >> 1
                     low, high, n = found.get((host, slot), (mark, mark, 0))
-                    found[host, slot] = [min(low, mark), max(high, mark), n + 1]
-        yield pd.DataFrame([(h, s, *v) for (h, s), v in found.items()], columns=["host", "slot", "low", "high", "n"])
+                    found[host, slot] = min(low, mark), max(high, mark), n + 1
+        columns = list(zip(*[(h, s, *v) for (h, s), v in found.items()])) or [[]] * 5
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["host", "slot", "low", "high", "n"])
 
-    parts = pages.mapInPandas(count, "host string, slot string, low long, high long, n long")
+    parts = pages.select("host", "html", "wrapper").mapInArrow(count, "host string, slot string, low long, high long, n long")
     same = parts.groupBy("host", "slot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
     return same.where((F.col("low") == F.col("high")) & (F.col("n") >= least)).groupBy("host").agg(
         F.concat_ws(" ", F.sort_array(F.collect_list("slot"))).alias("constant")

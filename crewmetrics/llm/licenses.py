@@ -104,9 +104,12 @@ RULES = [
 
 #: Each known sentence has one of these words.
 NEEDED = "licen|software|copyright|redistribut|public domain|governing permissions|merchantability"
-#: What precedes the text of a comment line; a line that goes on in lower case; other characters.
+#: What precedes the text of a comment line; a line that goes
+#: on in lower case, or in capitals; the end of a sentence; other characters.
 COMMENT = r"(^|\n)[ \t]*(?:#+|//+|/?\*+/?|--+|;+)[ \t]*"
 GOES_ON = r"([^.!?:;\n])[ \t]*\r?\n[ \t]*([a-z])"
+SHOUTS_ON = r"([A-Z]+,? +[A-Z]+,?)[ \t]*\r?\n[ \t]*([A-Z]+[ ,])"
+ENDS = r"[.!?;]+[ \t\r]+|[.!?:;]*[ \t\r]*\n"
 OTHER = r"[^a-z0-9]+"
 
 
@@ -121,8 +124,9 @@ def rule_patterns() -> list[tuple[str, str]]:
 
 def _sentences(text: Column) -> Column:
     text = F.regexp_replace(text, COMMENT, "$1")
-    text = F.regexp_replace(text, GOES_ON, "$1 $2")
-    parts = F.split(F.regexp_replace(text, r"[.!?:;]+[ \t\r]+|[.!?:;]*[ \t\r]*\n", "\n"), "\n")
+    for pattern in (GOES_ON, SHOUTS_ON):
+        text = F.regexp_replace(text, pattern, "$1 $2")
+    parts = F.split(F.regexp_replace(text, ENDS, "\n"), "\n")
     plain = lambda s: F.trim(F.regexp_replace(F.lower(s), OTHER, " "))
     return F.transform(parts, plain)
 
@@ -170,12 +174,12 @@ def oracle() -> str:
             left = f"regexp_replace({left}, '{pattern}', ';<{name}>;', 'g')"
     return f"""
 with known(sentence, id) as (values {known}
-), cut as (
-  select rid, doc_id, unnest(string_split(regexp_replace(regexp_replace(regexp_replace(text, '{COMMENT}', '\\1', 'g'),
-      '{GOES_ON}', '\\1 \\2', 'g'), '[.!?:;]+[ \\t\\r]+|[.!?:;]*[ \\t\\r]*\\n', chr(10), 'g'), chr(10))) as s,
-    generate_subscripts(string_split(regexp_replace(regexp_replace(regexp_replace(text, '{COMMENT}', '\\1', 'g'),
-      '{GOES_ON}', '\\1 \\2', 'g'), '[.!?:;]+[ \\t\\r]+|[.!?:;]*[ \\t\\r]*\\n', chr(10), 'g'), chr(10)), 1) as k
+), parts as (
+  select rid, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{COMMENT}', '\\1', 'g'),
+      '{GOES_ON}', '\\1 \\2', 'g'), '{SHOUTS_ON}', '\\1 \\2', 'g'), '{ENDS}', chr(10), 'g'), chr(10)) as parts
   from (select row_number() over () as rid, * from documents) where regexp_matches(text, '(?i){NEEDED}')
+), cut as (
+  select rid, unnest(parts) as s, generate_subscripts(parts, 1) as k from parts
 ), plain as (
   select rid, k, trim(regexp_replace(lower(s), '{OTHER}', ' ', 'g')) as s from cut
 ), named as (

@@ -7,8 +7,10 @@
 3. Candidates are neighbours by longest common prefix. Regions are as deep as they need be: all nodes of a region
    meet if it has up to ``REGION`` nodes, a larger one is split by one more column, again and again, and nodes
    that are next to each other meet in any region. A shared prefix has ``DEPTH`` columns at least.
-4. Candidates are confirmed on the full sets, a few for each node at a time; those that lie in one component by then
-   need no look. Components come from alternating large-star and small-star steps over the links.
+4. Candidates are confirmed on the full sets: first those with the smallest neighbours of each node, then those
+   between components. Components come from alternating large-star and small-star steps over the links.
+5. Nodes of regions that were split are sorted once more, each with its component. Wider regions are looked at, and
+   only nodes of different components meet, so a group of near copies costs rows in proportion to its size.
 
 At the threshold itself a pair shares five leading columns in one of 25 orders with probability 1 - 5e-5.
 """
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from crewmetrics.llm.common import Scratch
 
 COLUMNS, ORDERS, DEPTH, KEY = 128, 25, 5, 20
-REGION, NEAR = 32, 4
+REGION, NEAR = 8, 2
+WIDE_REGION, WIDE_NEAR = 64, 16
 #: Differing single bits of two signatures with 0.8 of the columns equal: 12.8 expected, 28 is 4.5 deviations off.
 BITS = 28
 #: Node ids to be broadcast at most; beyond that the join shuffles.
@@ -105,7 +108,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each node and order: its key there, its size and a bit of each column."""
+    """A row for each node and order: its key there, its size, a bit of each column and its component so far."""
     for batch in batches:
         for i in range(0, batch.num_rows, 2048):
             part = batch.slice(i, 2048)
@@ -121,142 +124,145 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         part.column(0),
                         part.column(1),
                         pa.array(bits, pa.binary()),
+                        part.column(3),
                     ],
-                    names=["t", "key", "id", "size", "bits"],
+                    names=["t", "key", "id", "size", "bits", "component"],
                 )
 
 
-def neighbours(t: np.ndarray, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Candidate pairs among sorted rows: keys (n, KEY), bits (n, bytes). Returns (m, 2), smaller ids first."""
-    n = len(ids)
+def neighbours(
+    t: np.ndarray, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, bits: np.ndarray, component: np.ndarray, most: int, near: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs among sorted rows, smaller ids first, and the ids in regions of over ``most`` rows.
+
+    ``keys`` is (n, KEY), ``bits`` (n, bytes). Rows of one component are no pair.
+    """
+    n, none = len(ids), np.empty((0, 2), dtype=np.int64)
     if n < 2:
-        return np.empty((0, 2), dtype=np.int64)
+        return none, ids[:0]
     common = np.cumprod(keys[1:] == keys[:-1], axis=1).sum(axis=1)
     common = np.where(t[1:] == t[:-1], common, -1)
-    region = np.empty((KEY + 1, n), dtype=np.int64)  # by depth, nodes in the region of each row
+    region = np.empty((KEY + 1, n), dtype=np.int64)  # by depth, rows in the region of each row
     for depth in range(DEPTH, KEY + 1):
         number = np.concatenate([[0], np.cumsum(common < depth)])
         region[depth] = np.bincount(number)[number]
-    found = []
+    found = [none]
     at, shared = np.flatnonzero(common >= DEPTH), common[common >= DEPTH]
-    for k in range(1, REGION):
+    for k in range(1, most):
         if not len(at):
             break
-        ok = (region[shared, at] <= REGION) | (k <= NEAR)
+        ok = (region[shared, at] <= most) | (k <= near)
         a, b = at[ok], at[ok] + k
+        other = component[a] != component[b]
+        a, b = a[other], b[other]
         small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-        near = (100 * small >= 80 * large) & (np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= BITS) & (ids[a] != ids[b])
-        found.append(np.stack([np.minimum(ids[a], ids[b])[near], np.maximum(ids[a], ids[b])[near]], axis=1))
+        alike = (100 * small >= 80 * large) & (np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= BITS)
+        found.append(np.stack([np.minimum(ids[a], ids[b])[alike], np.maximum(ids[a], ids[b])[alike]], axis=1))
         more = at + k < n - 1
         at, shared = at[more], shared[more]
         shared = np.minimum(shared, common[at + k])
         at, shared = at[shared >= DEPTH], shared[shared >= DEPTH]
-    return np.unique(np.concatenate(found or [np.empty((0, 2), dtype=np.int64)]), axis=0)
+    return np.unique(np.concatenate(found), axis=0), np.unique(ids[region[DEPTH] > most])
 
 
-def _rows(t, key, ids, sizes, bits):
+def _rows(t, key, ids, sizes, bits, component):
     return (
         np.asarray(t),
         np.frombuffer(b"".join(key), dtype=">u2").reshape(-1, KEY),
         np.asarray(ids),
         np.asarray(sizes),
         np.frombuffer(b"".join(bits), dtype=np.uint8).reshape(-1, COLUMNS // 8),
+        np.asarray(component),
     )
 
 
-_FOUND = "a long, b long, t int, key binary, id long, size long, bits binary"
-_NAMES = ["a", "b", "t", "key", "id", "size", "bits"]
+_ROW = "t int, key binary, id long, size long, bits binary, component long"
+_NAMES = ["t", "key", "id", "size", "bits", "component"]
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of a sorted partition, and its first and last rows, which may have neighbours in other ones."""
-    held, first, none = None, 0, pa.array
+def _walk(most: int, near: int):
+    """Of a sorted partition the pairs (a, b), the nodes of split regions (a, null), and its first and last rows,
+    which may have neighbours in other partitions."""
 
-    def pairs(table: pa.Table) -> pa.RecordBatch:
-        found = neighbours(*_rows(*(table.column(c).to_pylist() for c in range(5))))
-        n = len(found)
-        return pa.RecordBatch.from_arrays(
-            [
-                none(found[:, 0]),
-                none(found[:, 1]),
-                *(pa.nulls(n, kind) for kind in (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())),
-            ],
-            names=_NAMES,
-        )
+    def found(table: pa.Table) -> pa.RecordBatch:
+        pairs, split = neighbours(*_rows(*(table.column(c).to_pylist() for c in range(6))), most, near)
+        n = len(pairs) + len(split)
+        a = pa.array(np.concatenate([pairs[:, 0], split]))
+        b = pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(split), pa.int64())])
+        rest = [pa.nulls(n, kind) for kind in (pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64())]
+        return pa.RecordBatch.from_arrays([a, b, *rest], names=["a", "b", *_NAMES])
 
     def seam(table: pa.Table) -> Iterator[pa.RecordBatch]:
         for part in table.combine_chunks().to_batches():
             gap = pa.nulls(part.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([gap, gap, *part.columns], names=_NAMES)
-
-    for batch in batches:
-        more = pa.Table.from_batches([batch])
-        if first < REGION:
-            begin = more.slice(0, REGION - first)
-            first += begin.num_rows
-            yield from seam(begin)
-        table = more if held is None else pa.concat_tables([held, more])
-        yield pairs(table)
-        held = table.slice(max(0, table.num_rows - REGION))
-    if held is not None:
-        yield from seam(held)
-
-
-def _seams(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.drop_duplicates("id").sort_values(["key", "id"])
-    found = neighbours(*_rows(rows["t"], rows["key"], rows["id"], rows["size"], rows["bits"]))
-    return pd.DataFrame(found, columns=["a", "b"])
-
-
-def candidates(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Distinct pairs a < b of ``nodes`` (id, size, signature), saved."""
-    spark = nodes.sparkSession
-    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = nodes.select("id", "size", "signature").mapInArrow(_orders, "t int, key binary, id long, size long, bits binary")
-    walked = scratch.save(
-        rows.repartitionByRange(n_tasks, "t", "key", "id").sortWithinPartitions("t", "key", "id").mapInArrow(_walk, _FOUND)
-    )
-    seams = walked.where("a is null").select("t", "key", "id", "size", "bits")
-    pairs = walked.where("a is not null").select("a", "b").unionByName(
-        seams.groupBy("t").applyInPandas(_seams, "a long, b long")
-    )
-    return scratch.save(pairs.distinct())
+            yield pa.RecordBatch.from_arrays([gap, gap, *part.columns], names=["a", "b", *_NAMES])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, 0
+        for batch in batches:
+            more = pa.Table.from_batches([batch])
+            if first < most:
+                begin = more.slice(0, most - first)
+                first += begin.num_rows
+                yield from seam(begin)
+            table = more if held is None else pa.concat_tables([held, more])
+            yield found(table)
+            held = table.slice(max(0, table.num_rows - most))
+        if held is not None:
+            yield from seam(held)
+
+    return walk
+
+
+def _seams(most: int, near: int):
+    """The same for one order's first and last rows of all partitions; no pair is (a, a)."""
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("id").sort_values(["key", "id"])
+        pairs, split = neighbours(*_rows(*(rows[c] for c in _NAMES)), most, near)
+        return pd.DataFrame({"a": np.concatenate([pairs[:, 0], split]), "b": np.concatenate([pairs[:, 1], split])})
+
+    return walk
+
+
+def candidates(nodes: DataFrame, scratch: Scratch, most: int = REGION, near: int = NEAR) -> tuple[DataFrame, DataFrame]:
+    """Of ``nodes`` (id, size, signature, component) distinct pairs a < b of different components, and the ids of
+    nodes whose regions were split; both saved."""
+    n_tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = nodes.select("id", "size", "signature", "component").mapInArrow(_orders, _ROW)
+    ordered = rows.repartitionByRange(n_tasks, "t", "key", "id").sortWithinPartitions("t", "key", "id")
+    walked = scratch.save(ordered.mapInArrow(_walk(most, near), f"a long, b long, {_ROW}"))
+    # Each task's first and last rows, at most ``most`` of either, by order.
+    seams = walked.where("id is not null").select(*_NAMES).groupBy("t").applyInPandas(_seams(most, near), "a long, b long")
+    inner = walked.where("a is not null").select("a", F.coalesce("b", "a").alias("b"))
+    found = scratch.save(inner.unionByName(seams).distinct())
+    return found.where("a < b"), found.where("a = b").select(F.col("a").alias("id"))
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """id, component (the smallest id reachable) of all ids in ``links`` (a, b); saved."""
-
-    def state(edges: DataFrame):
-        return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    """id, component (the smallest id reachable) of the ids in ``links`` (a, b) but the smallest themselves; saved."""
 
-    def star(pairs: DataFrame, least: DataFrame, keep) -> DataFrame:
-        joined = pairs.join(least, "u")
-        return joined.where(keep).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    def star(pairs: DataFrame, least: DataFrame) -> DataFrame:
+        return pairs.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
-    edges = scratch.save(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    )
-    now = state(edges)
+    edges = scratch.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(
+            edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root"))
+        )
+        ends = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+        if ends.where("up > 1 or (up = 1 and root = 1)").isEmpty():  # every node hangs on its root
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Larger neighbours move to the smallest neighbour, then smaller ones do.
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = star(both, least, F.col("v") > F.col("u"))  # larger neighbours to the smallest one
-        # A node that is the smallest of its own neighbours keeps its edges to them.
-        large = scratch.save(large)
+        large = scratch.save(star(both.where("v > u"), least))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = star(large, least, F.lit(True)).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        small = scratch.save(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        small = star(large, least).unionByName(least.select("u", F.col("m").alias("v")))
+        small = scratch.save(small.distinct())
         scratch.drop(edges)
         scratch.drop(large)
-        edges, before, now = small, now, state(small)
-        if now == before:
-            break
-    roots = edges.select(F.col("v").alias("u")).distinct()
-    return scratch.save(
-        edges.groupBy("u").agg(F.min("v").alias("component"))
-        .unionByName(roots.join(edges, "u", "left_anti").select("u", F.col("u").alias("component")))
-        .withColumnRenamed("u", "id")
-    )
+        edges = small
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,30 +285,38 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     ).select("a", "b")
 
 
-def link(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """id, component after the confirmed ones of ``pairs``; each round looks at eight times as many of a node's pairs.
+def link(pairs: DataFrame, sets: DataFrame, scratch: Scratch, labels: DataFrame | None = None, rounds: tuple[int, ...] = ()) -> DataFrame:
+    """id, component after the confirmed ones of ``pairs`` and, if given, ``labels``.
 
-    A node has a bounded number of pairs (orders times region), so there are few rounds.
+    Each of the ``rounds`` confirms so many pairs of a node, those with its smallest neighbours, so that most of the others lie
+    within one component when the last one confirms all that do not. A node has a bounded number of pairs.
     """
-    labels, most, remaining = None, 1, pairs
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("b"))
-    while True:
-        ranked = scratch.save(remaining.withColumn("rank", rank))
-        links = confirm(ranked.where(F.col("rank") <= most).select("a", "b"), sets)
+    rank = F.row_number().over(Window.partitionBy("b").orderBy("a"))
+    remaining = scratch.save(pairs.withColumn("rank", rank)) if rounds else pairs
+    for most in (*rounds, None):
+        chosen = remaining if most is None else remaining.where(F.col("rank") <= most)
+        links = confirm(chosen.select("a", "b"), sets)
         if labels is not None:
             links = links.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
         labels = components(links, scratch)
-        side = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))  # noqa: E731, B023
-        remaining = scratch.save(
-            ranked.where(F.col("rank") > most)
-            .join(side("a"), "a", "left")
-            .join(side("b"), "b", "left")
-            .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-            .select("a", "b")
-        )
-        if remaining.isEmpty():
-            return labels
-        most *= 8
+        if most is not None:
+            side = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))  # noqa: E731, B023
+            remaining = scratch.save(
+                remaining.where(F.col("rank") > most)
+                .join(side("a"), "a", "left")
+                .join(side("b"), "b", "left")
+                .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+                .select("a", "b", "rank")
+            )
+    return labels
+
+
+def _narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents with ``ids``, which are broadcast up to a checked number of them."""
+    ids = ids.withColumnRenamed("id", "doc_id")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_semi")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -325,16 +339,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = signed.select("doc_id", "n_shingles", "set_id").join(copies, "set_id", "left")
     rows = rows.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     nodes = filled.join(copies, "set_id", "left").where(F.coalesce("rep", "doc_id") == F.col("doc_id"))
-    pairs = candidates(nodes.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "signature"), scratch)
+    nodes = nodes.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "signature")
 
-    ids = scratch.save(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    pairs, split = candidates(nodes.withColumn("component", F.col("id")), scratch)
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(split)
     sets = scratch.save(
-        docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text")
+        _narrowed(docs, scratch.save(ids.distinct())).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text")
         .mapInArrow(_sets, "id long, items array<long>")
     )
-    labels = link(pairs, sets, scratch)
+    labels = link(pairs, sets, scratch, rounds=(2,))
+    if not split.isEmpty():
+        again = nodes.join(split, "id", "left_semi").join(labels, "id", "left")
+        again = again.select("id", "size", "signature", F.coalesce("component", "id").alias("component"))
+        wide, _ = candidates(again, scratch, WIDE_REGION, WIDE_NEAR)
+        labels = link(wide, sets, scratch, labels)
     component = F.coalesce("component", "rep")
     return rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")

@@ -1,0 +1,94 @@
+from fractions import Fraction
+from hashlib import md5
+
+import pytest
+
+from crewmetrics.llm import mixing as M
+from crewmetrics.llm.common import Scratch
+
+DOCS = "doc_id long, text string, source string, rate double, goal int"
+
+
+def rows_of():
+    rows = [(i, "w " * (1 + i % 50), ["b", "a", "ü", "c", "hot", "hot", "hot", None][i % 8], None, 1) for i in range(400)]
+    return rows + [(400, None, "a", 1.0, None), (401, "", "empty", None, None), (None, "x y", "b", None, None), rows[7]]
+
+
+def size(text):
+    return len((text or "").split())
+
+
+def goals(sizes, weights=(3, 1, 2), share=Fraction(3, 2), most=2):
+    """Shares out the budget, again and again, in exact numbers."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    left, open_, target = share * sum(sizes.values()), set(names), {}
+    while open_:
+        level = left / sum(w[s] for s in open_)
+        full = {s for s in open_ if most * sizes[s] <= w[s] * level}
+        if not full:
+            return target | {s: w[s] * level for s in open_}
+        for s in full:
+            target[s] = Fraction(most * sizes[s])
+            left -= target[s]
+        open_ -= full
+    return target
+
+
+def test_equals_brute_force(spark):
+    rows = rows_of()
+    sizes = {}
+    for _, t, s, *_ in rows:
+        sizes[s] = sizes.get(s, 0) + size(t)
+    target = goals(sizes)
+    want = []
+    for i, t, s, *_ in rows:
+        rate = float(target[s]) / sizes[s] if sizes[s] else 0.0
+        u = int(md5(f"mix:{'' if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52
+        copies = int(rate) + (u < rate - int(rate))
+        want.append((i, size(t), sizes[s], float(target[s]), size(t) * copies))
+    got = [tuple(r) for r in M.report(spark.createDataFrame(rows, DOCS).repartition(5)).collect()]
+    key = lambda r: (str(r[0]), r[1], r[2])
+    got.sort(key=key), want.sort(key=key)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want], rel=1e-12)
+    assert [g[4] for g in got] == [w[4] for w in want]
+    assert all(g[4] <= 2 * g[1] for g in got)
+
+
+def test_sample_emits_each_copy_with_all_columns(spark):
+    docs = spark.createDataFrame(rows_of(), DOCS)
+    wanted = {}
+    for r in M.mix(docs).collect():
+        wanted[r.doc_id] = wanted.get(r.doc_id, 0) + r.copies
+    sampled = M.sample(docs)
+    assert sampled.columns == docs.columns
+    got = {}
+    for r in sampled.collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    assert got == {i: n for i, n in wanted.items() if n}
+
+
+def test_reruns_agree_and_taken_words_come_near_targets(spark):
+    rows = [(i, "w " * (5 + i % 9), f"s{i % 3}" if i % 4 else "hot", None, None) for i in range(6000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    one, two = (sorted(map(tuple, M.report(d).collect())) for d in (docs, docs.repartition(7)))
+    assert one == two
+    taken, target = {}, {}
+    for r in M.report(docs).collect():
+        taken[r.source_size] = taken.get(r.source_size, 0) + r.taken
+        target[r.source_size] = r.target
+    assert all(abs(taken[s] - target[s]) < 0.08 * target[s] for s in target)
+
+
+def test_many_sources_are_placed_by_code_point(spread):
+    names = [None, *(chr(97 + i % 26) + chr(0x4E00 + i) + str(i) for i in range(500)), "Z", "\U0001f600", "￿"]
+    sizes = spread.createDataFrame([(n, 1) for n in names], "source string, source_size long").repartition(5)
+    got = {r.source: r.place for r in M.source_ranks(sizes, Scratch(spread)).collect()}
+    order = sorted((n for n in names if n is not None), key=lambda s: [ord(c) for c in s])
+    assert got == {n: i for i, n in enumerate([*order, None])}
+
+
+def test_no_documents(spark):
+    assert M.report(spark.createDataFrame([], DOCS)).collect() == []
+    assert M.sample(spark.createDataFrame([], DOCS)).collect() == []
