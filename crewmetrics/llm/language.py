@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from crewmetrics.llm.common import Scratch
 
-BUCKETS = 4096
+BUCKETS = 1 << 12
 #: Labelled texts to learn from at most: those with the smallest hashes of their ids.
 FIT_ROWS = 20_000
 #: Trigrams of one text are not independent; they count as so many independent ones at most.
@@ -30,22 +30,23 @@ EFFECTIVE = 60
 KAPPA, ALPHA = 5.0, 1.0
 THRESHOLD = 0.5
 
-_LETTERS = np.full(256, 32, dtype=np.int64)
-_LETTERS[list(b"abcdefghijklmnopqrstuvwxyz")] = list(b"abcdefghijklmnopqrstuvwxyz")
-_LETTERS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = list(b"abcdefghijklmnopqrstuvwxyz")
-_LETTERS[128:] = range(128, 256)
+#: Bytes to letters: A-Z in lower case, those above ASCII as they are, all others a space.
+_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+_FACTORS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)|<[^>]*(?:>|\Z)", re.S | re.I)
 
 
 def trigrams(text: str | None) -> np.ndarray:
     """Counts of a text's letter trigrams by bucket; whatever lies between words is one space."""
-    codes = _LETTERS[np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)]
-    codes = np.concatenate([[32], codes, [32]])
-    codes = codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])]
+    letters = (text or "").encode("utf-8", "surrogatepass").translate(_LETTERS).split()
+    codes = np.frombuffer(b" " + b" ".join(letters) + b" ", dtype=np.uint8).astype(np.uint32)
     if len(codes) < 3:
         return np.zeros(BUCKETS)
-    hashed = (codes[:-2] * 0x9E3779B1 + codes[1:-1] * 0x85EBCA77 + codes[2:] * 0xC2B2AE3D) >> 7
-    return np.bincount(hashed % BUCKETS, minlength=BUCKETS).astype(float)
+    first, second, third = _FACTORS
+    hashed = codes[:-2] * first
+    hashed += codes[1:-1] * second
+    hashed += codes[2:] * third
+    return np.bincount(hashed >> np.uint32(20), minlength=BUCKETS).astype(float)
 
 
 @dataclass
@@ -79,7 +80,8 @@ def train(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
             for lang, text in zip(batch["lang"], batch["text"]):
                 sums[lang] = sums.get(lang, 0.0) + trigrams(text)
                 seen[lang] = seen.get(lang, 0) + 1
-        yield pd.DataFrame({"lang": list(sums), "n": [seen[x] for x in sums], "counts": [c.tolist() for c in sums.values()]})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "n": [seen[x] for x in sums], "counts": [c.tolist() for c in sums.values()]})
 
     parts = labelled.join(F.broadcast(ids), "doc_id").select("lang", "text").mapInPandas(count, "lang string, n long, counts array<double>")
     total, seen = {}, {}
@@ -120,19 +122,16 @@ def address_parts(url: Column) -> list[Column]:
     ]
 
 
-def _normal(values: Column) -> Column:
-    """Shares of a short array's sum."""
-    return F.transform(values, lambda x: x / F.aggregate(values, F.lit(0.0), lambda a, b: a + b))
+KEYS = ("host", "domain", "suffix", "code", "declared")
 
 
-KEYS = ("host", "domain", "suffix", "code", "declared")
+def _normal(values: np.ndarray) -> np.ndarray:
+    return values / values.sum(axis=-1, keepdims=True)
 
 
-def _alone(evidence: DataFrame, model: Model) -> DataFrame:
-    """``evidence`` with ``post``: each row's posterior from its text alone."""
-    prior = F.lit([float(p) for p in model.prior])
-    joint = F.zip_with("logs", prior, lambda x, p: F.exp(x) * p)
-    return evidence.select("*", joint.alias("post")).withColumn("post", _normal(F.col("post")))
+def _alone(logs: np.ndarray, model: Model) -> np.ndarray:
+    """Posteriors from texts alone."""
+    return _normal(np.exp(logs) * model.prior)
 
 
 def learn(evidence: DataFrame, model: Model, scratch: Scratch) -> tuple[list[float], dict[str, DataFrame]]:
@@ -141,51 +140,60 @@ def learn(evidence: DataFrame, model: Model, scratch: Scratch) -> tuple[list[flo
     Every aggregate is combined before its shuffle, so a host with a third of all rows is as good as any other.
     """
     n = len(model.languages)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def alone(logs: pd.Series) -> pd.Series:
+        return pd.Series(list(_alone(np.stack(logs.to_numpy()), model)))
+
+    rows = scratch.save(evidence.select(*KEYS, alone("logs").alias("post")))
     total = [F.sum(F.get("post", F.lit(i))) for i in range(n)]
-    rows = _alone(evidence, model)
     sums = {
         k: scratch.save(rows.where(F.col(k).isNotNull()).groupBy(k).agg(F.array(*total).alias(f"{k}_sums"))) for k in KEYS
     }
     return [float(x or 0.0) for x in rows.agg(*total).first()], sums
 
 
-def fuse(evidence: DataFrame, model: Model, learnt: tuple[list[float], dict[str, DataFrame]]) -> DataFrame:
-    """``evidence`` (the keys, ``logs`` and other columns) with ``posterior``, an array by language."""
-    n = len(model.languages)
-    rows = _alone(evidence, model)
-    everything = F.lit(learnt[0])
+def posteriors(logs: np.ndarray, sums: dict[str, pd.Series], everything: np.ndarray, model: Model) -> np.ndarray:
+    """A row by language for each row of ``logs``. ``sums`` has for each key what rows of its value sum up to, the row itself
+    included, or None for a row without the key."""
+    own = _alone(logs, model)
+    known = {k: s.notna().to_numpy() for k, s in sums.items()}
+    rest = {}  # what is left of each sum without the row itself
+    for k, s in sums.items():
+        rest[k] = np.zeros_like(own)
+        if known[k].any():
+            rest[k][known[k]] = np.maximum(np.stack(s[known[k]].to_numpy()) - own[known[k]], 0.0)
+    others = np.maximum(everything - own, 0.0) + ALPHA
+    prior = _normal(others)
+    for k in ("suffix", "domain", "host"):
+        prior = _normal(rest[k] + KAPPA * prior)
+    joint = np.exp(logs) * prior
+    for k in ("code", "declared"):
+        said = (rest[k] + ALPHA / logs.shape[1]) / (others + ALPHA)
+        joint = joint * np.where(known[k][:, None], said, 1.0)
+    return _normal(joint)
+
+
+def fuse(evidence: DataFrame, model: Model, learnt: tuple[list[float], dict[str, DataFrame]], into: str) -> DataFrame:
+    """``evidence`` (the keys, ``logs`` and other columns) with a struct ``into`` of text_lang, lang and probability.
+
+    A tie goes to the first language of the alphabet.
+    """
+    everything, names = np.array(learnt[0]), np.array(model.languages, dtype=object)
+
+    @F.pandas_udf("text_lang string, lang string, probability double")
+    def best(logs: pd.Series, host: pd.Series, domain: pd.Series, suffix: pd.Series, code: pd.Series, declared: pd.Series) -> pd.DataFrame:
+        stacked = np.stack(logs.to_numpy())
+        found = posteriors(stacked, dict(zip(KEYS, (host, domain, suffix, code, declared))), everything, model)
+        return pd.DataFrame(
+            {"text_lang": names[stacked.argmax(axis=1)], "lang": names[found.argmax(axis=1)], "probability": found.max(axis=1)}
+        )
+
+    rows = evidence
     for key, sums in learnt[1].items():
         rows = rows.join(sums, key, "left")
-    # What is left of each sum without the page itself.
-    rest = lambda key: F.zip_with(
-        F.coalesce(F.col(f"{key}_sums"), F.col("post")), F.col("post"), lambda s, own: F.greatest(s - own, F.lit(0.0))
-    )
-    others = F.zip_with(everything, F.col("post"), lambda s, own: F.greatest(s - own, F.lit(0.0)) + ALPHA)
-    rows = rows.select("*", *[rest(k).alias(f"{k}_rest") for k in KEYS], others.alias("others"))
-    rows = rows.select("*", _normal(F.col("others")).alias("p0"))
-    above = "p0"
-    for level, key in enumerate(("suffix", "domain", "host"), 1):
-        mixed = F.zip_with(F.col(f"{key}_rest"), F.col(above), lambda s, p: s + KAPPA * p)
-        rows = rows.select("*", mixed.alias(f"m{level}"))
-        rows = rows.select("*", _normal(F.col(f"m{level}")).alias(f"p{level}"))
-        above = f"p{level}"
-
-    def says(key: str) -> Column:
-        """Likelihood of a code or declaration in each language; 1 where there is none."""
-        share = F.zip_with(F.col(f"{key}_rest"), F.col("others"), lambda s, o: (s + ALPHA * F.lit(1.0 / max(n, 1))) / (o + ALPHA))
-        return F.when(F.col(key).isNotNull(), share).otherwise(F.array_repeat(F.lit(1.0), n))
-
-    joint = F.zip_with(F.transform("logs", lambda x: F.exp(x)), F.col(above), lambda a, b: a * b)
-    joint = F.zip_with(F.zip_with(joint, says("code"), lambda a, b: a * b), says("declared"), lambda a, b: a * b)
-    rows = rows.select(*evidence.columns, joint.alias("joint"))
-    return rows.select(*evidence.columns, _normal(F.col("joint")).alias("posterior"))
-
-
-def _best(model: Model, values: str) -> list[Column]:
-    """The likeliest language, the first of the alphabet in a tie, and its probability."""
-    best = F.array_max(values)
-    names = F.array(*map(F.lit, model.languages))
-    return [F.get(names, (F.array_position(values, best) - 1).cast("int")).alias("lang"), best.alias("probability")]
+    # Computed once for each row, whatever a later filter asks for.
+    return rows.select(*evidence.columns, best.asNondeterministic()("logs", *[f"{k}_sums" for k in KEYS]).alias(into))
 
 
 def report(pages: DataFrame, docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
@@ -210,9 +218,8 @@ def report(pages: DataFrame, docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame
             _text_column("html", True, model).alias("logs"),
         )
     )
-    fused = fuse(evidence, model, learn(evidence, model, scratch))
-    alone = _best(model, "logs")[0].alias("text_lang")
-    return fused.select("page_id", "host", "declared", alone, *_best(model, "posterior"))
+    fused = fuse(evidence, model, learn(evidence, model, scratch), "found")
+    return fused.select("page_id", "host", "declared", "found.text_lang", "found.lang", "found.probability")
 
 
 def keep_identified(
@@ -229,8 +236,6 @@ def keep_identified(
     if not model.languages:
         return docs
     into = "row"
-    while into in docs.columns:
-        into += "_"
     none = F.lit(None).cast("string")
     keys = [
         F.col("source").alias("host"), none.alias("domain"), none.alias("suffix"), none.alias("code"),
@@ -238,9 +243,8 @@ def keep_identified(
         _text_column("text", False, model).alias("logs"),
     ]
     # The texts are read twice rather than written: what is learnt needs the keys and likelihoods alone.
-    learnt = learn(scratch.save(docs.select(*keys)), model, scratch)
-    found = fuse(docs.select(F.struct(*docs.columns).alias(into), *keys), model, learnt).select(into, *_best(model, "posterior"))
-    kept = found.where(F.col("probability") >= threshold)
+    learnt = learn(docs.select(*keys), model, scratch)
+    kept = fuse(docs.select(F.struct(*docs.columns).alias(into), *keys), model, learnt, "found").where(F.col("found.probability") >= threshold)
     if languages is not None:
-        kept = kept.where(F.col("lang").isin(languages))
+        kept = kept.where(F.col("found.lang").isin(languages))
     return kept.select(*[F.col(f"{into}.`{c}`").alias(c) for c in docs.columns])

@@ -98,6 +98,11 @@ def test_evidence_helps_where_texts_are_short(spark):
     assert fused > sum(r.text_lang == truth[r.page_id] for r in rows) and fused > 0.95 * len(rows)
 
 
+def test_tasks_without_labelled_rows(spark):
+    docs = spark.createDataFrame(docs_of(random.Random(5), 3), DOCS).repartition(40)
+    assert L.train(docs).languages
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = L.train(docs.where("doc_id % 2 = 0"))
