@@ -8,9 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed values of the contracts: white space that ends a word, and what a word is made of.
+#: Fixed value of the contracts: what a word is made of.
 WORD = r"[^\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\f\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +38,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
         self.made = 0
-        atexit.register(self._delete, self.root)
+        atexit.register(self._at_exit)
 
     def path(self) -> str:
         self.made += 1
@@ -57,11 +56,12 @@ class Scratch:
         self._delete(saved.scratch_path)
 
     def _delete(self, path: str) -> None:
-        try:
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-        except Exception:  # the JVM may be gone when the application ends
-            return
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def _at_exit(self) -> None:
+        if self.spark.sparkContext._jsc is not None:  # the session may have been stopped
+            self._delete(self.root)
 
 
 def words(text: Column) -> Column:

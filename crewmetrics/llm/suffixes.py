@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WINDOW = 13
-SHARD = 1_000_000
+SHARD = 400_000
 #: Bytes of benchmark text in one block; the driver and a task hold one block at a time.
 BLOCK_BYTES = 16 << 20
 
