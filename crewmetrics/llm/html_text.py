@@ -414,7 +414,9 @@ def main_texts(pages: DataFrame, least: int = 3) -> DataFrame:
     learnt = scratch.save(wrappers(pages))
     unsure = F.udf(lambda w: not _sure(json.loads(w)), "boolean")
     loose = scratch.save(learnt.where(unsure("wrapper")))
-    constant = scratch.save(_constants(pages.select("host", "html").join(loose, "host"), least))
+    constant = _constants(pages.select("host", "html").join(loose, "host"), least)
+    # Written, so that the join with the pages knows its size: pages move only if wrappers are too many to broadcast.
+    learnt = scratch.save(learnt.join(constant, "host", "left"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[list, set[str]]] = {}
@@ -430,7 +432,7 @@ def main_texts(pages: DataFrame, least: int = 3) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    rows = pages.join(learnt.join(constant, "host", "left"), "host").select("page_id", "url", "host", "html", "wrapper", "constant")
+    rows = pages.join(learnt, "host").select("page_id", "url", "host", "html", "wrapper", "constant")
     return rows.mapInArrow(run, rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long"))
 
 
