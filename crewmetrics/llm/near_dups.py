@@ -32,11 +32,13 @@ from crewmetrics.llm.common import Scratch
 COLUMNS, ORDERS, DEPTH, KEY = 128, 25, 5, 20
 REGION, NEAR = 8, 2
 WIDE_REGION, WIDE_NEAR = 64, 16
+#: Pairs of a node that are confirmed before it is asked which others still lie between components.
+ROUNDS, WIDE_ROUNDS = (2, 16), ()
 #: Differing single bits of two signatures with 0.8 of the columns equal: 12.8 expected, 28 is 4.5 deviations off.
 BITS = 28
 #: Node ids to be broadcast at most; beyond that the join shuffles.
 BROADCAST_IDS = 1_000_000
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 
 _rng = random.Random(1)
 _odd = lambda: _rng.getrandbits(64) | 1
@@ -295,6 +297,8 @@ def link(pairs: DataFrame, sets: DataFrame, scratch: Scratch, labels: DataFrame
     remaining = scratch.save(pairs.withColumn("rank", rank)) if rounds else pairs
     for most in (*rounds, None):
         chosen = remaining if most is None else remaining.where(F.col("rank") <= most)
+        if labels is not None and remaining.isEmpty():
+            break
         links = confirm(chosen.select("a", "b"), sets)
         if labels is not None:
             links = links.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
@@ -347,12 +351,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         _narrowed(docs, scratch.save(ids.distinct())).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text")
         .mapInArrow(_sets, "id long, items array<long>")
     )
-    labels = link(pairs, sets, scratch, rounds=(2,))
+    labels = link(pairs, sets, scratch, rounds=ROUNDS)
     if not split.isEmpty():
         again = nodes.join(split, "id", "left_semi").join(labels, "id", "left")
         again = again.select("id", "size", "signature", F.coalesce("component", "id").alias("component"))
         wide, _ = candidates(again, scratch, WIDE_REGION, WIDE_NEAR)
-        labels = link(wide, sets, scratch, labels)
+        labels = link(wide, sets, scratch, labels, WIDE_ROUNDS)
     component = F.coalesce("component", "rep")
     return rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
