@@ -11,6 +11,7 @@
    between components. Components come from alternating large-star and small-star steps over the links.
 5. Nodes of regions that were split are sorted once more, each with its component. Wider regions are looked at, and
    only nodes of different components meet, so a group of near copies costs rows in proportion to its size.
+6. Nodes of regions that were split even then meet by a prefix filter on their rarest shingles, which misses no pair.
 
 At the threshold itself a pair shares five leading columns in one of 25 orders with probability 1 - 5e-5.
 """
@@ -315,6 +316,28 @@ def link(pairs: DataFrame, sets: DataFrame, scratch: Scratch, labels: DataFrame
     return labels
 
 
+def blocked(sets: DataFrame) -> DataFrame:
+    """Of ``sets`` (id, items, component) pairs a < b of different components, among them all at the threshold.
+
+    Shingles are ordered by how many sets hold them, rare ones first. The first one that two sets share has at least the
+    overlap behind it, so it is among the first 1/5 of the larger set and the first 1/9 of the smaller one.
+    """
+    items = sets.select("id", "component", F.size("items").alias("size"), F.explode("items").alias("item"))
+    held = items.groupBy("item").agg(
+        F.count(F.lit(1)).alias("n"), (F.min("component") < F.max("component")).alias("shared")
+    )
+    at = F.row_number().over(Window.partitionBy("id").orderBy("n", "item"))
+    placed = items.join(held, "item").withColumn("at", at).where("shared and at <= size - (4 * size + 4) div 5 + 1")
+    columns = ("id", "component", "size", "at")
+    small = placed.where("at <= size - (8 * size + 8) div 9 + 1").select("item", *(F.col(c).alias(f"{c}_a") for c in columns))
+    large = placed.select("item", *(F.col(c).alias(f"{c}_b") for c in columns))
+    met = small.join(large, "item").where(
+        "component_a <> component_b and (size_a < size_b or size_a = size_b and id_a < id_b) and 5 * size_a >= 4 * size_b "
+        "and 9 * least(size_a - at_a + 1, size_b - at_b + 1) >= 4 * (size_a + size_b)"
+    )
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
 def _narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents with ``ids``, which are broadcast up to a checked number of them."""
     ids = ids.withColumnRenamed("id", "doc_id")
@@ -355,8 +378,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not split.isEmpty():
         again = nodes.join(split, "id", "left_semi").join(labels, "id", "left")
         again = again.select("id", "size", "signature", F.coalesce("component", "id").alias("component"))
-        wide, _ = candidates(again, scratch, WIDE_REGION, WIDE_NEAR)
+        wide, still = candidates(again, scratch, WIDE_REGION, WIDE_NEAR)
         labels = link(wide, sets, scratch, labels, WIDE_ROUNDS)
+        if not still.isEmpty():
+            hot = sets.join(still, "id", "left_semi").join(labels, "id", "left")
+            hot = hot.select("id", "items", F.coalesce("component", "id").alias("component"))
+            labels = link(scratch.save(blocked(hot)), sets, scratch, labels, ROUNDS)
     component = F.coalesce("component", "rep")
     return rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")

@@ -137,3 +137,20 @@ def test_near_copies_that_only_meet_in_a_hub_are_found(spread):
     rows = [(i, changed(rng.randrange(3)), None, None) for i in range(300)] + [(1000 + i, changed(14), None, None) for i in range(150)]
     got = N.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(5)).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_pairs_among_many_different_texts_of_one_template_are_found(spread):
+    """Texts that share a long passage but stay below 0.8 with each other, and pairs at 0.8 among them."""
+    spark = spread
+    rng = random.Random(11)
+    passage = [f"t{i}" for i in range(165)]
+    own = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for _ in range(300):
+        tail = own(35)
+        rows.append((len(rows), " ".join(passage + tail), None, None))
+        rows.append((len(rows), " ".join(passage + tail[:14] + own(21)), None, None))
+    rng.shuffle(rows)
+    got = N.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(5)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert sum(r.kept for r in got) == 300
