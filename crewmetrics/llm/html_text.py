@@ -285,7 +285,10 @@ def read(node: Node, wrapper: list, inside: bool = False, path: str = "") -> Ite
         slot = f"{path}/{position}"
         if isinstance(kid, tuple):
             yield slot, *kid, inside
-        elif element is not None and not _dropped(element, inside):
+            continue
+        if element is None:  # read by its own shape
+            element = shape(kid)
+        if not _dropped(element, inside):
             yield from read(kid, element, inside or _is_main(element[0]), slot)
 
 
@@ -295,19 +298,23 @@ def _along(names: list[str], elements: list[list]) -> Iterator[tuple[str, list |
     An element may be followed by itself if it is repeated, and a group by its next turn.
     """
     flat: list[tuple[str, str, list]] = []
-    back: dict[int, int] = {}  # where a repeated element or group may go back to
-    for p, kid in enumerate(elements):
-        begin = len(flat)
-        if kid[0] == "()":
-            flat += [(_key(k), f"{p}.{q}", k) for q, k in enumerate(kid[2])]
-        else:
-            flat.append((_key(kid), str(p), kid))
-        if kid[1] in "+*":
-            back[len(flat) - 1] = begin
+    back: list[tuple[int, int]] = []  # last and first place of what is repeated, inner groups before outer ones
+
+    def lay(kids: list[list], prefix: str) -> None:
+        for p, kid in enumerate(kids):
+            begin = len(flat)
+            if kid[0] == "()":
+                lay(kid[2], f"{prefix}{p}.")
+            else:
+                flat.append((_key(kid), f"{prefix}{p}", kid))
+            if kid[1] in "+*":
+                back.append((len(flat) - 1, begin))
+
+    lay(elements, "")
     at = 0
     for key in names:
         places = [i for i in range(at, len(flat)) if flat[i][0] == key]
-        turn = [b for e, b in back.items() if b <= at - 1 <= e]
+        turn = [b for e, b in back if b <= at - 1 <= e]
         again = [i for b in turn for i in range(b, at) if flat[i][0] == key]
         if again and (not places or places[0] > at):
             place = again[0]

@@ -76,3 +76,13 @@ def test_wrappers_generalise():
     assert [(k[0], k[1]) for k in groups[2]] == [("()", "+")]
     a, b = H.shape(H.parse("<p>1</p>")), H.shape(H.parse("<p>2</p><p>3</p>"))
     assert json.dumps(H.merge(a, b)) == json.dumps(H.merge(b, a))
+
+
+def test_repetition_within_repetition_is_read():
+    one = lambda html: H.extract(html, H.shape(H.parse(html)))
+    turn = "<p>a</p><ul><li>b</li></ul><p>c</p><ul><li>d</li></ul><h2>e</h2>"
+    assert one(f"<article>{turn * 2}</article>") == "\n\n".join("abcde" * 2)
+    turn = "<p>a</p><pre>b</pre><p>c</p><pre>d</pre><h2>e</h2>"
+    assert one(f"<article><h1>t</h1>{turn * 3}</article>") == "\n\n".join("t" + "abcde" * 3)
+    # An element the wrapper has no place for.
+    assert H.extract("<article><p>a</p><div>b</div></article>", H.shape(H.parse("<article><p>a</p></article>"))) == "a\n\nb"
