@@ -330,12 +330,12 @@ def _along(names: list[str], elements: list[list]) -> Iterator[tuple[str, list |
 
 
 def extract(html: str | None, wrapper: list, constant: set[str] = frozenset()) -> str:
-    """The blocks of the page's article; without one, all texts that are neither constant nor mostly links."""
+    """The blocks of the page's article; without one, all texts that are neither constant nor links that repeat over pages."""
     found = list(read(parse(html), wrapper))
     if any(inside for *_, inside in found):
         blocks = [text for _, text, _, inside in found if inside]
     else:
-        blocks = [text for slot, text, links, _ in found if slot not in constant and 2 * links <= len(text)]
+        blocks = [text for slot, text, links, _ in found if not (slot in constant or 2 * links > len(text) and f"={_mark(text)}" in constant)]
     return "\n\n".join(blocks)
 
 
@@ -379,31 +379,41 @@ def wrappers(pages: DataFrame, levels: tuple[int, ...] = (64, 1)) -> DataFrame:
     return found
 
 
+def _mark(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) >> 1
+
+
 def _constants(pages: DataFrame, least: int) -> DataFrame:
-    """host, constant: the slots that hold one text on all of at least ``least`` pages without an article."""
+    """host, constant: the slots that hold one text on all of at least ``least`` pages, and ``=`` with the marks of texts
+    that are mostly links on so many. Pages with the same texts are one page.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list] = {}
-        found: dict[tuple[str, str], tuple[int, int, int]] = {}
         for batch in batches:
+            found = []
             for row in range(batch.num_rows):
                 host, html, wrapper = (batch.column(c)[row].as_py() for c in range(3))
                 if host not in known:
                     known[host] = json.loads(wrapper)
                 rows = list(read(parse(html), known[host]))
-                if any(inside for *_, inside in rows):
-                    continue
-                for slot, text in {(slot, text) for slot, text, *_ in rows}:
-                    mark = xxhash.xxh64_intdigest(text) >> 1
-                    low, high, n = found.get((host, slot), (mark, mark, 0))
-                    found[host, slot] = min(low, mark), max(high, mark), n + 1
-        columns = list(zip(*[(h, s, *v) for (h, s), v in found.items()])) or [[]] * 5
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["host", "slot", "low", "high", "n"])
-
-    parts = pages.select("host", "html", "wrapper").mapInArrow(count, "host string, slot string, low long, high long, n long")
-    same = parts.groupBy("host", "slot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
-    return same.where((F.col("low") == F.col("high")) & (F.col("n") >= least)).groupBy("host").agg(
+                if rows:
+                    whole = xxhash.xxh128_hexdigest(json.dumps([text for _, text, *_ in rows]))
+                    held = {(slot, _mark(text)) for slot, text, *_ in rows}
+                    held |= {(f"={_mark(text)}", 0) for _, text, links, _ in rows if 2 * links > len(text)}
+                    found.append((host, whole, [{"slot": s, "mark": m} for s, m in sorted(held)]))
+            columns = list(zip(*found)) or [[]] * 3
+            kinds = [pa.string(), pa.string(), pa.list_(pa.struct([("slot", pa.string()), ("mark", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["host", "whole", "held"])
+
+    votes = pages.select("host", "html", "wrapper").mapInArrow(count, "host string, whole string, held array<struct<slot string, mark long>>")
+    votes = votes.dropDuplicates(["host", "whole"])
+    total = votes.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    same = votes.select("host", F.inline("held")).groupBy("host", "slot").agg(
+        F.min("mark").alias("low"), F.max("mark").alias("high"), F.count(F.lit(1)).alias("n")
+    )
+    same = same.where((F.col("low") == F.col("high")) & (F.col("n") >= least)).join(total, "host")
+    return same.where((F.col("n") == F.col("pages")) | F.col("slot").startswith("=")).groupBy("host").agg(
         F.concat_ws(" ", F.sort_array(F.collect_list("slot"))).alias("constant")
     )
 
@@ -414,7 +424,8 @@ def main_texts(pages: DataFrame, least: int = 3) -> DataFrame:
     Character references are decoded, white space inside a block is one space, blocks are joined by an empty line. A null
     html or one without an article's text has an empty text. Pages without a host are one host's. A page of its
     own host is read by the wrapper of that page alone. Repeated rows and null ids are returned as they are, no
-    pages give no rows; other columns are not read. A host's constant slots are those of its wrapper, a bounded list.
+    pages give no rows; other columns are not read. A host's constant slots are those of its wrapper, a bounded list;
+    beside them are texts of links that several of its pages share.
     """
     scratch = Scratch(pages.sparkSession)
     pages = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")

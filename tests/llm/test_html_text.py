@@ -86,3 +86,15 @@ def test_repetition_within_repetition_is_read():
     assert one(f"<article><h1>t</h1>{turn * 3}</article>") == "\n\n".join("t" + "abcde" * 3)
     # An element the wrapper has no place for.
     assert H.extract("<article><p>a</p><div>b</div></article>", H.shape(H.parse("<article><p>a</p></article>"))) == "a\n\nb"
+
+
+def test_copies_are_one_page_and_links_that_do_not_repeat_stay(spark):
+    copy = "<body><div><h1>T</h1><p>alpha</p></div></body>"
+    rows = [(i, "http://copies.example/", copy + f"<script>{i}</script>", None, None) for i in range(4)]
+    rows += [
+        (10 + i, "http://mixed.example/", f'<body><div><p>Menu</p><ul><li><a href="/">Home</a></li></ul><h1>T{i}</h1><p><a href="/{i}">source {i}</a></p></div></body>', None, None)
+        for i in range(4)
+    ]
+    got = {r.page_id: r.text for r in H.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [got[i] for i in range(4)] == ["T\n\nalpha"] * 4
+    assert [got[10 + i] for i in range(4)] == [f"T{i}\n\nsource {i}" for i in range(4)]
