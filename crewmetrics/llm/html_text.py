@@ -42,6 +42,8 @@ WORDS = set(
     "breadcrumb breadcrumbs footer masthead share sharing social related recommended popup modal overlay widget pagination pager toolbar "
     "complementary contentinfo search dialog hidden".split()
 )
+#: Elements whose ids name what they are about.
+NAMED = set("h1 h2 h3 h4 h5 h6 section".split())
 HEAD_WORDS = {"header", "topbar"}
 
 TOKEN = re.compile(
@@ -66,14 +68,14 @@ class Node:
 
 
 def _name(tag: str, attributes: str) -> str:
-    """The tag with class, id and role; numbers in them are all alike."""
+    """The tag with class, id (with a #) and role; numbers in them are all alike."""
     if not attributes or attributes.isspace():
         return tag
     words = []
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key = key.lower()
         if key in ("class", "id", "role"):
-            words += entities.unescape(a or b or c).split()
+            words += [("#" if key == "id" else "") + w for w in entities.unescape(a or b or c).split()]
         elif key == "hidden" or key == "aria-hidden" and (a or b or c) == "true":
             words.append("hidden")
     return " ".join([tag, *sorted({re.sub(r"\d+", "0", w) for w in words})])
@@ -251,35 +253,52 @@ def shape(node: Node) -> list:
 
 
 def _words(name: str) -> set[str]:
-    return {w for part in name.split()[1:] for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", part).lower())}
+    return {w for part in name.split(" ")[1:] for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", part).lower())}
 
 
 def _tag(name: str) -> str:
     return name.partition(" ")[0]
 
 
+def _tokens(name: str) -> set[str]:
+    """Whole words of class, id and role; headings and sections go by what they are, not by their ids."""
+    tag, *parts = name.lower().split()
+    return {w.removeprefix("#") for w in parts if w[0] != "#" or tag not in NAMED}
+
+
 def _is_main(name: str) -> bool:
-    return _tag(name) in ("article", "main") and not _words(name) & WORDS or "main" in name.split()[1:]
+    return _tag(name) in ("article", "main") or bool({"main", "#main"} & set(name.split()[1:]))
 
 
 def _has_main(kid: list) -> bool:
-    return _is_main(kid[0]) or any(_has_main(k) for k in kid[2] if not _dropped(k, False))
+    """Whether the article may be in here; in what looks like no article, articles that do so too don't count."""
+    return _is_main(kid[0]) and not _tokens(kid[0]) & WORDS or any(_has_main(k) for k in kid[2] if not _dropped(k, False))
 
 
-def _dropped(kid: list, inside: bool) -> bool:
+def _dropped(kid: list, inside: int) -> bool:
     """Whether an element is no part of an article; ``inside``: it stands in one."""
-    tag, words = _tag(kid[0]), _words(kid[0])
+    tag = _tag(kid[0])
     if tag in NO_TEXT:
         return True
     if tag in ("#root", "html", "body") or _is_main(kid[0]):
         return False
-    if tag in ASIDE or words & WORDS or not inside and (tag == "header" or words & HEAD_WORDS):
-        return inside or not any(_has_main(k) for k in kid[2])
+    if inside:
+        return tag in ASIDE or bool(_tokens(kid[0]) & WORDS)
+    words = _words(kid[0])
+    if tag in ASIDE or words & WORDS or tag == "header" or words & HEAD_WORDS:
+        return not any(_has_main(k) for k in kid[2])
     return False
 
 
-def read(node: Node, wrapper: list, inside: bool = False, path: str = "") -> Iterator[tuple[str, str, int, bool]]:
-    """(slot, text, characters in links, inside an article) of what the wrapper doesn't drop, in the page's order."""
+def _doubtful(name: str) -> bool:
+    """Whether parts of class words say that an element of an article is none of it."""
+    parts = [w for w in name.split()[1:] if w[0] != "#" or _tag(name) not in NAMED]
+    return not _is_main(name) and bool(_words(" ".join(["", *parts])) & WORDS)
+
+
+def read(node: Node, wrapper: list, inside: int = 0, path: str = "") -> Iterator[tuple[str, str, int, int]]:
+    """(slot, text, characters in links, inside) of what the wrapper doesn't drop, in the page's order; ``inside`` is
+    1 in an article and 2 in a doubtful part of one."""
     names = ["#" if isinstance(kid, tuple) else kid.name for kid in node.kids]
     for kid, (position, element) in zip(node.kids, _along(names, wrapper[2])):
         slot = f"{path}/{position}"
@@ -289,7 +308,8 @@ def read(node: Node, wrapper: list, inside: bool = False, path: str = "") -> Ite
         if element is None:  # read by its own shape
             element = shape(kid)
         if not _dropped(element, inside):
-            yield from read(kid, element, inside or _is_main(element[0]), slot)
+            within = 2 if inside and _doubtful(element[0]) else 1 if _is_main(element[0]) else 0
+            yield from read(kid, element, max(inside, within), slot)
 
 
 def _along(names: list[str], elements: list[list]) -> Iterator[tuple[str, list | None]]:
@@ -330,10 +350,10 @@ def _along(names: list[str], elements: list[list]) -> Iterator[tuple[str, list |
 
 
 def extract(html: str | None, wrapper: list, constant: set[str] = frozenset()) -> str:
-    """The blocks of the page's article; without one, all texts that are neither constant nor links that repeat over pages."""
+    """The blocks of the page's article but constant ones in doubtful parts; without one, all texts that are neither constant nor links that repeat over pages."""
     found = list(read(parse(html), wrapper))
     if any(inside for *_, inside in found):
-        blocks = [text for _, text, _, inside in found if inside]
+        blocks = [text for slot, text, _, inside in found if inside == 1 or inside == 2 and slot not in constant]
     else:
         blocks = [text for slot, text, links, _ in found if not (slot in constant or 2 * links > len(text) and f"={_mark(text)}" in constant)]
     return "\n\n".join(blocks)
@@ -430,7 +450,7 @@ def main_texts(pages: DataFrame, least: int = 3) -> DataFrame:
     scratch = Scratch(pages.sparkSession)
     pages = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
     learnt = scratch.save(wrappers(pages))
-    unsure = F.udf(lambda w: not _sure(json.loads(w)), "boolean")
+    unsure = F.udf(lambda w: not _sure(json.loads(w)) or _doubts(json.loads(w)), "boolean")
     loose = scratch.save(learnt.where(unsure("wrapper")))
     constant = _constants(pages.select("host", "html").join(loose, "host"), least)
     # Written, so that the join with the pages knows its size: pages move only if wrappers are too many to broadcast.
@@ -459,3 +479,11 @@ def _sure(wrapper: list) -> bool:
     if _is_main(wrapper[0]):
         return wrapper[1] in "1+"
     return wrapper[1] in "1+" and any(_sure(k) for k in wrapper[2] if not _dropped(k, False))
+
+
+def _doubts(wrapper: list, inside: bool = False) -> bool:
+    """Whether an article of the wrapper has doubtful parts."""
+    if _dropped(wrapper, inside):
+        return False
+    within = inside or _is_main(wrapper[0])
+    return inside and _doubtful(wrapper[0]) or any(_doubts(k, within) for k in wrapper[2])

@@ -98,3 +98,17 @@ def test_copies_are_one_page_and_links_that_do_not_repeat_stay(spark):
     got = {r.page_id: r.text for r in H.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
     assert [got[i] for i in range(4)] == ["T\n\nalpha"] * 4
     assert [got[10 + i] for i in range(4)] == [f"T{i}\n\nsource {i}" for i in range(4)]
+
+
+def test_words_in_class_or_id_do_not_lose_articles_or_headings(spark):
+    one = lambda html: H.extract(html, H.shape(H.parse(html)))
+    assert one("<article class='post category-social'><p>x</p></article>") == "x"
+    assert one("<main class='hentry comments-open'><p>x</p></main>") == "x"
+    assert one("<article><h2 id='search-methods'>M</h2><section id='related'><p>w</p></section></article>") == "M\n\nw"
+    assert one("<article><div class='entry-content no-sidebar'><p>x</p></div><div class='Comments'>no</div></article>") == "x"
+    # Doubtful parts go where they hold one text on all pages of the host.
+    rows = [
+        (i, "http://x/", f"<article><p>a{i}</p><div class='share-bar'>Tell</div><div class='no-sidebar'>b{i}</div></article>", None, None) for i in range(4)
+    ]
+    got = {r.page_id: r.text for r in H.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: f"a{i}\n\nb{i}" for i in range(4)}
