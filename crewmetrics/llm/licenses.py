@@ -111,6 +111,22 @@ GOES_ON = r"([^.!?:;\n])[ \t]*\r?\n[ \t]*([a-z])"
 SHOUTS_ON = r"([A-Z]+,? +[A-Z]+,?)[ \t]*\r?\n[ \t]*([A-Z]+[ ,])"
 ENDS = r"[.!?;]+[ \t\r]+|[.!?:;]*[ \t\r]*\n"
 OTHER = r"[^a-z0-9]+"
+#: Wraps of verbatim notices that the patterns above leave apart, and ends of sentences that are none. No known sentence
+#: begins with what is joined here.
+WRAPS = [
+    r"([A-Z]+[\"'”]?,? +[A-Z]+[\"'”]?,?)[ \t]*\r?\n[ \t]*(WITHOUT|WARRANT|CONDITIONS|OF|EXPRESS|BASIS)\b",
+    r"\b(an|provided|PROVIDED)[ \t]*\r?\n[ \t]*([\"“']?AS IS\b)",
+    r"(\"?AS IS[\"”']?,?)[ \t]*\r?\n[ \t]*(BASIS|WITHOUT)\b",
+    r"(?i)(license, or)[ \t]*\r?\n[ \t]*(\(at your option)",
+    r"\b(of|or|but|A)[ \t]*\r?\n[ \t]*(MERCHANTABILITY|FITNESS|WITHOUT ANY WARRANTY|PARTICULAR)\b",
+    r"\b(the|by)[ \t]*\r?\n[ \t]*(GNU|Mozilla Public|Apache License|Free Software Foundation)\b",
+    r"\b(GNU|General|Public|Mozilla|Apache|Free|Software)[ \t]*\r?\n[ \t]*(General|Public|License,|License as|Software Foundation|Foundation)",
+    r"(?i)(license, (?:version|v\.))[ \t]*\r?\n[ \t]*(\d)",
+    r"(?i)(free software);\s+(you can redistribute)",
+    r"(?i)(software foundation);\s+(either version \d)",
+    r"(?i)(any warranty);\s+(without even)",
+    r"(?i)(license, v)\.[ \t]*(\d)",
+]
 
 
 def rule_patterns() -> list[tuple[str, str]]:
@@ -126,6 +142,8 @@ def _sentences(text: Column) -> Column:
     text = F.regexp_replace(text, COMMENT, "$1")
     for pattern in (GOES_ON, SHOUTS_ON):
         text = F.regexp_replace(text, pattern, "$1 $2")
+    for pattern in WRAPS:
+        text = F.regexp_replace(text, pattern, "$1 $2")
     parts = F.split(F.regexp_replace(text, ENDS, "\n"), "\n")
     plain = lambda s: F.trim(F.regexp_replace(F.lower(s), OTHER, " "))
     return F.transform(parts, plain)

@@ -70,3 +70,41 @@ def test_long_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, text, None), (1, text, None), (None, text, None)], DOCS)
     assert [r.licenses for r in L.scan(df).collect()] == ["MIT"] * 3
     assert L.scan(df.limit(0)).collect() == []
+
+
+GPL = """# This program is free software{0} you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation{1} either version {2} of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+#
+# You should have received a copy of the GNU General Public License along
+# with this program"""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License."""
+
+
+def test_verbatim_headers(spark):
+    two = GPL.format(";", ";", 2) + "; if not, write to the Free Software\n# Foundation, Inc., 51 Franklin Street, Boston, MA 02110-1301 USA."
+    three = GPL.format(":", ",", 3) + ".  If not, see <https://www.gnu.org/licenses/>."
+    got = scan(spark, two, three, MPL, APACHE)
+    assert got[0][:2] == ("gpl2Later,gnuWarranty,gplSee,gplCopy", "GPL-2.0-or-later")
+    assert got[1][:2] == ("gpl3Later,gnuWarranty,gplSee,gplCopy", "GPL-3.0-or-later")
+    assert got[2][:2] == ("mpl2", "MPL-2.0")
+    assert got[3][:2] == ("apache2,apacheUse,apacheCopy,apacheWarranty,apacheSee", "Apache-2.0")
