@@ -120,13 +120,13 @@ def _sample(docs: DataFrame, ids: DataFrame, rows: int) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Learns from rows outside the held-out fold only.
 
-    The class prior is the share of quality 1 among their labels (0.5 to 0.99). Without positives or
+    The class prior is the share of quality 1 among their labels (0.01 to 0.99, 0.5 without labels). Without positives or
     without documents the model says the prior for every text.
     """
     ids = docs.select("doc_id").where("doc_id is not null").where(fold(F.col("doc_id")) != HELD_OUT).distinct()
     known = labels.where("doc_id is not null and quality is not null").where(fold(F.col("doc_id")) != HELD_OUT)
     share = known.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-    prior = min(max(share if share is not None else 0.5, 0.5), 0.99)
+    prior = min(max(share if share is not None else 0.5, 0.01), 0.99)
     trusted = known.where("quality = 1").select("doc_id").distinct()
     positive, unlabelled = _sample(docs, trusted, rows), _sample(docs, ids, rows)
     if not len(positive) or not len(unlabelled):

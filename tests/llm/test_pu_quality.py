@@ -79,3 +79,12 @@ def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([], LABELS)
     assert [r.score for r in Q.report(docs, none).collect()] == [0.5]
     assert Q.report(docs.limit(0), none).collect() == []
+
+
+def test_the_prior_is_the_share_of_good_labels_even_if_few_are_good(spark):
+    rows = [(i, f"some words of text {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, quality int")
+    known = labels.where(Q.fold(F.col("doc_id")) != Q.HELD_OUT).agg(F.avg("quality")).first()[0]
+    assert known < 0.4
+    assert abs(Q.train(docs, labels).prior - known) < 1e-9
