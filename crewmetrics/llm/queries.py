@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crewmetrics.llm import html_text, language, lexical, licenses, mixing, near_dups, pu_quality, quality_rules, suffixes, tokens, warc
+from crewmetrics.llm import html_text, language, lexical, licenses, mixing, near_dups, periodic, pu_quality, quality_rules, suffixes, tokens, warc
 from crewmetrics.llm.common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -55,6 +55,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_ranked_search": op13_ranked_search,
 }
 
@@ -79,5 +84,6 @@ ORACLES: dict[str, str] = {
     "op5_license_scan": licenses.oracle(),
     "op6_source_mix": mixing.ORACLE,
     "op7_warc_round_trip": warc.ORACLE,
+    "op11_periodic_runs": periodic.ORACLE,
     "op13_ranked_search": lexical.ORACLE,
 }
