@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crewmetrics.llm import html_text, language, lexical, licenses, mixing, near_dups, periodic, pu_quality, quality_rules, suffixes, tokens, warc
+from crewmetrics.llm import html_text, language, lexical, licenses, mixing, near_dups, periodic, pu_quality, quality_rules, recurrent, suffixes, tokens, warc
 from crewmetrics.llm.common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -59,6 +59,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(table(spark, sf_dir, "documents"))
 
 
+def op12_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent.report(table(spark, sf_dir, "documents"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_recurrent_scores": op12_recurrent_scores,
     "op13_ranked_search": op13_ranked_search,
 }
 
