@@ -8,7 +8,7 @@ The output softmax is factored: first the class, then the symbol within its clas
 Training covers each training text once. Every task trains a copy of the network on its texts by
 truncated backpropagation and the copies are averaged, weighted by tokens, after each of ``ROUNDS``
 rounds; a round takes the texts that a hash deals to it. Texts run side by side in streams; the
-state is carried from window to window and cleared where a text begins, in training and in scoring,
+state is carried from window to window and cleared where a text (in training, a piece of one) begins,
 so a score is that of the complete text, however long, whatever its neighbours.
 
 Counts of words beyond the ``HEAD`` commonest never meet in one place: the words of texts join
@@ -37,7 +37,9 @@ SHORT_LIST = 1_022
 CLASS = 32  # symbols in a class
 INPUT, HIDDEN = 16, 16
 WINDOW = 16  # steps of backpropagation
-STREAMS = 512
+STREAMS = 256
+#: Training learns from longer texts in pieces of so many tokens, so that all streams go on to the end.
+PIECE = 2_048
 ROUNDS = 2
 #: Step of Adagrad, in each round smaller by as much, and the squares of gradients that it begins with.
 RATE, SQUARES = 0.05, 1e-7
@@ -111,6 +113,11 @@ class Shape:
         return vector
 
 
+def _order(symbols: np.ndarray) -> np.ndarray:
+    """Places by symbol; small numbers are sorted digit by digit."""
+    return np.argsort(symbols.astype(np.uint16) if len(symbols) and symbols.max() < 1 << 16 else symbols, kind="stable")
+
+
 class Network:
     def __init__(self, shape: Shape, vector: np.ndarray):
         self.shape, self.vector = shape, vector
@@ -130,15 +137,15 @@ class Network:
             yield at, real, before, (~fresh).astype(np.float32)[:, :, None]
 
     def inputs(self) -> tuple[np.ndarray, np.ndarray]:
-        """What each symbol sends to the gates (halved, see ``forward``) and to the new state."""
+        """What each symbol sends to the gates (negated, see ``forward``) and, twice, to the new state."""
         x, h = self.w["embed"] @ self.w["inner"] + self.w["bias"], self.shape.hidden
-        return x[:, : 2 * h] * np.float32(0.5), np.ascontiguousarray(x[:, 2 * h :])
+        return -x[:, : 2 * h], x[:, 2 * h :] * np.float32(2)
 
     def forward(self, before: np.ndarray, kept: np.ndarray, state: np.ndarray, given: tuple[np.ndarray, np.ndarray]) -> tuple:
         """States after each step of a window, and what backpropagation needs."""
         h = self.shape.hidden
         to_gates, to_news = given
-        half, news_by = self.w["gates"] * np.float32(0.5), self.w["news"]
+        gates_by, news_by = -self.w["gates"], self.w["news"] * np.float32(2)
         steps, n = before.shape
         states, old, inner, news = (np.empty((steps, n, h), dtype=state.dtype) for _ in range(4))
         gates = to_gates[before]
@@ -146,15 +153,20 @@ class Network:
         for t in range(steps):
             np.multiply(state, kept[t], out=old[t])
             gate = gates[t]
-            gate += old[t] @ half
-            np.tanh(gate, out=gate)  # the logistic function of twice its argument, as (1 + tanh) / 2
+            gate += old[t] @ gates_by
+            np.minimum(gate, STEEP, out=gate)
+            np.exp(gate, out=gate)
             gate += 1
-            gate *= 0.5
+            np.reciprocal(gate, out=gate)
             np.matmul(old[t], news_by, out=inner[t])
             new = news[t]
             np.multiply(gate[:, h:], inner[t], out=new)
             new += x[t]
-            np.tanh(new, out=new)
+            np.minimum(new, STEEP, out=new)  # its tangent, from the exponential function of twice its argument
+            np.exp(new, out=new)
+            new += 1
+            np.divide(-2, new, out=new)
+            new += 1
             state = states[t]
             np.subtract(old[t], new, out=state)
             state *= gate[:, :h]
@@ -167,7 +179,7 @@ class Network:
             logits -= logits.max(axis=1, keepdims=True)
         found = logits[np.arange(len(logits)), chosen]
         p = np.exp(logits, out=logits)
-        total = p.sum(axis=1)
+        total = p @ np.ones(p.shape[1], p.dtype)
         found -= np.log(total)
         return found, total
 
@@ -176,7 +188,7 @@ class Network:
         negated sum, by weights (added to ``grad``) and by states. ``steep``: if logits may be large."""
         w, size = self.w, self.shape.size
         steep = self.steep() if steep is None else steep
-        order = np.argsort(symbols, kind="stable")
+        order = _order(symbols)
         symbols, states = symbols[order], states[order]
         group = symbols // size
         p = states @ w["classes"].T
@@ -186,7 +198,7 @@ class Network:
             p /= total[:, None]
             p[np.arange(len(group)), group] -= 1
             grad["classes"] += p.T @ states
-            grad["class_bias"] += p.sum(axis=0)
+            grad["class_bias"] += np.ones(len(p), p.dtype) @ p
             by_states = p @ w["classes"]
         cut = np.searchsorted(group, np.arange(self.shape.classes + 1))
         for c in range(self.shape.classes):
@@ -203,11 +215,15 @@ class Network:
                 p /= total[:, None]
                 p[np.arange(len(place)), place] -= 1
                 grad["within"][c] += p.T @ here
-                grad["within_bias"][c] += p.sum(axis=0)
+                grad["within_bias"][c] += np.ones(len(p), p.dtype) @ p
                 by_states[at] += p @ w["within"][c]
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        return (found[back], by_states[back]) if grad is not None else found[back]
+        placed = np.empty_like(found)
+        placed[order] = found
+        if grad is None:
+            return placed
+        by_placed = np.empty_like(by_states)
+        by_placed[order] = by_states
+        return placed, by_placed
 
     def steep(self) -> bool:
         """If a state, none of whose numbers is beyond 1, could make a logit that overflows when raised."""
@@ -223,6 +239,7 @@ class Network:
         slope = gates * (1 - gates)
         by_gates, by_news, by_inner = np.empty_like(gates), np.empty_like(news), np.empty_like(news)
         new_slope, moved = 1 - news * news, old - news
+        half_inner = inner * np.float32(0.5)  # it was kept twofold
         gates_back, news_back = w["gates"].T, w["news"].T
         carried = np.zeros_like(old[0])
         for t in range(len(before) - 1, -1, -1):
@@ -232,7 +249,7 @@ class Network:
             d_new = np.subtract(d, d_old, out=by_news[t])
             d_new *= new_slope[t]
             np.multiply(d, moved[t], out=by_gates[t, :, :h])
-            np.multiply(d_new, inner[t], out=by_gates[t, :, h:])
+            np.multiply(d_new, half_inner[t], out=by_gates[t, :, h:])
             by_gates[t] *= slope[t]
             np.multiply(d_new, r, out=by_inner[t])
             d_old += by_gates[t] @ gates_back
@@ -243,12 +260,13 @@ class Network:
         grad["gates"] += flat_old @ by_gates.reshape(-1, 2 * h)
         grad["news"] += flat_old @ by_inner.reshape(-1, h)
         by_x = np.concatenate([by_gates.reshape(-1, 2 * h), by_news.reshape(-1, h)], axis=1)
-        grad["bias"] += by_x.sum(axis=0)
-        order = np.argsort(before, axis=None, kind="stable")
-        symbol, at = np.unique(before.ravel()[order], return_index=True)
-        sums = np.add.reduceat(by_x[order], at, axis=0)
-        grad["inner"] += w["embed"][symbol].T @ sums
-        grad["embed"][symbol] += sums @ w["inner"].T
+        grad["bias"] += np.ones(len(by_x), by_x.dtype) @ by_x
+        before = before.ravel()
+        grad["inner"] += w["embed"][before].T @ by_x
+        order = _order(before)
+        symbol = before[order]
+        at = np.flatnonzero(np.diff(symbol, prepend=-1))
+        grad["embed"][symbol[at]] += np.add.reduceat((by_x @ w["inner"].T)[order], at, axis=0)
 
     def log_probabilities(self, tokens: np.ndarray, first: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Of each token, given those before it in its text; natural logarithms."""
@@ -258,8 +276,11 @@ class Network:
         for at, real, before, kept in self.windows(tokens, first, begins, sizes):
             states, _ = self.forward(before, kept, state[: at.shape[1]], given)
             state = states[-1]
-            at = at[real]
-            found[at] = self.output(states[real], tokens[at], steep=steep)
+            if real.all():
+                found[at.ravel()] = self.output(states.reshape(-1, states.shape[-1]), tokens[at.ravel()], steep=steep)
+            else:
+                at = at[real]
+                found[at] = self.output(states[real], tokens[at], steep=steep)
         return found
 
     def train(self, packs: Iterator[tuple], rate: float = RATE) -> int:
@@ -273,9 +294,13 @@ class Network:
             for at, real, before, kept in self.windows(tokens, first, begins, sizes):
                 states, saved = self.forward(before, kept, state[: at.shape[1]], self.inputs())
                 state = states[-1]
-                by_states = np.zeros_like(states)
                 gradient[:] = 0
-                _, by_states[real] = self.output(states[real], tokens[at[real]], grad)
+                if real.all():
+                    _, by_states = self.output(states.reshape(-1, states.shape[-1]), tokens[at.ravel()], grad)
+                    by_states = by_states.reshape(states.shape)
+                else:
+                    by_states = np.zeros_like(states)
+                    _, by_states[real] = self.output(states[real], tokens[at[real]], grad)
                 self.backward(before, kept, saved, by_states, grad)
                 gradient /= WINDOW * len(sizes)  # a window of few streams weighs less
                 np.multiply(gradient, gradient, out=step)
@@ -319,6 +344,7 @@ class Vocabulary:
         counts = np.array([n_texts, *(n for _, n in head)], dtype=np.float64)
         known = min(short, len(head)) + 1
         self.symbol = np.minimum(np.arange(len(counts)), known)  # ``known`` is OTHER
+        self.listed = {w: i for w, i in self.at.items() if i < known}
         self.other = known
         self.n_tokens, self.n_distinct = n_tokens, n_distinct
         self.log_count = np.log10(counts + 0.5)
@@ -335,6 +361,11 @@ class Vocabulary:
         found = np.fromiter(map(self.at.get, ws, repeat(-1)), dtype=np.int64, count=len(ws))
         return np.append(found, 0)
 
+    def heard(self, ws: list[bytes]) -> np.ndarray:
+        """The symbols of a text's words and its end."""
+        found = np.fromiter(map(self.listed.get, ws, repeat(self.other)), dtype=np.int64, count=len(ws))
+        return np.append(found, 0)
+
     def symbols(self, places: np.ndarray) -> np.ndarray:
         return np.where(places < 0, self.other, self.symbol[places])
 
@@ -401,8 +432,9 @@ def train(texts: DataFrame, vocabulary, shape: Shape, rounds: int = ROUNDS) -> n
                 held, size = [], 0
                 for batch in batches:
                     for text in batch.column(0):
-                        held.append(vocabulary.value.symbols(vocabulary.value.places(words(text.as_py()))))
-                        size += len(held[-1])
+                        heard = vocabulary.value.heard(words(text.as_py()))
+                        held += [heard[i : i + PIECE] for i in range(0, len(heard), PIECE)]
+                        size += len(heard)
                         if size >= PACK:
                             yield pack(held)[0]
                             held, size = [], 0
