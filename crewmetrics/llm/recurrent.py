@@ -393,6 +393,25 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def commonest(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The commonest words of ``counts`` (word, n), up to ``most``, with their counts, most first.
+
+    Words are taken by classes of counts (eight in each power of two), each whole or not at all, so that nothing is
+    sorted and the driver gets no more than it keeps.
+    """
+    level = F.floor(8 * F.log2("n")).cast("int")
+    words = counts.where((F.octet_length("word") > 0) & (F.octet_length("word") <= LONGEST)).withColumn("level", level)
+    least, room = None, most
+    for row in words.groupBy("level").count().orderBy(F.desc("level")).collect():
+        if row["count"] > room:
+            break
+        least, room = row.level, room - row["count"]
+    if least is None:
+        return []
+    rows = words.where(F.col("level") >= least).select("word", "n").collect()
+    return sorted(((bytes(r.word), r.n) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
 def _average(parts: DataFrame, n_tasks: int) -> np.ndarray:
     """The weights of all tasks, weighted by their tokens. Rows are added up as they come, first in
     any task, then by slice, so that no task holds more than one vector of weights."""
@@ -510,7 +529,8 @@ def score(texts: DataFrame, counts: DataFrame, vocabulary, shape: Shape, weights
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(rest).schema.fields]
     schema = ", ".join([*fields, "n_tokens long, n_known long, base_score double, score double, tail map<binary,long>"])
     scored = texts.mapInArrow(run, schema)
-    scored = scratch.save(scored.withColumn("row", F.expr("uuid()")))  # written, so it is the same whenever read
+    # Rows get a number once, when they are written: it is the same whenever they are read.
+    scored = scratch.save(scored.withColumn("row", F.monotonically_increasing_id()))
     joined = scored.select("row", F.explode("tail").alias("word", "times")).join(counts, "word", "left")
     log_count = F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5)) * F.col("times")
     more = joined.groupBy("row").agg(
@@ -548,9 +568,7 @@ def report(docs: DataFrame, head: int = HEAD, short: int = SHORT_LIST, rounds: i
     counts = scratch.save(count_words(training.select("text")))
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("n").alias("v")).first()
     n_texts = counts.where(F.col("word") == F.lit(END)).first()
-    top = counts.where((F.octet_length("word") > 0) & (F.octet_length("word") <= LONGEST))
-    rows = top.orderBy(F.col("n").desc(), "word").limit(head).collect()  # at most HEAD * LONGEST bytes of words
-    found = Vocabulary([(bytes(r.word), r.n) for r in rows], n_texts.n if n_texts else 0, whole.n, whole.v, short)
+    found = Vocabulary(commonest(counts, head), n_texts.n if n_texts else 0, whole.n, whole.v, short)
     shape = Shape(found.other + 1)
     vocabulary = spark.sparkContext.broadcast(found)
     weights = train(training.select(F.col("doc_id").alias("key"), "text"), vocabulary, shape, rounds)
