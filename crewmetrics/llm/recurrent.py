@@ -37,6 +37,7 @@ SHORT_LIST = 1_022
 CLASS = 32  # symbols in a class
 INPUT, HIDDEN = 16, 16
 WINDOW = 16  # steps of backpropagation
+SCORED = 64  # steps of a window in which texts are only scored
 STREAMS = 256
 #: Training learns from longer texts in pieces of so many tokens, so that all streams go on to the end.
 PIECE = 2_048
@@ -123,12 +124,12 @@ class Network:
         self.shape, self.vector = shape, vector
         self.w = shape.cut(vector)
 
-    def windows(self, tokens: np.ndarray, first: np.ndarray, begins: np.ndarray, sizes: np.ndarray):
+    def windows(self, tokens: np.ndarray, first: np.ndarray, begins: np.ndarray, sizes: np.ndarray, width: int):
         """(places in ``tokens``, which of them are real, symbols before, states kept) for each window of
-        the streams [begin, begin + size), which stand longest first."""
-        for t in range(0, int(sizes[0]) if len(sizes) else 0, WINDOW):
+        the streams [begin, begin + size), which stand longest first; ``width`` steps each."""
+        for t in range(0, int(sizes[0]) if len(sizes) else 0, width):
             live = int(np.searchsorted(-sizes, -t, "left"))
-            steps = min(WINDOW, int(sizes[0]) - t)
+            steps = min(width, int(sizes[0]) - t)
             step = t + np.arange(steps)[:, None]
             real = step < sizes[:live]
             at = begins[:live] + np.where(real, step, 0)
@@ -273,7 +274,7 @@ class Network:
         found = np.zeros(len(tokens))
         given, steep = self.inputs(), self.steep()
         state = np.zeros((len(sizes), self.shape.hidden), dtype=self.vector.dtype)
-        for at, real, before, kept in self.windows(tokens, first, begins, sizes):
+        for at, real, before, kept in self.windows(tokens, first, begins, sizes, SCORED):
             states, _ = self.forward(before, kept, state[: at.shape[1]], given)
             state = states[-1]
             if real.all():
@@ -291,7 +292,7 @@ class Network:
         grad = self.shape.cut(gradient)
         for tokens, first, begins, sizes in packs:
             state = np.zeros((len(sizes), self.shape.hidden), dtype=self.vector.dtype)
-            for at, real, before, kept in self.windows(tokens, first, begins, sizes):
+            for at, real, before, kept in self.windows(tokens, first, begins, sizes, WINDOW):
                 states, saved = self.forward(before, kept, state[: at.shape[1]], self.inputs())
                 state = states[-1]
                 gradient[:] = 0

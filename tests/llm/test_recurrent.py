@@ -31,12 +31,12 @@ def log_likelihood(network, packed):
 
 
 def test_gradients_are_the_slopes(monkeypatch):
-    monkeypatch.setattr(recurrent, "WINDOW", 50)  # no truncation, so that the slope is that of the whole sum
+    monkeypatch.setattr(recurrent, "SCORED", 50)  # no truncation, so that the slope is that of the whole sum
     network = small()
     packed, _ = recurrent.pack(texts(6, 11))
     grad = network.shape.cut(gradient := np.zeros_like(network.vector))
     state = np.zeros((len(packed[3]), 5))
-    for at, real, before, kept in network.windows(*packed):
+    for at, real, before, kept in network.windows(*packed, 50):
         states, saved = network.forward(before, kept, state[: at.shape[1]], network.inputs())
         by_states = np.zeros_like(states)
         _, by_states[real] = network.output(states[real], packed[0][at[real]], grad)
@@ -70,7 +70,7 @@ def test_the_state_crosses_windows_and_no_text(monkeypatch):
     packed, order = recurrent.pack(some)
     found = np.add.reduceat(log_likelihood(network, packed), np.flatnonzero(packed[1]))
     for width in (1, 7, 2_000):
-        monkeypatch.setattr(recurrent, "WINDOW", width)
+        monkeypatch.setattr(recurrent, "SCORED", width)
         alone = [log_likelihood(network, recurrent.pack([some[i]])[0]).sum() for i in order]
         assert alone == pytest.approx(found.tolist(), rel=1e-4)
 
@@ -119,7 +119,7 @@ def report(spark, rows, **options):
 
 def test_report_equals_the_contract_and_learns(spark, spread):
     rows = corpus()
-    few, many = report(spark, rows, head=4, short=4), report(spark, rows, short=4)
+    few, many = report(spark, rows, head=8, short=4), report(spark, rows, short=4)
     for got in (few, many):
         assert sorted(((*r[:5], round(r.base_score, 6)) for r in got), key=repr) == base_by_hand(rows)
         assert all(math.isfinite(r.score) and r.score < 0 for r in got)
