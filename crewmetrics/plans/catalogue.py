@@ -69,7 +69,7 @@ def _fixed(
 def _mask(since: dt.datetime) -> Report:
     def make(wh, as_of: dt.date, **kw):
         return Q.mask_quality_rate(
-            wh.mask_quality, wh.steps, wh.rejections, **{"since": since, **kw}
+            wh.mask_quality, wh.work_steps, wh.rejections, **{"since": since, **kw}
         )
 
     return Report(make, order=("date", "grade"))

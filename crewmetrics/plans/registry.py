@@ -220,7 +220,7 @@ _add(
 )
 _add(
     "period_labels",
-    lambda wh: wh.steps.groupBy(
+    lambda wh: wh.work_steps.groupBy(
         *[TO.period_number(F.col("assign_at"), kind).alias(kind) for kind in PERIODS]
     )
     .agg(F.count(F.lit(1)).alias("steps"))

@@ -191,7 +191,7 @@ def mastery_inputs(
     skills: Sequence[int] = C.MASTERY_SKILLS,
 ) -> tuple[DataFrame, DataFrame]:
     """Step facts and internal rejections."""
-    facts = M.step_facts(wh.steps, since, skills, period)
+    facts = M.step_facts(wh.work_steps, since, skills, period)
     return facts, M.internal_rejections(wh.rejections, since, period)
 
 
@@ -231,7 +231,7 @@ def ranked_images(
     name_blocks: Sequence[str] = C.TRIM_NAME_BLOCKS,
 ) -> DataFrame:
     sole = T.sole_worker_images(wh.work_reports, wh.skills, dates)
-    images = T.image_efficiency(sole, wh.steps, wh.workers, dates, period, name_blocks)
+    images = T.image_efficiency(sole, wh.work_steps, wh.workers, dates, period, name_blocks)
     return T.rank_images(images)
 
 

@@ -161,7 +161,7 @@ def driver_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
             "l_shipdate + l_linenumber * interval '5' hour as assign_at",
         )
 
-    def steps() -> DataFrame:
+    def work_steps() -> DataFrame:
         # One step in 17 has no actual time.
         actual = "floor(l_extendedprice * (1 - l_discount) * (1 + l_tax))"
         return (
@@ -178,11 +178,18 @@ def driver_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
                 "actual_ms div 1000 as actual_s",
                 "actual_ms",
                 "floor(l_quantity * 1000) as expected_ms",
-                "l_partkey as customer_id",
-                "concat('Template ', l_linestatus) as template_name",
             )
         )
 
+    def steps() -> DataFrame:
+        # Each image is an order, of one customer and one template kind.
+        ordered = table("orders").selectExpr(
+            "o_orderkey as image_id",
+            "o_custkey as customer_id",
+            "concat('Template ', o_orderstatus) as template_name",
+        )
+        return work_steps().join(ordered, "image_id", "left")
+
     def rejections() -> DataFrame:
         return (
             lines()
@@ -210,7 +217,7 @@ def driver_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
                 "c_custkey * 3 + pos as template_id",
                 "concat('Template ', kind) as template_name",
                 "c_custkey as customer_id",
-                "case when c_acctbal < 0 and kind = 'O' then 1 else 0 end as is_deleted",
+                "case when c_acctbal < 0 and kind = 'P' then 1 else 0 end as is_deleted",
             )
         )
 
@@ -241,6 +248,7 @@ def driver_warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
             "shift_reports": shift_reports,
             "skills": skills,
             "steps": steps,
+            "work_steps": work_steps,
             "rejections": rejections,
             "images": images,
             "customers": customers,

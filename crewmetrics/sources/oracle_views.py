@@ -86,8 +86,8 @@ VIEWS = {
           case when (l_orderkey + l_partkey) % 17 <> 0 then
             cast(floor(l_extendedprice * (1 - l_discount) * (1 + l_tax)) as bigint) end as actual_ms,
           cast(floor(l_quantity * 1000) as bigint) as expected_ms,
-          l_partkey as customer_id, 'Template ' || l_linestatus as template_name
-        from lines""",
+          o_custkey as customer_id, 'Template ' || o_orderstatus as template_name
+        from lines left join orders on o_orderkey = l_orderkey""",
     "rejections": """
         select l_orderkey as image_id, skill_id,
           case when l_partkey % 11 <> 0 then worker_id end as receiver_id,
@@ -99,7 +99,7 @@ VIEWS = {
     "templates": """
         select c_custkey * 3 + pos as template_id, 'Template ' || kind as template_name,
           c_custkey as customer_id,
-          case when c_acctbal < 0 and kind = 'O' then 1 else 0 end as is_deleted
+          case when c_acctbal < 0 and kind = 'P' then 1 else 0 end as is_deleted
         from customer, (values (0, 'F'), (1, 'O'), (2, 'P')) kinds(pos, kind)""",
     "work_reports": """
         select l_orderkey as image_id, skill_id, worker_id, l_shipdate as created_at,

@@ -29,11 +29,19 @@ SCHEMAS = {
 }
 
 
+#: Columns of a step that only reports by customer or template read.
+STEP_OWNER = ("customer_id", "template_name")
+
+
 class Warehouse:
-    """The source relations by name; each is a plain DataFrame built on first use."""
+    """The source relations by name; each is a plain DataFrame built on first use.
+
+    ``work_steps`` are the steps without their customer and template, for reports that ask for neither: a
+    source that has to join for these two names them apart.
+    """
 
     def __init__(self, builders: dict):
-        self._builders = builders
+        self._builders = {"work_steps": lambda: self.steps.drop(*STEP_OWNER)} | builders
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in self._builders:

@@ -89,3 +89,16 @@ def test_mask_quality(wh):
     assert {(str(r.date), r.img_count, r.rej_count) for r in every.collect()} == {
         ("2020-05-06", 1, 2), ("2020-05-05", 1, 0),
     }
+
+
+def test_every_step_meets_its_customer_and_template(spark):
+    from crewmetrics.sources.adapters import driver_warehouse
+
+    sf = "/root/testdata/sf0.01"
+    wh = driver_warehouse(spark, sf)
+    steps = wh.steps
+    met = steps.join(wh.customers, "customer_id").join(wh.templates, ["customer_id", "template_name"])
+    assert steps.count() == met.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count() == 60_000
+    kinds = {r.template_name for r in met.select("template_name").distinct().collect()}
+    assert kinds == {"Template F", "Template O", "Template P"}
+    assert set(steps.columns) - set(wh.work_steps.columns) == {"customer_id", "template_name"}
