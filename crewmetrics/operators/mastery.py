@@ -188,8 +188,14 @@ def efficiency_rank(stats: DataFrame, volume: C.MinVolume | None = None) -> Data
     """RANK by efficiency per skill and period, of all workers or those with enough images."""
     if volume is not None:
         stats = stats.filter(enough(volume))
-    placed = ranking.sort_once(stats, GROUP, ["efficiency", "worker_id"])
-    return ranking.rank_rows(placed, GROUP, "efficiency", "efficiency_rank", "ranked_workers")
+    ranks = {"efficiency_rank": ("ranked_workers", F.lit(True))}
+    return ranking.rank_rows(one_shuffle(stats), GROUP, "efficiency", ranks)
+
+
+def one_shuffle(stats: DataFrame) -> DataFrame:
+    """The same rows, one a worker, skill and period, behind a shuffle on all columns: whatever reads which of
+    them, the shuffle is the same and is run once."""
+    return stats.distinct()
 
 
 def expert_quota(ranked: DataFrame, rule: C.MasteryRule) -> DataFrame:
@@ -248,17 +254,15 @@ def mastery_zones(
 ) -> DataFrame:
     """All ranked workers with the zone bounds of their skill, distance and level.
 
-    Bounds come from the workers with enough images, levels are given to all. The stats
-    are sorted and written once: those with enough images are numbered anew in the same order.
+    Bounds come from the workers with enough images, levels are given to all.
     """
-    placed = ranking.sort_once(stats, GROUP, ["efficiency", "worker_id"])
-    everyone = ranking.rank_rows(placed, GROUP, "efficiency", "efficiency_rank", "_size")
-    kept = ranking.keep_rows(placed, enough(volume))
-    qualified = ranking.rank_rows(kept, GROUP, "efficiency", "efficiency_rank", "ranked_workers")
+    ranks = {"efficiency_rank": ("_size", F.lit(True)), "_qualified": ("ranked_workers", enough(volume))}
+    everyone = ranking.rank_rows(one_shuffle(stats), GROUP, "efficiency", ranks)
+    qualified = everyone.filter(enough(volume)).withColumn("efficiency_rank", F.col("_qualified"))
     bounds = zone_bounds(qualified, rule).drop("skill_name")
     value = F.col("efficiency")
     gap = value.cast("decimal(20,5)") - F.col("mastery_bound").cast("decimal(20,5)")
-    zones = everyone.drop("_size").join(bounds, list(GROUP))
+    zones = everyone.drop("_size", "_qualified", "ranked_workers").join(bounds, list(GROUP))
     if office_prefix is not None:
         zones = zones.filter(F.col("office_name").startswith(office_prefix))
     return zones.withColumn("distance_from_mastery", gap.cast("double")).withColumn(

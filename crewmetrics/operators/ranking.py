@@ -1,97 +1,112 @@
-"""Exact ranks inside groups of any size.
+"""Exact ranks inside groups of any size, without a global sort and without a written table.
 
-``sort_once`` range-partitions the rows by group and order, so a group that holds most of
-the data spans many tasks, and writes them with their position. Ranks are then positions
-minus the start of the group; no task ever holds a whole group.
+Rows are counted by value. Values fall into buckets that are ordered like them and so many that a bucket holds
+a sliver of a group, whatever the values; a window over the buckets of a group, whose number does not
+grow with the data, says how many rows come before each bucket, one over the values of a bucket how many before
+each value. Rows of one value are told apart by ranges of their first tie-breaker, so a value that half of a
+hot group shares spans many tasks as well. Nothing runs until the report does.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crewmetrics.session import materialize
+#: Buckets for each power of two of a value.
+PER_OCTAVE = 1 << 16
+#: Width of the ranges of the first tie-breaker.
+RANGE = 1 << 20
+_GROUP, _VALUE, _BUCKET, _RANGE = "_group", "_value", "_bucket", "_range"
 
-PART, POSITION = "_part", "_position"
-PART_BITS = 33
 
+def bucket(value: Column) -> Column:
+    """A whole number that never falls as the double ``value`` rises; NaN is the largest."""
 
-def sort_once(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows in global (group, order) order, written once, with part and position.
-
-    ``order`` must end in tie-breakers that make it total, up to identical rows. NULLs come last.
-    """
-    keys = [F.asc_nulls_last(c) for c in (*group, *order)]
-    placed = df.orderBy(*keys).withColumn(POSITION, F.monotonically_increasing_id())
-    # The id counts rows within a partition and holds the partition number above bit 33.
-    return materialize(placed.withColumn(PART, F.shiftright(POSITION, PART_BITS)))
-
-
-def keep_rows(placed: DataFrame, condition: Column) -> DataFrame:
-    """The rows of ``sort_once`` output that meet the condition, with positions anew.
-
-    Rows are numbered within the part that one task wrote, so nothing is sorted or written again.
-    """
-    within = W.partitionBy(PART).orderBy(POSITION)
-    again = F.shiftleft(PART, PART_BITS) + F.row_number().over(within) - 1
-    return placed.filter(condition).withColumn(POSITION, again)
+    def size(v: Column) -> Column:  # above 0: doubles begin at 2 ** -1074; infinity shares the last bucket
+        return F.floor(F.log2(F.least(v, F.lit(sys.float_info.max))) * PER_OCTAVE) + 1075 * PER_OCTAVE
 
+    return (
+        F.when(F.isnan(value), F.lit(1 << 40)).when(value > 0, size(value)).when(value < 0, -size(-value)).otherwise(F.lit(0))
+    )
 
-def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on keys of which NULLs are equal; still an equi-join."""
-    other = right.select(*[F.col(c).alias(f"_{c}" if c in keys else c) for c in right.columns])
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
-    return left.join(other, same).drop(*[f"_{c}" for c in keys])
 
+def _keyed(df: DataFrame, group: Sequence[str], value: str, ties: Sequence[str]) -> DataFrame:
+    """Adds the keys of a row's cell; none is NULL, so that they join by equality. NULL values come last."""
+    placed = df.withColumn(_GROUP, F.struct(*group)).withColumn(
+        _VALUE, F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))
+    )
+    within = F.coalesce(F.floor(F.col(ties[0]) / RANGE), F.lit((1 << 63) - 1)) if ties else F.lit(0)
+    return placed.withColumn(_RANGE, within)
 
-def _starts(placed: DataFrame, group: Sequence[str], size: str) -> DataFrame:
-    """What to add to a position to get the row number, and the group size.
 
-    One row per group, and one more for each partition a group reaches into.
-    """
-    starts = placed.groupBy(*group, PART).agg(
-        F.min(POSITION).alias("_first"), F.count(F.lit(1)).alias("_rows")
+def _before(keyed: DataFrame, counters: Mapping[str, Column]) -> DataFrame:
+    """For each cell and counter how many counted rows of the group come before it, and how many the group has."""
+    names = list(counters)
+    cells = keyed.groupBy(_GROUP, bucket(F.col(_VALUE)).alias(_BUCKET), _VALUE, _RANGE).agg(
+        *[F.count(F.when(c, 1)).alias(n) for n, c in counters.items()]
     )
-    by_group = W.partitionBy(*group)
-    earlier = by_group.orderBy(PART).rowsBetween(W.unboundedPreceding, -1)
-    return starts.select(
-        *group,
-        PART,
-        (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
-        F.sum("_rows").over(by_group).alias(size),
+    buckets = cells.groupBy(_GROUP, _BUCKET).agg(*[F.sum(n).alias(n) for n in names])
+    group = W.partitionBy(_GROUP)
+    lower = group.orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    starts = buckets.select(
+        _GROUP,
+        _BUCKET,
+        *[F.coalesce(F.sum(n).over(lower), F.lit(0)).alias(f"_start_{n}") for n in names],
+        *[F.sum(n).over(group).alias(f"_size_{n}") for n in names],
+    )
+    inside = W.partitionBy(_GROUP, _BUCKET).orderBy(_VALUE, _RANGE).rowsBetween(W.unboundedPreceding, -1)
+    return cells.join(starts, [_GROUP, _BUCKET]).select(
+        _GROUP,
+        _VALUE,
+        _RANGE,
+        *[(F.col(f"_start_{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"_before_{n}") for n in names],
+        *[f"_size_{n}" for n in names],
     )
 
 
-def number_rows(
-    placed: DataFrame, group: Sequence[str], number: str = "row_no", size: str = "group_size"
+def rank_rows(
+    df: DataFrame,
+    group: Sequence[str],
+    value: str,
+    counters: Mapping[str, tuple[str, Column]] | None = None,
+    rank: str = "rank",
+    size: str = "group_size",
 ) -> DataFrame:
-    """ROW_NUMBER within the group, and the group size, for ``sort_once`` output."""
-    return _number(placed, _starts(placed, group, size), group, number)
-
+    """RANK over ``value`` within the group, and the group size: ties share a rank, NULLs are last.
 
-def _number(rows: DataFrame, starts: DataFrame, group: Sequence[str], number: str) -> DataFrame:
-    return (
-        join_same(rows, starts, [*group, PART])
-        .withColumn(number, F.col(POSITION) + F.col("_shift"))
-        .drop("_shift", POSITION, PART)
+    ``counters`` gives several ranks at once: for each rank's name the name of its group size and which rows count.
+    """
+    counters = counters or {rank: (size, F.lit(True))}
+    keyed = _keyed(df, group, value, ())
+    found = keyed.join(_before(keyed, {n: c for n, (_, c) in counters.items()}), [_GROUP, _VALUE, _RANGE])
+    return found.select(
+        *df.columns,
+        *[(F.col(f"_before_{n}") + 1).alias(n) for n in counters],
+        *[F.col(f"_size_{n}").alias(s) for n, (s, _) in counters.items()],
     )
 
 
-def rank_rows(
-    placed: DataFrame,
+def number_rows(
+    df: DataFrame,
     group: Sequence[str],
     value: str,
-    rank: str = "rank",
+    ties: Sequence[str],
+    number: str = "row_no",
     size: str = "group_size",
 ) -> DataFrame:
-    """RANK over ``value`` within the group: ties share the number of their first row, NULLs are last."""
-    first = (
-        placed.groupBy(*group, value)
-        .agg(F.min(POSITION).alias(POSITION))
-        .withColumn(PART, F.shiftright(POSITION, PART_BITS))
+    """ROW_NUMBER by ``value`` and ``ties`` within the group, and the group size.
+
+    The first of ``ties`` is a whole number. Together they make the order total, up to identical rows; NULLs come last.
+    """
+    keyed = _keyed(df, group, value, ties)
+    within = W.partitionBy(_GROUP, _VALUE, _RANGE).orderBy(*[F.asc_nulls_last(t) for t in ties])
+    found = keyed.join(_before(keyed, {number: F.lit(True)}), [_GROUP, _VALUE, _RANGE])
+    return found.select(
+        *df.columns,
+        (F.col(f"_before_{number}") + F.row_number().over(within)).alias(number),
+        F.col(f"_size_{number}").alias(size),
     )
-    ranks = _number(first, _starts(placed, group, size), group, rank)
-    return join_same(placed.drop(POSITION, PART), ranks, [*group, value])

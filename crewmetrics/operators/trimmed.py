@@ -87,8 +87,7 @@ def image_efficiency(
 def rank_images(images: DataFrame) -> DataFrame:
     """Number of each step by efficiency within skill and period, and the count of steps."""
     ties = ["image_id", "line_no", "part_id", "worker_id", "assign_at", "actual_ms", "expected_ms"]
-    placed = ranking.sort_once(images, GROUP, ["efficiency", *ties])
-    return ranking.number_rows(placed, GROUP, "image_rank", "image_count")
+    return ranking.number_rows(images, GROUP, "efficiency", ties, "image_rank", "image_count")
 
 
 def trim_by_rank(
@@ -112,8 +111,7 @@ def worker_efficiency(trimmed: DataFrame) -> DataFrame:
         )
         .withColumn("efficiency", N.ratio(F.col("sum_actual_ms"), F.col("sum_expected_ms")))
     )
-    placed = ranking.sort_once(work, GROUP, ["efficiency", "worker_id"])
-    return ranking.number_rows(placed, GROUP, "worker_rank", "worker_count")
+    return ranking.number_rows(work, GROUP, "efficiency", ["worker_id"], "worker_rank", "worker_count")
 
 
 def _with_quotas(ranked: DataFrame) -> DataFrame:

@@ -1,11 +1,8 @@
-"""Session defaults and the one place that cuts lineage by writing a table."""
+"""Session defaults and the folder that all executors share."""
 
 from __future__ import annotations
 
-import re
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(master: str = "local[*]", app: str = "crewmetrics", **conf: str) -> SparkSession:
@@ -48,35 +45,3 @@ def use_folder(spark: SparkSession, folder: str) -> None:
     """Names the shared folder of a local session that has none; anything else keeps its own."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.master.startswith("local["):
         spark.conf.set("spark.checkpoint.dir", folder)
-
-
-TABLE = "crewmetrics-"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    Used where a result is read several times and must be the same each time
-    even when executors are lost. Parquet keeps column pruning for the readers.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{TABLE}{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def tables_of(report: DataFrame) -> set[str]:
-    """Folders of the written tables that a report reads."""
-    root = re.escape(shared_dir(report.sparkSession).rstrip("/").removeprefix("file:").lstrip("/"))
-    table = re.compile(rf"^(.*{root}/{TABLE}[0-9a-f]{{32}})/")
-    return {m[1] for m in map(table.match, report.inputFiles()) if m}
-
-
-def release(*reports: DataFrame) -> None:
-    """Deletes the tables behind reports that nobody reads any more; those of other reports stay."""
-    for report in reports:
-        spark = report.sparkSession
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for table in tables_of(report):
-            path = spark._jvm.org.apache.hadoop.fs.Path(table)
-            path.getFileSystem(conf).delete(path, True)

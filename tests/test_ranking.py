@@ -1,10 +1,10 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from crewmetrics.operators import ranking
-from crewmetrics.session import release, shared_dir, tables_of
 
 
 def skewed(spark, n=4000):
@@ -19,14 +19,11 @@ def skewed(spark, n=4000):
     return rows, spark.createDataFrame(rows, "g string, v double, id long").repartition(6)
 
 
-def test_row_numbers_match_brute_force_and_split_the_hot_group(spread):
+def test_row_numbers_match_brute_force(spread, monkeypatch):
+    monkeypatch.setattr(ranking, "RANGE", 100)  # the ties of the hot group's value fall into many ranges
     rows, df = skewed(spread)
-    placed = ranking.sort_once(df, ["g"], ["v", "id"])
-    parts = placed.filter("g = 'hot'").select(ranking.PART).distinct().count()
-    assert parts > 1
-    largest = placed.groupBy(ranking.PART).count().agg(F.max("count")).first()[0]
-    assert largest < len(rows) / 2  # no task gets the whole hot group
-    got = {(r.g, r.id): (r.row_no, r.group_size) for r in ranking.number_rows(placed, ["g"]).collect()}
+    numbered = ranking.number_rows(df, ["g"], "v", ["id"])
+    got = {(r.g, r.id): (r.row_no, r.group_size) for r in numbered.collect()}
     groups = defaultdict(list)
     for g, v, i in rows:
         groups[g].append((v, i))
@@ -38,10 +35,35 @@ def test_row_numbers_match_brute_force_and_split_the_hot_group(spread):
     assert got == want
 
 
+def test_a_hot_group_and_its_commonest_value_span_tasks(spread, monkeypatch):
+    monkeypatch.setattr(ranking, "RANGE", 100)
+    spread.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, df = skewed(spread)
+        numbered = ranking.number_rows(df, ["g"], "v", ["id"]).withColumn("task", F.spark_partition_id())
+        tied = numbered.filter("g = 'hot' and v = 1.0")
+        assert tied.select("task").distinct().count() > 1
+        assert numbered.groupBy("task").count().agg(F.max("count")).first()[0] < len(rows) / 2
+    finally:
+        spread.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_nothing_runs_or_is_sorted_as_a_whole_while_the_plan_is_built(spark):
+    status = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("ranking", "ranking")
+    rows, df = skewed(spark, 500)
+    numbered = ranking.number_rows(df, ["g"], "v", ["id"])
+    ranked = ranking.rank_rows(df, ["g"], "v")
+    assert not status.getJobIdsForGroup("ranking")
+    for plan in (numbered, ranked):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in text and "SinglePartition" not in text and "Parquet" not in text
+    spark.sparkContext.setJobGroup("", "")
+
+
 def test_ranks_share_ties(spread):
     rows, df = skewed(spread, 1500)
-    placed = ranking.sort_once(df, ["g"], ["v", "id"])
-    got = {(r.g, r.id): r.rank for r in ranking.rank_rows(placed, ["g"], "v").collect()}
+    got = {(r.g, r.id): r["rank"] for r in ranking.rank_rows(df, ["g"], "v").collect()}
     values = defaultdict(list)
     for g, v, _ in rows:
         values[g].append(v)
@@ -54,41 +76,42 @@ def test_order_of_input_does_not_matter(spread):
     again = spread.createDataFrame(sorted(rows, key=lambda r: -r[2]), df.schema)
 
     def numbers(x):
-        return sorted(map(tuple, ranking.number_rows(ranking.sort_once(x, ["g"], ["v", "id"]), ["g"]).collect()))
+        return sorted(map(tuple, ranking.number_rows(x, ["g"], "v", ["id"]).collect()))
 
     assert numbers(df) == numbers(again)
 
 
 def test_null_values_rank_last_and_null_groups_are_groups(spark):
     rows = [("a", 2.0, 1), ("a", None, 2), ("a", None, 3), (None, 1.0, 4), (None, None, 5), ("a", 1.0, 6)]
-    placed = ranking.sort_once(spark.createDataFrame(rows, "g string, v double, id long"), ["g"], ["v", "id"])
-    numbers = {r.id: (r.row_no, r.group_size) for r in ranking.number_rows(placed, ["g"]).collect()}
+    df = spark.createDataFrame(rows, "g string, v double, id long")
+    numbers = {r.id: (r.row_no, r.group_size) for r in ranking.number_rows(df, ["g"], "v", ["id"]).collect()}
     assert numbers == {6: (1, 4), 1: (2, 4), 2: (3, 4), 3: (4, 4), 4: (1, 2), 5: (2, 2)}
-    ranks = {r.id: r["rank"] for r in ranking.rank_rows(placed, ["g"], "v").collect()}
+    ranks = {r.id: r["rank"] for r in ranking.rank_rows(df, ["g"], "v").collect()}
     assert ranks == {6: 1, 1: 2, 2: 3, 3: 3, 4: 1, 5: 2}
 
 
-def test_kept_rows_are_numbered_anew_without_another_sort(spread):
+def test_values_of_any_sign_and_size(spark):
+    values = [0.0, -0.0, 5e-324, 1e-300, 1.0, 1.0 + 2**-52, 1e300, -5e-324, -1.0, -1e300, float("inf"), float("-inf")]
+    df = spark.createDataFrame([("g", v, i) for i, v in enumerate(values)], "g string, v double, id long")
+    got = {r.id: r.row_no for r in ranking.number_rows(df, ["g"], "v", ["id"]).collect()}
+    order = sorted(range(len(values)), key=lambda i: (values[i], i))
+    assert got == {i: n for n, i in enumerate(order, 1)}
+
+
+@pytest.mark.parametrize("third", [0, 1])
+def test_several_ranks_at_once(spread, third):
     rows, df = skewed(spread, 1500)
-    placed = ranking.sort_once(df, ["g"], ["v", "id"])
-    kept = ranking.keep_rows(placed, F.col("id") % 3 > 0)
-    got = {(r.g, r.id): (r["rank"], r.group_size) for r in ranking.rank_rows(kept, ["g"], "v").collect()}
+    counters = {"all": ("n", F.lit(True)), "some": ("m", F.col("id") % 3 == third)}
+    got = {(r.g, r.id): (r.all, r.some, r.m) for r in ranking.rank_rows(df, ["g"], "v", counters).collect()}
     values = defaultdict(list)
     for g, v, i in rows:
-        if i % 3:
-            values[g].append(v)
-    want = {(g, i): (1 + sum(x < v for x in values[g]), len(values[g])) for g, v, i in rows if i % 3}
+        values[g].append((v, i))
+    want = {
+        (g, i): (
+            1 + sum(x < v for x, _ in values[g]),
+            1 + sum(x < v and j % 3 == third for x, j in values[g]),
+            sum(j % 3 == third for _, j in values[g]),
+        )
+        for g, v, i in rows
+    }
     assert got == want
-
-
-def test_written_tables_go_to_the_named_folder_and_can_be_released(spark):
-    from pathlib import Path
-
-    df = ranking.sort_once(spark.range(5).withColumn("g", F.lit(1)), ["g"], ["id"])
-    assert df.count() == 5
-    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
-    (table,) = tables_of(df)
-    folder = Path(table.removeprefix("file:"))
-    assert folder.is_dir() and folder.parent == Path(shared_dir(spark))
-    release(df)
-    assert not folder.exists()
