@@ -59,3 +59,22 @@ def test_overlaps_widen_where_nothing_is_shared(spark, monkeypatch):
 
 def test_no_documents(spark):
     assert tokens.count_tokens(spark.createDataFrame([], SCHEMA), PATH).collect() == []
+
+
+def test_only_chunks_beside_a_failed_seam_are_widened():
+    assert tokens.widened([]) == []
+    assert tokens.widened([(3, 4, 5)]) == [(3, 5)]
+    assert tokens.widened([(4, 5, 6), (0, 1, 2), (1, 2, 4)]) == [(0, 4), (4, 6)]
+    # Eight chunks at once; the seam between two such runs waits for the next round.
+    run = [(i, i + 1, i + 2) for i in range(20)]
+    assert tokens.widened(run) == [(0, 8), (8, 16), (16, 21)]
+    assert tokens.widened([(0, 8, 16), (8, 16, 21)]) == [(0, 21)]
+
+
+def test_copies_of_a_huge_text_are_encoded_once(spark, model):
+    """Copies under many ids, under one id and under none; alone, without any id, too."""
+    text, other = "the national " * 300, "世界 in the " * 200
+    rows = [(i, text) for i in range(5)] + [(2, text), (None, text), (None, other), (None, other)]
+    got = tokens.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), PATH, chunk=200, overlap=16)
+    want = [(i, len(model.encode(t))) for i, t in rows]
+    assert sorted(((r.doc_id, r.n_tokens) for r in got.collect()), key=str) == sorted(want, key=str)
