@@ -1,6 +1,6 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
-1. Every text becomes its set of 2-word shingles and a signature of 128 minima. Equal sets are one
+1. Every text becomes its set of shingles of ``words`` words and a signature of 128 minima. Equal sets are one
    node, so copies never meet each other again.
 2. The forest holds 25 orders. In each the nodes are sorted by the signature's columns, taken in another
    sequence with other leading columns. A range shuffle sorts them, so a region of any size spans many tasks.
@@ -10,7 +10,8 @@
 4. Candidates are confirmed on the full sets: first those with the smallest neighbours of each node, then those
    between components. Components come from alternating large-star and small-star steps over the links.
 5. Nodes of regions that were split are sorted once more, each with its component. Wider regions are looked at, and
-   only nodes of different components meet, so a group of near copies costs rows in proportion to its size.
+   only nodes of different components meet, so a group of near copies costs rows in proportion to its size. Here rows
+   carry a byte of each column in place of a bit, as most pairs of a dense region lie just below the threshold.
 6. Nodes of regions that were split even then meet by a prefix filter on their rarest shingles, which misses no pair.
 
 At the threshold itself a pair shares five leading columns in one of 25 orders with probability 1 - 5e-5.
@@ -37,8 +38,8 @@ WIDE_REGION, WIDE_NEAR = 64, 16
 ROUNDS, WIDE_ROUNDS = (2, 16), ()
 #: Differing single bits of two signatures with 0.8 of the columns equal: 12.8 expected, 28 is 4.5 deviations off.
 BITS = 28
-#: Node ids to be broadcast at most; beyond that the join shuffles.
-BROADCAST_IDS = 1_000_000
+#: The same for bytes: 25.5 expected, 46 is 4.5 deviations off.
+BYTES = 46
 WORDS_KEPT = 200_000
 
 _rng = random.Random(1)
@@ -68,14 +69,19 @@ class _Words(dict):
         return value
 
 
-def shingles(text: str | None, known: dict[bytes, int]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the 2-word shingles; of the whole sequence if it is shorter."""
+def shingles(text: str | None, known: dict[bytes, int], width: int = 2) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of ``width`` words; of the whole sequence if it is shorter."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-    if len(h) < 2:
-        return h * _ONE
-    h = h[:-1] * _MIX + (h[1:] ^ (h[1:] >> np.uint64(29))) * _ONE
-    return np.unique(h ^ (h >> np.uint64(32)))
+    n = len(words)
+    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=n)
+    width = min(width, n)
+    if width < 2:
+        return np.unique(h * _ONE)
+    value = h[: n - width + 1]
+    for j in range(1, width):
+        after = h[j : n - width + 1 + j]
+        value = value * _MIX + (after ^ (after >> np.uint64(29))) * _ONE
+    return np.unique(value ^ (value >> np.uint64(32)))
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -91,12 +97,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return ((made * _MIX) >> np.uint64(48)).astype(">u2")
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], width: int = 2) -> Iterator[pa.RecordBatch]:
     known = _Words()
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
             part = batch.slice(i, 64)
-            sets = [shingles(t, known) for t in part.column(1).to_pylist()]
+            sets = [shingles(t, known, width) for t in part.column(1).to_pylist()]
             full = [s for s in sets if len(s)]
             signed = iter(signatures(full)) if full else iter(())
             yield pa.RecordBatch.from_arrays(
@@ -110,27 +116,39 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each node and order: its key there, its size, a bit of each column and its component so far."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 2048):
-            part = batch.slice(i, 2048)
-            n = part.num_rows
-            sig = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=">u2").reshape(n, COLUMNS)
-            bits = [b.tobytes() for b in np.packbits((sig & 1).astype(np.uint8), axis=1)]
-            for t in range(ORDERS):
-                keys = np.ascontiguousarray(sig[:, _ORDER[t]])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, t, dtype=np.int32)),
-                        pa.array([k.tobytes() for k in keys], pa.binary()),
-                        part.column(0),
-                        part.column(1),
-                        pa.array(bits, pa.binary()),
-                        part.column(3),
-                    ],
-                    names=["t", "key", "id", "size", "bits", "component"],
-                )
+def _orders(fine: bool):
+    """A row for each node and order: its key there, its size, a bit (a byte if ``fine``) of each column and its component so far."""
+
+    def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                n = part.num_rows
+                sig = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=">u2").reshape(n, COLUMNS)
+                sketch = (sig & 255).astype(np.uint8) if fine else np.packbits((sig & 1).astype(np.uint8), axis=1)
+                sketch = [b.tobytes() for b in sketch]
+                for t in range(ORDERS):
+                    keys = np.ascontiguousarray(sig[:, _ORDER[t]])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(n, t, dtype=np.int32)),
+                            pa.array([k.tobytes() for k in keys], pa.binary()),
+                            part.column(0),
+                            part.column(1),
+                            pa.array(sketch, pa.binary()),
+                            part.column(3),
+                        ],
+                        names=_NAMES,
+                    )
+
+    return orders
+
+
+def _close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """If signatures may be of pairs at the threshold, by their bits or their bytes."""
+    if x.shape[1] < COLUMNS:
+        return np.bitwise_count(x ^ y).sum(axis=1) <= BITS
+    return (x != y).sum(axis=1) <= BYTES
 
 
 def neighbours(
@@ -138,7 +156,7 @@ def neighbours(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs among sorted rows, smaller ids first, and the ids in regions of over ``most`` rows.
 
-    ``keys`` is (n, KEY), ``bits`` (n, bytes). Rows of one component are no pair.
+    ``keys`` is (n, KEY), ``bits`` (n, bytes), a bit or a byte a column. Rows of one component are no pair.
     """
     n, none = len(ids), np.empty((0, 2), dtype=np.int64)
     if n < 2:
@@ -159,7 +177,7 @@ def neighbours(
         other = component[a] != component[b]
         a, b = a[other], b[other]
         small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-        alike = (100 * small >= 80 * large) & (np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= BITS)
+        alike = (100 * small >= 80 * large) & _close(bits[a], bits[b])
         found.append(np.stack([np.minimum(ids[a], ids[b])[alike], np.maximum(ids[a], ids[b])[alike]], axis=1))
         more = at + k < n - 1
         at, shared = at[more], shared[more]
@@ -174,7 +192,7 @@ def _rows(t, key, ids, sizes, bits, component):
         np.frombuffer(b"".join(key), dtype=">u2").reshape(-1, KEY),
         np.asarray(ids),
         np.asarray(sizes),
-        np.frombuffer(b"".join(bits), dtype=np.uint8).reshape(-1, COLUMNS // 8),
+        np.frombuffer(b"".join(bits), dtype=np.uint8).reshape(len(bits), len(bits[0]) if len(bits) else COLUMNS // 8),
         np.asarray(component),
     )
 
@@ -228,11 +246,13 @@ def _seams(most: int, near: int):
     return walk
 
 
-def candidates(nodes: DataFrame, scratch: Scratch, most: int = REGION, near: int = NEAR) -> tuple[DataFrame, DataFrame]:
+def candidates(
+    nodes: DataFrame, scratch: Scratch, most: int = REGION, near: int = NEAR, fine: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Of ``nodes`` (id, size, signature, component) distinct pairs a < b of different components, and the ids of
-    nodes whose regions were split; both saved."""
+    nodes whose regions were split; both saved. ``fine`` compares signatures by bytes and not by bits."""
     n_tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = nodes.select("id", "size", "signature", "component").mapInArrow(_orders, _ROW)
+    rows = nodes.select("id", "size", "signature", "component").mapInArrow(_orders(fine), _ROW)
     ordered = rows.repartitionByRange(n_tasks, "t", "key", "id").sortWithinPartitions("t", "key", "id")
     walked = scratch.save(ordered.mapInArrow(_walk(most, near), f"a long, b long, {_ROW}"))
     # Each task's first and last rows, at most ``most`` of either, by order.
@@ -268,12 +288,12 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         edges = small
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], width: int = 2) -> Iterator[pa.RecordBatch]:
     known = _Words()
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
-            sets = [shingles(t, known).view(np.int64) for t in part.column(1).to_pylist()]
+            sets = [shingles(t, known, width).view(np.int64) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "items"])
 
 
@@ -338,16 +358,8 @@ def blocked(sets: DataFrame) -> DataFrame:
     return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
-def _narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with ``ids``, which are broadcast up to a checked number of them."""
-    ids = ids.withColumnRenamed("id", "doc_id")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_semi")
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
+def near_duplicates(docs: DataFrame, words: int = 2) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text), on shingles of so many ``words``.
 
     Words are split at white space, A-Z are lower-cased. A null text or one without words has no
     shingles and is linked with nothing, not even its copies. Rows with one doc_id are one node. Rows without
@@ -357,7 +369,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     signed = scratch.save(
-        docs.mapInArrow(_sign, docs.select("doc_id").schema.add("n_shingles", "long").add("set_id", "binary").add("signature", "binary"))
+        docs.mapInArrow(lambda batches: _sign(batches, words), docs.select("doc_id").schema.add("n_shingles", "long").add("set_id", "binary").add("signature", "binary"))
     )
     filled = signed.where("set_id is not null")
     copies = scratch.save(
@@ -371,14 +383,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs, split = candidates(nodes.withColumn("component", F.col("id")), scratch)
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(split)
     sets = scratch.save(
-        _narrowed(docs, scratch.save(ids.distinct())).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text")
-        .mapInArrow(_sets, "id long, items array<long>")
+        docs.join(scratch.save(ids.distinct()).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        .dropDuplicates(["doc_id"])
+        .select(F.col("doc_id").alias("id"), "text")
+        .mapInArrow(lambda batches: _sets(batches, words), "id long, items array<long>")
     )
     labels = link(pairs, sets, scratch, rounds=ROUNDS)
     if not split.isEmpty():
         again = nodes.join(split, "id", "left_semi").join(labels, "id", "left")
         again = again.select("id", "size", "signature", F.coalesce("component", "id").alias("component"))
-        wide, still = candidates(again, scratch, WIDE_REGION, WIDE_NEAR)
+        wide, still = candidates(again, scratch, WIDE_REGION, WIDE_NEAR, fine=True)
         labels = link(wide, sets, scratch, labels, WIDE_ROUNDS)
         if not still.isEmpty():
             hot = sets.join(still, "id", "left_semi").join(labels, "id", "left")
@@ -390,13 +404,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 2) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``near_duplicates`` keeps: one doc_id of each component.
 
     Only the ids of rows to be dropped are joined. Rows without a doc_id stay unless their text belongs to a named row.
     """
     scratch = Scratch(docs.sparkSession)
-    found = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    found = near_duplicates(docs, words).where(~F.col("kept")).select("doc_id").distinct()
     gone = scratch.save(found)
     into = "gone"
     while into in docs.columns:

@@ -154,3 +154,24 @@ def test_pairs_among_many_different_texts_of_one_template_are_found(spread):
     got = N.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(5)).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
     assert sum(r.kept for r in got) == 300
+
+
+def test_shingles_of_any_width_and_bytes_for_bits(spark):
+    """Sets against plain tuples of words, and candidates by bytes against those by bits."""
+    rng = random.Random(5)
+    for width in (1, 2, 3, 5):
+        for n in (0, 1, 2, 4, 5, 6, 40):
+            words = [rng.choice("abc") for _ in range(n)]
+            want = {tuple(words[i : i + width]) for i in range(max(1, n - width + 1))} if n else set()
+            assert len(N.shingles(" ".join(words), N._Words(), width)) == len(want)
+    base = [f"w{i}" for i in range(60)]
+    one_off = [*base[:30], "other", *base[31:]]  # 2 of 59 pairs of words, 5 of 56 fives
+    far = [w if i % 8 else f"x{i}" for i, w in enumerate(base)]
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(one_off)), (3, " ".join(far))], "doc_id long, text string")
+    for words in (2, 5):
+        rows = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(df, words).collect()}
+        assert rows == {1: (61 - words, 1), 2: (61 - words, 1), 3: (61 - words, 3)}
+    x = np.zeros((2, N.COLUMNS), dtype=np.uint8)
+    y = x.copy()
+    y[0, : N.BYTES], y[1, : N.BYTES + 1] = 7, 7
+    assert N._close(x, y).tolist() == [True, False]
