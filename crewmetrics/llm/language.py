@@ -24,11 +24,16 @@ from crewmetrics.llm.common import Scratch
 BUCKETS = 1 << 12
 #: Labelled texts to learn from at most: those with the smallest hashes of their ids.
 FIT_ROWS = 20_000
+#: A labelled text counts as so many trigrams at most, all of them alike, so that no long one speaks for its language alone.
+TEXT_WEIGHT = 2_000
 #: Trigrams of one text are not independent; they count as so many independent ones at most.
 EFFECTIVE = 60
 #: Pseudo-pages by which a level of the hosts leans on the one above, and an evidence table on all pages.
 KAPPA, ALPHA = 5.0, 1.0
 THRESHOLD = 0.5
+#: Nats per trigram by which the best language may fall behind a background that deems all trigrams equally likely, before a
+#: text is in no known language; texts learnt from are 0.3 to 3 ahead of it. Deviation of one trigram's logarithm.
+FIT, FIT_SPREAD = -1.5, 2.0
 
 #: Bytes to letters: A-Z in lower case, those above ASCII as they are, all others a space.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -55,14 +60,19 @@ class Model:
     logs: np.ndarray  # by bucket and language
     prior: np.ndarray
 
-    def likelihoods(self, text: str | None) -> list[float]:
-        """Logarithms of the text's likelihoods, the highest 0; all 0 without letters."""
+    def evidence(self, text: str | None) -> tuple[list[float], float]:
+        """Logarithms of the text's likelihoods, the highest 0, and how far the best language is ahead of the background, per
+        trigram and at the upper end of what chance allows; all 0 without letters."""
         counts = trigrams(text)
         n = counts.sum()
         if not n or not self.languages:
-            return [0.0] * len(self.languages)
-        logs = counts @ self.logs * (min(n, EFFECTIVE) / n)
-        return (logs - logs.max()).tolist()
+            return [0.0] * len(self.languages), 0.0
+        mean = counts @ self.logs / n
+        logs = mean * min(n, EFFECTIVE)
+        return (logs - logs.max()).tolist(), float(mean.max() + np.log(BUCKETS) + 3 * FIT_SPREAD / np.sqrt(n))
+
+    def likelihoods(self, text: str | None) -> list[float]:
+        return self.evidence(text)[0]
 
 
 def train(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
@@ -78,7 +88,8 @@ def train(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
         seen: dict[str, int] = {}
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"]):
-                sums[lang] = sums.get(lang, 0.0) + trigrams(text)
+                counts = trigrams(text)
+                sums[lang] = sums.get(lang, 0.0) + counts * min(1.0, TEXT_WEIGHT / max(counts.sum(), 1.0))
                 seen[lang] = seen.get(lang, 0) + 1
         if sums:
             yield pd.DataFrame({"lang": list(sums), "n": [seen[x] for x in sums], "counts": [c.tolist() for c in sums.values()]})
@@ -96,14 +107,25 @@ def train(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
     return Model(languages, np.log(table / table.sum(axis=0)), prior / prior.sum())
 
 
-def _text_column(text: str, markup: bool, model: Model) -> Column:
+def _text_column(text: str, model: Model) -> Column:
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def likelihoods(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.likelihoods(_HIDDEN.sub(" ", t) if markup and t else t) for t in texts])
+        return pd.Series([model.likelihoods(_HIDDEN.sub(" ", t) if t else t) for t in texts])
 
     return likelihoods(text)
 
 
+def _fit_column(text: str, model: Model) -> Column:
+    """The likelihoods of a text, and last how far its best language is ahead of the background."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def evidence(texts: pd.Series) -> pd.Series:
+        found = map(model.evidence, texts)
+        return pd.Series([[*logs, fit] for logs, fit in found])
+
+    return evidence(text)
+
+
 def declared_language(html: Column) -> Column:
     """The primary language of the html element's lang, in lower case; null if there is none."""
     found = F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b", 1)
@@ -215,7 +237,7 @@ def report(pages: DataFrame, docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame
             "page_id",
             *address_parts(F.coalesce("url", F.lit(""))),
             declared_language(F.coalesce("html", F.lit(""))).alias("declared"),
-            _text_column("html", True, model).alias("logs"),
+            _text_column("html", model).alias("logs"),
         )
     )
     fused = fuse(evidence, model, learn(evidence, model, scratch), "found")
@@ -223,28 +245,32 @@ def report(pages: DataFrame, docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame
 
 
 def keep_identified(
-    docs: DataFrame, train_on: DataFrame, languages: list[str] | None = None, threshold: float = THRESHOLD, rows: int = FIT_ROWS
+    docs: DataFrame, train_on: DataFrame, languages: list[str] | None = None, threshold: float = THRESHOLD, rows: int = FIT_ROWS, fit: float = FIT
 ) -> DataFrame:
     """The rows of ``docs`` (text, lang as declared, source as host, and any other columns, all kept) in a known language.
 
     A row goes if its likeliest language has a probability of under ``threshold``, or is none of ``languages`` (all
-    that ``train_on`` has, if not given). A null text has no text evidence, a null lang declares nothing, a null source has
-    the prior of all rows; a row with none of these has the prior alone. Without labelled rows nothing is known, and all rows stay.
+    that ``train_on`` has, if not given), or if no language explains its text: the best one falls behind a background of equally
+    likely trigrams by more than ``fit`` allows, whatever the row declares. The fewer trigrams, the more is left to chance.
+    A null text or one without letters has no text evidence, a null lang declares nothing, a null source has
+    the prior of all rows; a row with none of these has the prior alone. Repeated rows meet one fate, a tie goes to the first
+    language of the alphabet. Without labelled rows nothing is known, and all rows stay.
     """
     scratch = Scratch(docs.sparkSession)
     model = train(train_on, rows)
     if not model.languages:
         return docs
-    into = "row"
-    none = F.lit(None).cast("string")
+    into, n = "row", len(model.languages)
+    none, evidence = F.lit(None).cast("string"), _fit_column("text", model)
     keys = [
         F.col("source").alias("host"), none.alias("domain"), none.alias("suffix"), none.alias("code"),
         F.nullif(F.lower(F.regexp_extract(F.coalesce("lang", F.lit("")), "^[a-zA-Z]{2,3}", 0)), F.lit("")).alias("declared"),
-        _text_column("text", False, model).alias("logs"),
+        F.slice(evidence, 1, n).alias("logs"),
     ]
     # The texts are read twice rather than written: what is learnt needs the keys and likelihoods alone.
     learnt = learn(docs.select(*keys), model, scratch)
-    kept = fuse(docs.select(F.struct(*docs.columns).alias(into), *keys), model, learnt, "found").where(F.col("found.probability") >= threshold)
+    judged = docs.select(F.struct(*docs.columns).alias(into), *keys, F.element_at(evidence, -1).alias("fit"))
+    kept = fuse(judged, model, learnt, "found").where((F.col("found.probability") >= threshold) & (F.col("fit") >= fit))
     if languages is not None:
         kept = kept.where(F.col("found.lang").isin(languages))
     return kept.select(*[F.col(f"{into}.`{c}`").alias(c) for c in docs.columns])

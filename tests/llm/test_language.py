@@ -123,6 +123,36 @@ def test_rows_in_known_languages_stay_whole(spark):
     assert {r.lang for r in german.collect() if r.doc_id is not None and r.doc_id < 900} == {"de"}
 
 
+POLISH = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem"
+RUSSIAN = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью"
+
+
+def test_texts_in_no_known_language_go_whatever_they_declare(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(7)
+    salad = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(150))
+    odd = [(-1, POLISH), (-2, RUSSIAN), (-3, salad), (-4, salad * 500), (-1, POLISH)]
+    # Too little to tell, nothing to tell from, and a known language.
+    fine = [(-5, "xqz"), (-6, None), (-7, ""), (-8, "12 34 56"), (-9, docs.where("lang = 'de'").first().text)]
+    added = spark.createDataFrame([(i, t, "en") for i, t in odd + fine], "doc_id long, text string, lang string")
+    every = docs.unionByName(added, allowMissingColumns=True)
+    kept = sorted(r.doc_id for r in L.keep_identified(every, every).select("doc_id").collect())
+    assert [i for i in kept if i < 0] == [-9, -8, -7, -6, -5]
+    assert len(kept) - 5 > 0.999 * docs.count()
+
+
+def test_a_text_fits_by_its_mean_alone(spark):
+    """Against sums trigram by trigram."""
+    model = L.train(spark.createDataFrame(docs_of(random.Random(1)), DOCS))
+    text = "the water der qzx"
+    letters, total = f" {text} ".encode(), np.zeros(len(model.languages))
+    for i in range(len(letters) - 2):
+        h = sum(int(f) * c for f, c in zip(L._FACTORS, letters[i : i + 3])) % (1 << 32)
+        total += model.logs[h >> 20]
+    n = len(letters) - 2
+    assert model.evidence(text)[1] == pytest.approx(total.max() / n + math.log(L.BUCKETS) + 3 * L.FIT_SPREAD / math.sqrt(n))
+
+
 def test_nothing_known(spark):
     docs, pages = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "http://a/", "<p>x", None)], PAGES)
     assert [tuple(r) for r in L.report(pages, docs).collect()] == [(1, "a", None, None, None, 0.0)]
