@@ -67,6 +67,27 @@ def shift_label(shift: Column, labels: tuple[str, ...] = C.SHIFT_LABELS) -> Colu
 # --- report windows -----------------------------------------------------------
 
 
+def day_column(ts: str) -> str:
+    """The column of a relation laid out by the day of its time ``ts``."""
+    return f"{ts}_day"
+
+
+def on_days(df: DataFrame, ts: str, start: dt.datetime | None, end: dt.datetime | None, closed: bool = False) -> DataFrame:
+    """``df`` on the days from ``start`` to ``end`` if it is laid out by day, so that other days are not opened.
+
+    It drops no row with a time from ``start`` to before ``end`` (to ``end`` itself if ``closed``); all others are left to the caller.
+    """
+    day = day_column(ts)
+    if day not in df.columns:
+        return df
+    if start is not None:
+        df = df.filter(F.col(day) >= F.lit(start.date()))
+    if end is not None:
+        last = end if closed else end - dt.timedelta(microseconds=1)
+        df = df.filter(F.col(day) <= F.lit(last.date()))
+    return df
+
+
 @dataclass(frozen=True)
 class Window:
     """A half-open report window in UTC, and the same window on the local clock."""
@@ -80,6 +101,14 @@ class Window:
     def local(self, ts: str) -> Column:
         return (F.col(ts) >= ntz(self.start + TO_LOCAL)) & (F.col(ts) < ntz(self.end + TO_LOCAL))
 
+    def utc_rows(self, df: DataFrame, ts: str) -> DataFrame:
+        """Rows whose UTC time lies in the window."""
+        return on_days(df.filter(self.utc(ts)), ts, self.start, self.end)
+
+    def local_rows(self, df: DataFrame, ts: str) -> DataFrame:
+        """Rows whose local time lies in the window."""
+        return on_days(df.filter(self.local(ts)), ts, self.start + TO_LOCAL, self.end + TO_LOCAL)
+
 
 def add_months(day: dt.datetime, n: int) -> dt.datetime:
     """Calendar shift; anchors fall on day 1 or 26, which every month has."""
@@ -123,6 +152,11 @@ def local_since(ts: str, since: dt.datetime, strict: bool = False) -> Column:
     return F.col(ts) > bound if strict else F.col(ts) >= bound
 
 
+def rows_since(df: DataFrame, ts: str, since: dt.datetime, strict: bool = False) -> DataFrame:
+    """Rows of ``local_since``."""
+    return on_days(df.filter(local_since(ts, since, strict)), ts, since - TO_LOCAL, None)
+
+
 def date_range(
     ts: str, start: dt.date | None, end: dt.date | None, inclusive: bool = False
 ) -> Column:

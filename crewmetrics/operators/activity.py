@@ -46,7 +46,7 @@ def classify_activity(
 ) -> DataFrame:
     """Log events of the window with their category code."""
     if window is not None:
-        log = log.filter(window.utc("time_at"))
+        log = window.utc_rows(log, "time_at")
     return log.select(
         "event_id", "worker_id", activity_code(rules).alias("code"), "runtime_ms", "time_at"
     )
@@ -85,8 +85,8 @@ def logout_gaps(
     last event in the window has no successor and keeps a NULL duration.
     """
     if window is not None:
-        log = log.filter(window.utc("time_at"))
-        logouts = logouts.filter(window.utc("requested_at"))
+        log = window.utc_rows(log, "time_at")
+        logouts = window.utc_rows(logouts, "requested_at")
     events = log.select(
         "worker_id",
         "time_at",
@@ -132,7 +132,7 @@ def logout_gaps(
 def logout_marks(logouts: DataFrame, window: Window | None = None) -> DataFrame:
     """The same rows as ``logout_gaps`` without durations, for reports that only need times."""
     if window is not None:
-        logouts = logouts.filter(window.utc("requested_at"))
+        logouts = window.utc_rows(logouts, "requested_at")
     return _counted_logouts(logouts).select(
         "event_id",
         "worker_id",
@@ -145,7 +145,7 @@ def logout_marks(logouts: DataFrame, window: Window | None = None) -> DataFrame:
 def meal_time(meals: DataFrame, window: Window | None = None) -> DataFrame:
     """Recorded meals, dated at their start."""
     if window is not None:
-        meals = meals.filter(window.utc("start_at"))
+        meals = window.utc_rows(meals, "start_at")
     return meals.select(
         "event_id",
         "worker_id",

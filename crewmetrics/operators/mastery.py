@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from crewmetrics import config as C
 from crewmetrics.functions import numeric as N
 from crewmetrics.functions.text import like_none, lookup
-from crewmetrics.functions.timeops import local_since, ntz, period_number
+from crewmetrics.functions.timeops import ntz, period_number, rows_since
 from crewmetrics.operators import ranking
 
 UNIT = ("image_id", "skill_id", "worker_id")
@@ -32,7 +32,7 @@ def step_facts(
 ) -> DataFrame:
     """Steps of the listed skills with an expected time, labelled with their period."""
     return (
-        steps.filter(local_since("assign_at", since))
+        rows_since(steps, "assign_at", since)
         .filter((F.col("expected_ms") > 0) & F.col("skill_id").isin(*skills))
         .select(
             *UNIT,

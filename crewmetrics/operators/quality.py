@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from crewmetrics import config as C
 from crewmetrics.functions import numeric as N
 from crewmetrics.functions.text import like_none
-from crewmetrics.functions.timeops import local_since, period_number, to_local
+from crewmetrics.functions.timeops import period_number, rows_since, to_local
 
 IDS = ("skill_id", "worker_id", "customer_id", "template_name")
 
@@ -77,7 +77,7 @@ def step_performance(
     fan_out: bool = True,
 ) -> DataFrame:
     """Images, mean times and efficiency by skill, worker, template and customer."""
-    steps = wh.steps.filter(local_since("assign_at", since, strict=True))
+    steps = rows_since(wh.steps, "assign_at", since, strict=True)
     if customer_id is not None:
         steps = steps.filter(F.col("customer_id") == customer_id)
     if template_prefix is not None:
@@ -162,7 +162,7 @@ def template_monthly(
     kept = wh.workers.filter(
         like_none("worker_name", C.TEMPLATE_NAME_BLOCKS)
     ).select("worker_id")
-    steps = wh.steps.filter(local_since("assign_at", since, strict=True)).filter(
+    steps = rows_since(wh.steps, "assign_at", since, strict=True).filter(
         (F.col("expected_ms") > 0) & F.expr(like_none("skill_name", C.TEMPLATE_SKILL_BLOCKS))
     )
     if template_prefix is not None:
@@ -239,7 +239,7 @@ def latest_grades(masks: DataFrame, grade: str, since: dt.datetime) -> DataFrame
     """Images whose latest log has the grade; several logs at that time all count as latest."""
     is_grade = (F.col("grade") == grade).cast("int").alias("hit")
     return (
-        masks.filter(local_since("created_at", since))
+        rows_since(masks, "created_at", since)
         .groupBy("image_id")
         .agg(F.max(F.struct("created_at", F.coalesce(is_grade, F.lit(0)).alias("hit"))).alias("m"))
         .filter(F.col("m.hit") == 1)

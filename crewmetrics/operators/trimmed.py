@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from crewmetrics import config as C
 from crewmetrics.functions import numeric as N
 from crewmetrics.functions.text import like_none
-from crewmetrics.functions.timeops import date_range, period_number
+from crewmetrics.functions.timeops import date_range, on_days, period_number
 from crewmetrics.operators import ranking
 
 GROUP = ("skill_id", "period")
@@ -36,6 +36,10 @@ class DateRange:
     def on(self, ts: str):
         return date_range(ts, self.start, self.end, self.inclusive)
 
+    def rows(self, df: DataFrame, ts: str) -> DataFrame:
+        start, end = (d and dt.datetime(d.year, d.month, d.day) for d in (self.start, self.end))
+        return on_days(df.filter(self.on(ts)), ts, start, end, closed=self.inclusive)
+
 
 def sole_worker_images(
     reports: DataFrame, skills: DataFrame, dates: DateRange = DateRange()
@@ -43,7 +47,7 @@ def sole_worker_images(
     """Images and skills that exactly one worker reported on."""
     kinds = skills.filter(F.col("skill_kind_id") == C.PRODUCTION_SKILL_KIND).select("skill_id")
     return (
-        reports.filter(dates.on("created_at"))
+        dates.rows(reports, "created_at")
         .filter(F.col("status_id") == C.ACCEPTED_REPORT_STATUS)
         .join(kinds, "skill_id", "left_semi")
         .groupBy("image_id", "skill_id")
@@ -64,7 +68,7 @@ def image_efficiency(
     """Actual over expected time of the steps of sole-worker images."""
     kept = workers.filter(like_none("worker_name", name_blocks)).select("worker_id")
     return (
-        steps.filter(dates.on("assign_at"))
+        dates.rows(steps, "assign_at")
         .filter((F.col("actual_ms") > 0) & (F.col("expected_ms") > 0))
         .join(sole, ["image_id", "skill_id", "worker_id"])
         .join(kept, "worker_id", "left_semi")

@@ -67,7 +67,7 @@ def registered_shifts(
 ) -> DataFrame:
     """Shifts with an end-of-shift report, dated on the local clock, one row per report."""
     if window is not None:
-        reports = reports.filter(window.local("shift_start_local"))
+        reports = window.local_rows(reports, "shift_start_local")
     leaders = workers.select(
         F.col("worker_id").alias("leader_id"), F.col("worker_name").alias("team_shift")
     )

@@ -23,7 +23,8 @@ from crewmetrics.operators import workforce as P
 from crewmetrics.plans import catalogue as K
 from crewmetrics.plans import oracles as O
 from crewmetrics.plans import reports as R
-from crewmetrics.session import prepare
+from crewmetrics.session import new_folder, prepare
+from crewmetrics.sources import parts
 from crewmetrics.sources.adapters import driver_warehouse
 from crewmetrics.sources.oracle_views import with_views
 
@@ -509,6 +510,35 @@ _report(
     "daily_ewt_12mo", dt.date(2025, 2, 4), O.daily("2023-02-25 23:15:00", SHIFT_END, O.EWT_CODES)
 )
 _JANUARY = ("2023-12-25 23:15:00", "2024-01-25 23:15:00")
+
+
+def daily_over_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily report over a log and shift reports laid out by day: only days of its window are opened."""
+    prepare(spark)
+    wh, folder = driver_warehouse(spark, sf_dir), new_folder(spark, "days")
+    laid = {}
+    for name in ("activity_log", "shift_reports"):
+        parts.write_days(getattr(wh, name), f"{folder}/{name}", parts.DAY_OF[name])
+        laid[name] = parts.read_days(spark, name, f"{folder}/{name}")
+    return K.run("daily_ewt_2mo", wh.replaced(**laid), dt.date(2024, 1, 10))
+
+
+def daily_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily report kept as a table by day: two months written, then one month of them run again."""
+    prepare(spark)
+    wh, path = driver_warehouse(spark, sf_dir), new_folder(spark, "daily")
+    whole = K.run("daily_ewt_2mo", wh, dt.date(2024, 2, 10))
+    parts.replace_parts(whole, path, "date")
+    window = TO.Window(*(dt.datetime.fromisoformat(t) for t in _JANUARY))
+    days = [dt.date(2023, 12, 26) + dt.timedelta(days=n) for n in range(31)]
+    parts.replace_parts(K.run("daily_ewt_2mo", wh, dt.date(2024, 2, 10), window=window), path, "date", days)
+    return parts.read_parts(spark, path, whole.schema)
+
+
+QUERIES["daily_ewt_over_days"] = daily_over_days
+ORACLES["daily_ewt_over_days"] = O.daily("2023-11-25 23:15:00", "2024-01-25 23:15:00", O.EWT_CODES)
+QUERIES["daily_ewt_saved"] = daily_saved
+ORACLES["daily_ewt_saved"] = O.daily("2023-12-25 23:15:00", SHIFT_END, O.EWT_CODES)
 _report(
     "daily_ewt_1mo_120_days_back", dt.date(2024, 5, 9), O.daily(*_JANUARY, O.EWT_CODES)
 )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -45,3 +48,16 @@ def use_folder(spark: SparkSession, folder: str) -> None:
     """Names the shared folder of a local session that has none; anything else keeps its own."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.master.startswith("local["):
         spark.conf.set("spark.checkpoint.dir", folder)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one, deleted when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def delete() -> None:
+        if spark.sparkContext._jsc is not None:  # the session may have been stopped
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+    atexit.register(delete)
+    return path

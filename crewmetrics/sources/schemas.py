@@ -43,6 +43,10 @@ class Warehouse:
     def __init__(self, builders: dict):
         self._builders = {"work_steps": lambda: self.steps.drop(*STEP_OWNER)} | builders
 
+    def replaced(self, **relations: DataFrame) -> Warehouse:
+        """The same relations but for those given."""
+        return Warehouse(self._builders | {name: lambda df=df: df for name, df in relations.items()})
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in self._builders:
             raise AttributeError(name)

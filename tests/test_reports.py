@@ -8,7 +8,7 @@ from compare import difference, duck
 from crewmetrics.functions.timeops import pay_window
 from crewmetrics.plans import catalogue, registry, reports
 from crewmetrics.plans.reports import page
-from crewmetrics.session import release, shared_dir, tables_of
+from crewmetrics.session import shared_dir
 from crewmetrics.sources.adapters import driver_warehouse
 from crewmetrics.sources.schemas import SCHEMAS, read_warehouse
 
@@ -140,19 +140,13 @@ def test_narrowing_the_look_ahead_does_not_change_a_report(spark, monkeypatch):
     assert narrowed
 
 
-def test_a_mastery_report_writes_one_table(spark):
-    report = registry.QUERIES["mastery_month_boundary_1mo"](spark, SF)
-    assert len(tables_of(report)) == 1
-
-
-def test_releasing_a_report_leaves_others_readable(spark):
-    one, other = (registry.QUERIES["mastery_month_boundary_1mo"](spark, SF) for _ in range(2))
-    n = other.count()
-    release(one)
-    assert other.count() == n > 0
-    with pytest.raises(Exception):  # noqa: B017
-        one.count()
-    release(other)
+@pytest.mark.parametrize(
+    "name", ["mastery_month_boundary_1mo", "mastery_week_average_12wk", "trimmed_worker_levels", "trimmed_expert_bounds_month"]
+)
+def test_ranked_reports_write_no_table_and_run_no_job_while_built(spark, name):
+    assert jobs_in(spark, lambda: registry.QUERIES[name](spark, SF)) == 0
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
+    assert "lineitem.parquet" in plan and "rangepartitioning" not in plan
 
 
 def test_a_folder_must_be_named():
