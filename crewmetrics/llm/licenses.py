@@ -126,7 +126,12 @@ WRAPS = [
     r"(?i)(software foundation);\s+(either version \d)",
     r"(?i)(any warranty);\s+(without even)",
     r"(?i)(license, v)\.[ \t]*(\d)",
+    r"([A-Z]{2,}[\"”']?,?)[ \t]*\r?\n[ \t]*([\"“']?[A-Z]{2,}[ ,.;\"”])",
 ]
+#: A colon that ends a known sentence where the text goes on in the same line.
+CUTS = r"(?i)(following conditions(?: are met)?):[ \t]+"
+#: Beginnings of texts that a copyright line without an end may stand before.
+BEGINS = r"[ \t](Permission is hereby granted,|Permission to use, copy,|Redistribution and use in source)"
 
 
 def rule_patterns() -> list[tuple[str, str]]:
@@ -144,6 +149,7 @@ def _sentences(text: Column) -> Column:
         text = F.regexp_replace(text, pattern, "$1 $2")
     for pattern in WRAPS:
         text = F.regexp_replace(text, pattern, "$1 $2")
+    text = F.regexp_replace(F.regexp_replace(text, CUTS, "$1\n"), BEGINS, "\n$1")
     parts = F.split(F.regexp_replace(text, ENDS, "\n"), "\n")
     plain = lambda s: F.trim(F.regexp_replace(F.lower(s), OTHER, " "))
     return F.transform(parts, plain)
@@ -190,11 +196,15 @@ def oracle() -> str:
     for name, pattern in rule_patterns():
         for _ in range(2):
             left = f"regexp_replace({left}, '{pattern}', ';<{name}>;', 'g')"
+    text = f"regexp_replace(text, '{COMMENT}', '\\1', 'g')"
+    for pattern in (GOES_ON, SHOUTS_ON, *WRAPS):
+        pattern = pattern.replace("'", "''")
+        text = f"regexp_replace({text}, '{pattern}', '\\1 \\2', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, '{CUTS}', '\\1' || chr(10), 'g'), '{BEGINS}', chr(10) || '\\1', 'g')"
     return f"""
 with known(sentence, id) as (values {known}
 ), parts as (
-  select rid, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{COMMENT}', '\\1', 'g'),
-      '{GOES_ON}', '\\1 \\2', 'g'), '{SHOUTS_ON}', '\\1 \\2', 'g'), '{ENDS}', chr(10), 'g'), chr(10)) as parts
+  select rid, string_split(regexp_replace({text}, '{ENDS}', chr(10), 'g'), chr(10)) as parts
   from (select row_number() over () as rid, * from documents) where regexp_matches(text, '(?i){NEEDED}')
 ), cut as (
   select rid, unnest(parts) as s, generate_subscripts(parts, 1) as k from parts

@@ -108,3 +108,48 @@ def test_verbatim_headers(spark):
     assert got[1][:2] == ("gpl3Later,gnuWarranty,gplSee,gplCopy", "GPL-3.0-or-later")
     assert got[2][:2] == ("mpl2", "MPL-2.0")
     assert got[3][:2] == ("apache2,apacheUse,apacheCopy,apacheWarranty,apacheSee", "Apache-2.0")
+
+
+MIT_VERBATIM = MIT.replace("# ", "").replace("#", "") + """ IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+
+def headers():
+    two = GPL.format(";", ";", 2) + "; if not, write to the Free Software\n# Foundation, Inc., 51 Franklin Street, Boston, MA 02110-1301 USA."
+    texts = {"MIT": MIT_VERBATIM, "BSD-2-Clause": BSD, "GPL-2.0-or-later": two.replace("# ", "").replace("#", ""), "Apache-2.0": APACHE}
+    forms = []
+    for name, text in texts.items():
+        lines = [line.strip() for line in text.strip().split("\n")]
+        forms += [(name, text), (name, "\n".join(f" * {line}" for line in lines)), (name, "\r\n".join(lines))]
+        forms += [(name, " ".join(line for line in lines if line))] if name != "Apache-2.0" else []  # an address ends a sentence there
+    forms += [("MIT", "MIT License\n\n" + MIT_VERBATIM), ("MPL-2.0", MPL)]
+    return forms
+
+
+def test_verbatim_texts_in_every_form(spark):
+    got = scan(spark, *(text for _, text in headers()))
+    assert [g[1] for g in got] == [name for name, _ in headers()]
+
+
+def test_verbatim_texts_equal_the_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    texts = [text for _, text in headers()] + [None, "", MIT, "Some prose\nReleased under the MIT License.\nmore"]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    assert sorted(con.execute(L.oracle()).fetchall()) == [(i, *row) for i, row in enumerate(scan(spark, *texts))]
+    assert con.execute(f"select count(*) from ({L.oracle()}) where licenses <> ''").fetchone()[0] == len(headers()) + 1
