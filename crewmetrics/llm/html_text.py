@@ -15,7 +15,10 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
+from math import isqrt
 
 import pandas as pd
 import pyarrow as pa
@@ -42,6 +45,13 @@ WORDS = set(
     "breadcrumb breadcrumbs footer masthead share sharing social related recommended popup modal overlay widget pagination pager toolbar "
     "complementary contentinfo search dialog hidden".split()
 )
+#: What boxes are called, beside what is in them (``ad-slot``), and what a layout or topic is named after (``no-sidebar``).
+BOXES = set("area bar block body box button card container content form frame group holder inner item items list panel row section slot text thread unit wrap wrapper".split())
+STATES = set("category both format has hide is layout left no not right tag type with without".split())
+#: Elements that hold a text rather than a part of the page, and words that in their classes may be what the text is about.
+TEXTS = set("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption".split())
+TOPICS = set("search related recommended social navigation menu dialog reply replies respond promotion toolbar pager".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6 header hgroup".split())
 #: Elements whose ids name what they are about.
 NAMED = set("h1 h2 h3 h4 h5 h6 section".split())
 HEAD_WORDS = {"header", "topbar"}
@@ -199,36 +209,77 @@ def fold(kids: list[list]) -> list[list]:
 
 
 def _grouped(kids: list[list], groups: list[list]) -> list[list]:
-    """``kids`` with each run that is one turn of a group put into such a group."""
-    for group in groups:
-        keys, n = [_key(k) for k in group[2]], len(group[2])
-        i = 0
-        while i + n <= len(kids):
-            if [_key(k) for k in kids[i : i + n]] == keys:
-                kids = [*kids[:i], ["()", "1", kids[i : i + n]], *kids[i + n :]]
-            i += 1
+    """``kids`` with each run that is one turn of a group put into such a group, inner groups before outer ones."""
+    turns = {tuple(_key(k) for k in group[2]) for group in groups}
+    sizes = sorted({len(turn) for turn in turns}, reverse=True)
+    names, before = [_key(k) for k in kids], None
+    while before != len(kids):
+        before, made, called, i = len(kids), [], [], 0
+        while i < len(kids):
+            n = next((n for n in sizes if i + n <= len(kids) and tuple(names[i : i + n]) in turns), 0)
+            made.append(["()", "1", kids[i : i + n]] if n else kids[i])
+            called.append("(" + " ".join(names[i : i + n]) + ")" if n else names[i])
+            i += n or 1
+        kids, names = made, called
     return kids
 
 
 def pairs(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
-    """An alignment with as many equal names as can be; the first such one from the left."""
-    if a == b:
-        return [(i, i) for i in range(len(a))]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(len(b) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
-    i, j, made = 0, 0, []
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            made.append((i, j))
+    """An alignment with as many equal names as can be; the first such one from the left.
+
+    Rows of the table of common lengths are numbers with a bit for each of ``b``, 0 where the length grows. A row in
+    ``isqrt(len(a))`` is kept and those after it are computed again when the way through the table gets there, so long
+    lists take memory in proportion to len(b) * sqrt(len(a)) bits.
+    """
+    same = 0
+    while same < len(a) and same < len(b) and a[same] == b[same]:
+        same += 1
+    made = [(i, i) for i in range(same)]
+    n, m = len(a) - same, len(b) - same
+    if not n or not m:
+        return made + [(i, None) for i in range(same, len(a))] + [(None, j) for j in range(same, len(b))]
+    ones, at = (1 << m) - 1, {}
+    for j in range(m):
+        at.setdefault(b[same + j], []).append(m - 1 - j)
+    holds = {}
+    for name, places in at.items():
+        bits = bytearray((m + 7) // 8)
+        for place in places:
+            bits[place >> 3] |= 1 << (place & 7)
+        holds[name] = int.from_bytes(bits, "little")
+
+    def after(row: int, i: int) -> int:
+        """The row for ``a`` from its i-th on, from that for ``a`` behind it."""
+        common = row & holds.get(a[same + i], 0)
+        return (row + common | row - common) & ones
+
+    step = isqrt(n) + 1
+    kept, row = {n: ones}, ones
+    for i in range(n - 1, -1, -1):
+        row = after(row, i)
+        if i % step == 0:
+            kept[i] = row
+    rows: dict[int, int] = {}
+
+    def length(i: int, j: int) -> int:
+        if i not in rows:
+            rows.clear()
+            top = min((i // step + 1) * step, n)
+            rows[top] = kept[top]
+            for k in range(top - 1, i // step * step - 1, -1):
+                rows[k] = after(rows[k + 1], k)
+        return m - j - (rows[i] & (1 << m - j) - 1).bit_count()
+
+    i = j = 0
+    while i < n or j < m:
+        if i < n and j < m and a[same + i] == b[same + j]:
+            made.append((same + i, same + j))
             i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            made.append((i, None))
+        elif j == m or i < n and length(i, j) == length(i + 1, j):
+            made.append((same + i, None))
             i += 1
         else:
-            made.append((None, j))
+            made.append((None, same + j))
             j += 1
     return made
 
@@ -266,28 +317,62 @@ def _tokens(name: str) -> set[str]:
     return {w.removeprefix("#") for w in parts if w[0] != "#" or tag not in NAMED}
 
 
+def _furniture(name: str) -> bool:
+    """Whether a class, id or role says that this is no part of an article: the word itself, or a compound that ends in one
+    (``post-comments``), boxes left aside (``ad-slot``). In elements of text, words that may be its topic don't count.
+    """
+    known = WORDS - TOPICS if _tag(name) in TEXTS else WORDS
+    if _tokens(name) & known:
+        return True
+    for part in name.split()[1:]:
+        if part[0] == "#" and _tag(name) in NAMED:
+            continue
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", part).lower()) if w]
+        while len(words) > 1 and words[-1] in BOXES:
+            words.pop()
+        if words and words[-1] in known and words[0] not in STATES:
+            return True
+    return False
+
+
 def _is_main(name: str) -> bool:
     return _tag(name) in ("article", "main") or bool({"main", "#main"} & set(name.split()[1:]))
 
 
 def _has_main(kid: list) -> bool:
     """Whether the article may be in here; in what looks like no article, articles that do so too don't count."""
-    return _is_main(kid[0]) and not _tokens(kid[0]) & WORDS or any(_has_main(k) for k in kid[2] if not _dropped(k, False))
+    return _is_main(kid[0]) and not _furniture(kid[0]) or any(_has_main(k) for k in kid[2] if not _dropped(k, False))
+
+
+def _holds(kid: list, tags: set[str]) -> bool:
+    return any(_tag(k[0]) in tags or _holds(k, tags) for k in kid[2])
+
+
+def _bodied(article: list) -> bool:
+    """Whether an article has texts, beside headings, that are in none of the articles inside."""
+    for kid in article[2]:
+        if kid[0] == "#":
+            return True
+        if _tag(kid[0]) not in HEADINGS and _tag(kid[0]) != "article" and not _dropped(kid, True) and _bodied(kid):
+            return True
+    return False
 
 
 def _dropped(kid: list, inside: int) -> bool:
     """Whether an element is no part of an article; ``inside``: it stands in one."""
     tag = _tag(kid[0])
+    if tag == "form":  # some servers put the whole page into one
+        return not (any(_has_main(k) for k in kid[2]) or not inside and _holds(kid, {"h1", "nav", "header", "footer"}))
     if tag in NO_TEXT:
         return True
     if tag in ("#root", "html", "body") or _is_main(kid[0]):
         return False
     if inside:
-        return tag in ASIDE or bool(_tokens(kid[0]) & WORDS)
+        return tag in ASIDE or _furniture(kid[0])
     words = _words(kid[0])
-    if tag in ASIDE or words & WORDS or tag == "header" or words & HEAD_WORDS:
+    if tag in ASIDE or tag == "header" or words & HEAD_WORDS or _furniture(kid[0]):
         return not any(_has_main(k) for k in kid[2])
-    return False
+    return bool(words & WORDS) and not _holds(kid, {"h1"}) and not any(_has_main(k) for k in kid[2])
 
 
 def _doubtful(name: str) -> bool:
@@ -296,20 +381,53 @@ def _doubtful(name: str) -> bool:
     return not _is_main(name) and bool(_words(" ".join(["", *parts])) & WORDS)
 
 
-def read(node: Node, wrapper: list, inside: int = 0, path: str = "") -> Iterator[tuple[str, str, int, int]]:
-    """(slot, text, characters in links, inside) of what the wrapper doesn't drop, in the page's order; ``inside`` is
-    1 in an article and 2 in a doubtful part of one."""
+def _teasers(elements: list[list]) -> set[str]:
+    """Names of the articles that a wrapper repeats beside another that it has once."""
+    once, many = set(), set()
+
+    def see(kids: list[list], repeated: bool) -> None:
+        for kid in kids:
+            if kid[0] == "()":
+                see(kid[2], repeated or kid[1] in "+*")
+            elif _tag(kid[0]) == "article":
+                (many if repeated or kid[1] in "+*" else once).add(kid[0])
+
+    see(elements, False)
+    return many if once - many else set()
+
+
+def read(
+    node: Node, wrapper: list, grade: int = 0, doubtful: bool = False, path: str = "", lower: bool = False, bodied: bool = False
+) -> Iterator[tuple[str, str, int, int, bool]]:
+    """(slot, text, characters in links, grade, doubtful) of what the wrapper doesn't drop, in the page's order.
+
+    The grade is 3 in a page's main element, else 2 in an article, else 0; it is one less in an article that stands in
+    the body of another (a reader's comment), that the wrapper repeats beside one it has once (a teaser), or whose class says that it is
+    no article. The best grade of a page is its article, so a page that holds nothing better keeps these.
+    """
     names = ["#" if isinstance(kid, tuple) else kid.name for kid in node.kids]
+    teasers = _teasers(wrapper[2])
     for kid, (position, element) in zip(node.kids, _along(names, wrapper[2])):
         slot = f"{path}/{position}"
         if isinstance(kid, tuple):
-            yield slot, *kid, inside
+            yield slot, *kid, grade, doubtful
             continue
         if element is None:  # read by its own shape
             element = shape(kid)
-        if not _dropped(element, inside):
-            within = 2 if inside and _doubtful(element[0]) else 1 if _is_main(element[0]) else 0
-            yield from read(kid, element, max(inside, within), slot)
+        name = element[0]
+        if _dropped(element, grade):
+            continue
+        within, below, body, doubt = grade, lower, bodied, doubtful
+        if _is_main(name):
+            article = _tag(name) == "article"
+            within = within or (2 if article else 3)
+            if article and not lower and (bodied or name in teasers or _furniture(name)):
+                within, below = within - 1, True
+            if article:
+                body = _bodied(element)
+        elif grade:
+            doubt = doubtful or _doubtful(name)
+        yield from read(kid, element, within, doubt, slot, below, body)
 
 
 def _along(names: list[str], elements: list[list]) -> Iterator[tuple[str, list | None]]:
@@ -331,31 +449,45 @@ def _along(names: list[str], elements: list[list]) -> Iterator[tuple[str, list |
                 back.append((len(flat) - 1, begin))
 
     lay(elements, "")
+    places: dict[str, list[int]] = {}
+    for i, (key, *_) in enumerate(flat):
+        places.setdefault(key, []).append(i)
+    turns: dict[int, list[int]] = {}  # where what is repeated around a place begins, inner groups before outer ones
+    for end, begin in back:
+        for i in range(begin, end + 1):
+            turns.setdefault(i, []).append(begin)
     at = 0
     for key in names:
-        places = [i for i in range(at, len(flat)) if flat[i][0] == key]
-        turn = [b for e, b in back if b <= at - 1 <= e]
-        again = [i for b in turn for i in range(b, at) if flat[i][0] == key]
-        if again and (not places or places[0] > at):
-            place = again[0]
-        elif places:
-            place = places[0]
-        else:
-            place = next((i for i in range(len(flat)) if flat[i][0] == key), None)
-        if place is None:
+        held = places.get(key)
+        if held is None:
             yield "?", None
-        else:
-            at = place + 1
-            yield flat[place][1], flat[place][2]
+            continue
+        i = bisect_left(held, at)
+        place = held[i] if i < len(held) else held[0]
+        if place != at:
+            for begin in turns.get(at - 1, ()):
+                i = bisect_left(held, begin)
+                if i < len(held) and held[i] < at:
+                    place = held[i]
+                    break
+        at = place + 1
+        yield flat[place][1], flat[place][2]
+
 
+def _repeats(text: str, links: int) -> bool:
+    """Whether a text is mostly links, so that it goes where other pages have it too."""
+    return 2 * links > len(text)
 
-def extract(html: str | None, wrapper: list, constant: set[str] = frozenset()) -> str:
-    """The blocks of the page's article but constant ones in doubtful parts; without one, all texts that are neither constant nor links that repeat over pages."""
+
+def extract(html: str | None, wrapper: list, constant: set[str] = frozenset(), shared: set[int] = frozenset()) -> str:
+    """The blocks of the page's article but constant ones in doubtful parts; without one, all texts that are neither
+    in ``constant`` slots nor links whose marks are ``shared`` with other pages."""
     found = list(read(parse(html), wrapper))
-    if any(inside for *_, inside in found):
-        blocks = [text for slot, text, _, inside in found if inside == 1 or inside == 2 and slot not in constant]
+    best = max((grade for *_, grade, _ in found), default=0)
+    if best:
+        blocks = [text for slot, text, _, grade, doubtful in found if grade == best and not (doubtful and slot in constant)]
     else:
-        blocks = [text for slot, text, links, _ in found if not (slot in constant or 2 * links > len(text) and f"={_mark(text)}" in constant)]
+        blocks = [text for slot, text, links, *_ in found if slot not in constant and not (_repeats(text, links) and _mark(text) in shared)]
     return "\n\n".join(blocks)
 
 
@@ -403,39 +535,49 @@ def _mark(text: str) -> int:
     return xxhash.xxh64_intdigest(text) >> 1
 
 
-def _constants(pages: DataFrame, least: int) -> DataFrame:
-    """host, constant: the slots that hold one text on all of at least ``least`` pages, and ``=`` with the marks of texts
-    that are mostly links on so many. Pages with the same texts are one page.
-    """
+@lru_cache(maxsize=256)
+def _loaded(wrapper: str) -> list:
+    """A wrapper as a list; a task keeps those of the hosts it met last."""
+    return json.loads(wrapper)
+
+
+def _votes(pages: DataFrame) -> DataFrame:
+    """host, page, whole, held (slot, mark of its text), links (marks of texts that are mostly links) of ``pages`` (host, page, html, wrapper)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list] = {}
         for batch in batches:
             found = []
             for row in range(batch.num_rows):
-                host, html, wrapper = (batch.column(c)[row].as_py() for c in range(3))
-                if host not in known:
-                    known[host] = json.loads(wrapper)
-                rows = list(read(parse(html), known[host]))
+                host, page, html, wrapper = (batch.column(c)[row].as_py() for c in range(4))
+                rows = list(read(parse(html), _loaded(wrapper)))
                 if rows:
                     whole = xxhash.xxh128_hexdigest(json.dumps([text for _, text, *_ in rows]))
-                    held = {(slot, _mark(text)) for slot, text, *_ in rows}
-                    held |= {(f"={_mark(text)}", 0) for _, text, links, _ in rows if 2 * links > len(text)}
-                    found.append((host, whole, [{"slot": s, "mark": m} for s, m in sorted(held)]))
-            columns = list(zip(*found)) or [[]] * 3
-            kinds = [pa.string(), pa.string(), pa.list_(pa.struct([("slot", pa.string()), ("mark", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["host", "whole", "held"])
-
-    votes = pages.select("host", "html", "wrapper").mapInArrow(count, "host string, whole string, held array<struct<slot string, mark long>>")
-    votes = votes.dropDuplicates(["host", "whole"])
-    total = votes.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    same = votes.select("host", F.inline("held")).groupBy("host", "slot").agg(
+                    held = sorted({(slot, _mark(text)) for slot, text, *_ in rows})
+                    found.append((host, page, whole, [{"slot": s, "mark": m} for s, m in held], sorted({_mark(t) for _, t, n, *_ in rows if _repeats(t, n)})))
+            columns = list(zip(*found)) or [[]] * 5
+            kinds = [pa.string(), pa.string(), pa.string(), pa.list_(pa.struct([("slot", pa.string()), ("mark", pa.int64())])), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["host", "page", "whole", "held", "links"])
+
+    made = "host string, page string, whole string, held array<struct<slot string, mark long>>, links array<long>"
+    return pages.select("host", "page", "html", "wrapper").mapInArrow(count, made)
+
+
+def _constants(votes: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """host, constant: the host's slots that hold one text on all of its pages, at least ``least``, a list no longer than its
+    wrapper; and host, page, shared: the marks of those texts of links on a page that ``least`` pages of its host have. Pages with
+    the same texts are one page.
+    """
+    different = votes.dropDuplicates(["host", "whole"])
+    total = different.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    same = different.select("host", F.inline("held")).groupBy("host", "slot").agg(
         F.min("mark").alias("low"), F.max("mark").alias("high"), F.count(F.lit(1)).alias("n")
     )
-    same = same.where((F.col("low") == F.col("high")) & (F.col("n") >= least)).join(total, "host")
-    return same.where((F.col("n") == F.col("pages")) | F.col("slot").startswith("=")).groupBy("host").agg(
-        F.concat_ws(" ", F.sort_array(F.collect_list("slot"))).alias("constant")
-    )
+    same = same.where((F.col("low") == F.col("high")) & (F.col("n") >= least)).join(total, "host").where(F.col("n") == F.col("pages"))
+    constant = same.groupBy("host").agg(F.concat_ws(" ", F.sort_array(F.collect_list("slot"))).alias("constant"))
+    often = different.select("host", F.explode("links").alias("mark")).groupBy("host", "mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    marks = votes.select("host", "page", F.explode("links").alias("mark")).distinct()
+    shared = marks.join(often.select("host", "mark"), ["host", "mark"]).groupBy("host", "page").agg(F.collect_list("mark").alias("shared"))
+    return constant, shared
 
 
 def main_texts(pages: DataFrame, least: int = 3) -> DataFrame:
@@ -444,33 +586,31 @@ def main_texts(pages: DataFrame, least: int = 3) -> DataFrame:
     Character references are decoded, white space inside a block is one space, blocks are joined by an empty line. A null
     html or one without an article's text has an empty text. Pages without a host are one host's. A page of its
     own host is read by the wrapper of that page alone. Repeated rows and null ids are returned as they are, no
-    pages give no rows; other columns are not read. A host's constant slots are those of its wrapper, a bounded list;
-    beside them are texts of links that several of its pages share.
+    pages give no rows; other columns are not read. A host's constant slots are those of its wrapper, a bounded list.
+    Texts of links that several of its pages share are a table by host and mark, which meets each page's own marks.
     """
     scratch = Scratch(pages.sparkSession)
-    pages = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
+    pages = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html").withColumn("page", F.md5(F.coalesce("html", F.lit(""))))
     learnt = scratch.save(wrappers(pages))
     unsure = F.udf(lambda w: not _sure(json.loads(w)) or _doubts(json.loads(w)), "boolean")
     loose = scratch.save(learnt.where(unsure("wrapper")))
-    constant = _constants(pages.select("host", "html").join(loose, "host"), least)
-    # Written, so that the join with the pages knows its size: pages move only if wrappers are too many to broadcast.
+    constant, shared = _constants(scratch.save(_votes(pages.join(loose, "host"))), least)
+    # Written, so that the joins with the pages know their sizes: pages move only if a side is too large to broadcast.
     learnt = scratch.save(learnt.join(constant, "host", "left"))
+    shared = scratch.save(shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[list, set[str]]] = {}
         for batch in batches:
             texts = []
             for row in range(batch.num_rows):
-                host, html, wrapper, slots = (batch.column(c)[row].as_py() for c in range(2, 6))
-                if host not in known:
-                    known[host] = json.loads(wrapper), set((slots or "").split())
-                texts.append(extract(html, *known[host]))
+                html, wrapper, slots, marks = (batch.column(c)[row].as_py() for c in range(2, 6))
+                texts.append(extract(html, _loaded(wrapper), set((slots or "").split()), set(marks or ())))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    rows = pages.join(learnt, "host").select("page_id", "url", "host", "html", "wrapper", "constant")
+    rows = pages.join(learnt, "host").join(shared, ["host", "page"], "left").select("page_id", "url", "html", "wrapper", "constant", "shared")
     return rows.mapInArrow(run, rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long"))
 
 

@@ -112,3 +112,60 @@ def test_words_in_class_or_id_do_not_lose_articles_or_headings(spark):
     ]
     got = {r.page_id: r.text for r in H.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
     assert got == {i: f"a{i}\n\nb{i}" for i in range(4)}
+
+
+def test_comments_teasers_adverts_and_forms():
+    one = lambda html: H.extract(html, H.shape(H.parse(html)))
+    assert one("<article><p>x</p><ol class='comment-list'><li><article class='comment'><p>First 0!</p></article></ol></article>") == "x"
+    assert one("<article><p>x</p><article><p>First!</p></article><article><p>Second!</p></article></article>") == "x"
+    assert one("<article><h1>t</h1><article><p>body</p></article></article>") == "t\n\nbody"
+    assert one("<article><p>x</p><div class='ad-slot'>Buy</div><div id='cookie-banner'>c</div><div class='newsletterSignup'>n</div></article>") == "x"
+    assert one("<article class='post'><p>x</p></article><article class='card'>t</article><article class='card'>u</article>") == "x"
+    assert one("<article class='card'>t</article><article class='card'>u</article>") == "t\n\nu"
+    assert one("<main><article>x</article></main><article>teaser</article>") == "x"
+    assert one("<article class='comment'><p>all there is</p></article>") == "all there is"
+    assert one("<form><nav>m</nav><article><p>x</p></article><input></form>") == "x"
+    assert one("<form><header>m</header><div><h1>t</h1><p>x</p></div></form>") == "t\n\nx"
+    assert one("<article><p class='search'>x</p><form><p>mail</p></form><p class='ad'>no</p></article>") == "x"
+
+
+def test_alignments_are_those_of_the_whole_table():
+    def table(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in reversed(range(len(a))):
+            for j in reversed(range(len(b))):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < len(a) or j < len(b):
+            if i < len(a) and j < len(b) and a[i] == b[j]:
+                yield i, j
+                i, j = i + 1, j + 1
+            elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
+                yield i, None
+                i += 1
+            else:
+                yield None, j
+                j += 1
+
+    rng = random.Random(5)
+    for _ in range(500):
+        a, b = (rng.choices("abcde"[: rng.randrange(1, 6)], k=rng.randrange(30)) for _ in range(2))
+        assert H.pairs(a, b) == list(table(a, b))
+
+
+def test_a_page_of_very_many_siblings_is_whole():
+    rng = random.Random(6)
+    pages = ["<article>" + "".join(f"<{t}>{i}</{t}>" for i, t in enumerate(rng.choices(["p", "ul", "pre", "h2", "dl"], k=20_000))) + "</article>" for _ in range(2)]
+    wrapper = H.merge(*(H.shape(H.parse(p)) for p in pages))
+    for p in pages:
+        assert H.extract(p, wrapper) == "\n\n".join(map(str, range(20_000)))
+
+
+def test_links_that_pages_share_are_joined_page_by_page(spark):
+    # Each text of a link stands on five pages of the host, in lists without a place of their own.
+    rows = [
+        (i, "http://x/", f"<body><div><p>Text {i}</p><p><a href=/>Topic {i // 5}</a></p><p>More {i}</p></div></body>", None, None) for i in range(60)
+    ]
+    rows.append((60, "http://x/", "<body><div><p>Text 60</p><p><a href=/>Only here</a></p></div></body>", None, None))
+    got = {r.page_id: r.text for r in H.main_texts(spark.createDataFrame(rows, PAGES).repartition(5)).collect()}
+    assert got == {i: f"Text {i}\n\nMore {i}" for i in range(60)} | {60: "Text 60\n\nOnly here"}
