@@ -7,6 +7,7 @@ bounds are Python values so that they reach the scan as literals.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -110,6 +111,36 @@ class Window:
         return on_days(df.filter(self.local(ts)), ts, self.start + TO_LOCAL, self.end + TO_LOCAL)
 
 
+class Segments:
+    """The time between the first start and the last end of several windows, cut at all of their bounds.
+
+    A segment, numbered from 0, lies in a window wholly or not at all.
+    """
+
+    def __init__(self, windows: Sequence[Window]):
+        self.windows = list(windows)
+        self.hull = Window(min(w.start for w in windows), max(w.end for w in windows))
+        self.bounds = sorted({t for w in windows for t in (w.start, w.end)})
+
+    def of(self, ts: str, local: bool = False) -> Column:
+        """The segment of a UTC (or local) time, -1 before the first one and the number of segments after the last; NULL for NULL."""
+        shift = TO_LOCAL if local else dt.timedelta(0)
+        found = F.when(F.col(ts) < ntz(self.bounds[0] + shift), F.lit(-1))
+        for i, bound in enumerate(self.bounds[1:]):
+            found = found.when(F.col(ts) < ntz(bound + shift), F.lit(i))
+        return found.when(F.col(ts).isNotNull(), F.lit(len(self.bounds) - 1)).cast("int")
+
+    def reports(self, segment: str) -> Column:
+        """The numbers of the windows that a segment lies in."""
+        inside = [[i for i, w in enumerate(self.windows) if w.start <= a and b <= w.end] for a, b in zip(self.bounds, self.bounds[1:])]
+        listed = F.array(*[F.array(*[F.lit(i) for i in found]).cast("array<int>") for found in inside])
+        return F.get(listed, F.col(segment))
+
+    def end_of(self, report: str) -> Column:
+        """The first segment after a window."""
+        return F.get(F.array(*[F.lit(self.bounds.index(w.end)) for w in self.windows]), F.col(report))
+
+
 def add_months(day: dt.datetime, n: int) -> dt.datetime:
     """Calendar shift; anchors fall on day 1 or 26, which every month has."""
     months = day.year * 12 + day.month - 1 + n

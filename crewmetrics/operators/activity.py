@@ -76,13 +76,15 @@ def logout_gaps(
     logouts: DataFrame,
     window: Window | None = None,
     slice_seconds: int = 3600,
+    keep_next: bool = False,
 ) -> DataFrame:
     """Time from a logout to the worker's next event of either kind.
 
     The next event is looked up per worker and time slice, so one busy worker is spread over
     many tasks. Only a logout that ends its slice has to look further: for it, the first
     events of all slices of the worker are enough, at most two rows per slice. The worker's
-    last event in the window has no successor and keeps a NULL duration.
+    last event in the window has no successor and keeps a NULL duration. ``keep_next`` adds the next event's
+    time as ``next_at``.
     """
     if window is not None:
         log = window.utc_rows(log, "time_at")
@@ -125,6 +127,7 @@ def logout_gaps(
             _gap_code().alias("code"),
             millis_between(F.col("time_at"), F.col("next_at")).alias("runtime_ms"),
             "time_at",
+            *(["next_at"] if keep_next else []),
         )
     )
 
@@ -166,24 +169,30 @@ def timed_events(
     window: Window | None = None,
     gap_durations: bool = True,
     workers: DataFrame | None = None,
+    keep_next: bool = False,
 ) -> DataFrame:
     """Classified log events, logout gaps and meals as one relation.
 
+    ``keep_next`` adds the time of the event after a logout as ``next_at``, NULL for all that doesn't depend on one.
+
     ``workers`` (worker_id) narrows what looks for the event after a logout to the workers asked
     for; their events are the same with and without it, those of others lose their logouts.
     """
     if not gap_durations:
         gaps = logout_marks(logouts, window)
     elif workers is None:
-        gaps = logout_gaps(log, logouts, window)
+        gaps = logout_gaps(log, logouts, window, keep_next=keep_next)
     else:
         gaps = logout_gaps(
             log.join(workers, "worker_id", "left_semi"),
             logouts.join(workers, "worker_id", "left_semi"),
             window,
+            keep_next=keep_next,
         )
     return (
-        classify_activity(log, rules, window).unionByName(gaps).unionByName(meal_time(meals, window))
+        classify_activity(log, rules, window)
+        .unionByName(gaps, allowMissingColumns=keep_next)
+        .unionByName(meal_time(meals, window), allowMissingColumns=keep_next)
     )
 
 

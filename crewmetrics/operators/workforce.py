@@ -63,9 +63,9 @@ def team_names(workers: DataFrame, roles: DataFrame) -> DataFrame:
 
 
 def registered_shifts(
-    reports: DataFrame, workers: DataFrame, window: Window | None = None
+    reports: DataFrame, workers: DataFrame, window: Window | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Shifts with an end-of-shift report, dated on the local clock, one row per report."""
+    """Shifts with an end-of-shift report, dated on the local clock, one row per report; ``keep`` names more columns to return."""
     if window is not None:
         reports = window.local_rows(reports, "shift_start_local")
     leaders = workers.select(
@@ -76,7 +76,7 @@ def registered_shifts(
         reports.withColumn("date", F.to_date("shift_start_local"))
         .withColumn("shift", shift_of_hour(second_before))
         .join(leaders, "leader_id", "left")
-        .select("worker_id", "date", "shift", "team_shift", F.lit(1).alias("is_registered"))
+        .select("worker_id", "date", "shift", "team_shift", F.lit(1).alias("is_registered"), *keep)
     )
 
 

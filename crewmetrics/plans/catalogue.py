@@ -6,17 +6,19 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from crewmetrics import config as C
 from crewmetrics.functions.timeops import lookback, pay_window
 from crewmetrics.operators import quality as Q
 from crewmetrics.operators.trimmed import DateRange
 from crewmetrics.plans import reports as R
+from crewmetrics.sources import pages
 
 
 @dataclass(frozen=True)
@@ -226,3 +228,16 @@ def run_page(
 ) -> DataFrame:
     """One page of a report in its customary order."""
     return R.page(run(name, wh, as_of, **overrides), CATALOGUE[name].order, limit, offset)
+
+
+def save_pages(name: str, wh, as_of: dt.date, path: str, part_rows: int = pages.PART_ROWS, **overrides) -> None:
+    """Keeps a report in its customary order at the new folder ``path``, for ``pages.read_page``."""
+    pages.write_pages(run(name, wh, as_of, **overrides), path, CATALOGUE[name].order, part_rows)
+
+
+def daily_for_dates(wh, dates: Sequence[dt.date], months: int = 2, days_back: int = 0, **params) -> DataFrame:
+    """The daily report of each of ``dates``, in column ``as_of``, from one scan."""
+    days = sorted(set(dates))
+    found = R.report_daily_for_windows(wh, [pay_window(d, months, days_back=days_back) for d in days], **params)
+    named = F.get(F.array(*[F.lit(d) for d in days]), F.col("report"))
+    return found.select(named.alias("as_of"), *[c for c in found.columns if c != "report"])

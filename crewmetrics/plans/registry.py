@@ -24,7 +24,7 @@ from crewmetrics.plans import catalogue as K
 from crewmetrics.plans import oracles as O
 from crewmetrics.plans import reports as R
 from crewmetrics.session import new_folder, prepare
-from crewmetrics.sources import parts
+from crewmetrics.sources import pages, parts
 from crewmetrics.sources.adapters import driver_warehouse
 from crewmetrics.sources.oracle_views import with_views
 
@@ -539,6 +539,26 @@ QUERIES["daily_ewt_over_days"] = daily_over_days
 ORACLES["daily_ewt_over_days"] = O.daily("2023-11-25 23:15:00", "2024-01-25 23:15:00", O.EWT_CODES)
 QUERIES["daily_ewt_saved"] = daily_saved
 ORACLES["daily_ewt_saved"] = O.daily("2023-12-25 23:15:00", SHIFT_END, O.EWT_CODES)
+
+# Twelve report dates, one scan.
+_MONTHS = [(2023, m) for m in (10, 11, 12)] + [(2024, m) for m in range(1, 10)]
+
+
+def _each_month(codes) -> str:
+    def anchor(year: int, month: int) -> str:
+        return f"{year - (month < 1)}-{(month - 1) % 12 + 1:02}-25 23:15:00"
+
+    return " union all ".join(
+        f"select date '{y}-{m:02}-10' as as_of, * from ({O.daily(anchor(y, m - 2), anchor(y, m), codes)})" for y, m in _MONTHS
+    )
+
+
+for _name, _codes in (("daily_ewt_each_month", C.EWT_CODES), ("daily_all_types_each_month", C.ALL_TIME_CODES)):
+    _add(
+        _name,
+        lambda wh, codes=_codes: K.daily_for_dates(wh, [dt.date(y, m, 10) for y, m in _MONTHS], codes=codes),
+        _each_month(_codes),
+    )
 _report(
     "daily_ewt_1mo_120_days_back", dt.date(2024, 5, 9), O.daily(*_JANUARY, O.EWT_CODES)
 )
@@ -655,6 +675,24 @@ _add(
         150,
     ),
 )
+
+
+def page_far_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows 4,000 to 5,000 of the images by customer, from the report kept in order."""
+    prepare(spark)
+    path = f"{new_folder(spark, 'pages')}/customer_images"
+    K.save_pages("customer_images_24wk", driver_warehouse(spark, sf_dir), STEP_DAY, path, part_rows=500)
+    return pages.read_page(spark, path, 1000, 4000)
+
+
+QUERIES["page_far_in"] = page_far_in
+ORACLES["page_far_in"] = O.paged(
+    O.performance(by_image=True, clock="utc"),
+    "date desc, date_time, skill_name, worker_name, email, employee_code, office_name, image_id, template_name, template_id, "
+    "company, customer_id, skill_id, sort_order, img_count, avg_actual_s, avg_expected_s, efficiency, sum_actual_s, sum_expected_s",
+    1000,
+    4000,
+)
 _add(
     "mastery_first_page",
     lambda wh: K.run_page(

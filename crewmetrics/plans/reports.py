@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from crewmetrics import config as C
 from crewmetrics.functions import numeric as N
-from crewmetrics.functions.timeops import Window, day_type, shift_label, with_period_text
+from crewmetrics.functions.timeops import Segments, Window, day_type, shift_label, with_period_text
 from crewmetrics.operators import activity as A
 from crewmetrics.operators import mastery as M
 from crewmetrics.operators import trimmed as T
 from crewmetrics.operators import workforce as P
+from crewmetrics.sources.pages import sort_keys
 
 # --- shift and working time ---------------------------------------------------
 
@@ -161,12 +162,59 @@ def report_daily_working_time(
     else:
         events = A.classify_activity(wh.activity_log, rules, window)
     times = A.working_time(events, codes, by_category=False)
-    cohort = cohort.join(P.office_labels(wh.offices), "group_id", "left")
     registered = P.registered_shifts(wh.shift_reports, wh.workers, window)
+    return _daily_rows(wh, times, cohort, registered, (), holidays, substitutes)
+
+
+def report_daily_for_windows(
+    wh,
+    windows: Sequence[Window],
+    codes: Sequence[int] = C.EWT_CODES,
+    groups: Sequence[int] | None = (4,),
+    rules: C.ActivityRules = C.RULES_V2,
+    holidays: tuple[str, ...] = C.HOLIDAYS,
+    substitutes: tuple[str, ...] = C.SUBSTITUTE_DAYS,
+) -> DataFrame:
+    """``report_daily_working_time`` of each of ``windows``, its number in ``report``, from one scan of the events.
+
+    The windows may overlap or leave gaps. Events are summed between the bounds of all windows, and only the sums are
+    given to the reports that hold them; time up to a next event beyond a report's end is unknown to that report.
+    """
+    if not windows:
+        raise ValueError("no windows")
+    segments = Segments(windows)
+    cohort = cohort_of(wh, groups, attributes=["employee_code"])
+    hull = segments.hull
+    if any(c in A.GAP_CODES for c in codes):
+        ids = _ids(cohort if groups else None)
+        events = A.timed_events(*_events(wh), rules, hull, workers=ids, keep_next=True)
+    else:
+        events = A.classify_activity(wh.activity_log, rules, hull).withColumn("next_at", F.lit(None).cast("timestamp_ntz"))
+    events = A.with_shift(events.filter(F.col("code").isin(*codes)))
+    keys = ["date", "shift", "worker_id"]
+    sums = events.groupBy(*keys, segments.of("time_at").alias("segment"), segments.of("next_at").alias("until")).agg(F.sum("runtime_ms").alias("ms"))
+    given = sums.withColumn("report", F.explode(segments.reports("segment")))
+    known = F.when(F.coalesce(F.col("until") < segments.end_of("report"), F.lit(True)), F.col("ms"))
+    times = given.groupBy("report", *keys).agg(F.sum(known).alias("ms"))
+    shifts = hull.local_rows(wh.shift_reports, "shift_start_local")
+    registered = (
+        P.registered_shifts(shifts.withColumn("segment", segments.of("shift_start_local", local=True)), wh.workers, keep=("segment",))
+        .withColumn("report", F.explode(segments.reports("segment")))
+        .drop("segment")
+    )
+    return _daily_rows(wh, times, cohort, registered, ("report",), holidays, substitutes)
+
+
+def _daily_rows(
+    wh, times: DataFrame, cohort: DataFrame, registered: DataFrame, more: Sequence[str], holidays: tuple[str, ...], substitutes: tuple[str, ...]
+) -> DataFrame:
+    """Rows of the daily report; ``more`` are keys that times and registered shifts have beside theirs."""
+    cohort = cohort.join(P.office_labels(wh.offices), "group_id", "left")
     return (
         times.join(cohort, "worker_id")
-        .join(registered, ["worker_id", "date", "shift"], "left")
+        .join(registered, [*more, "worker_id", "date", "shift"], "left")
         .select(
+            *more,
             "date",
             day_type(F.col("date"), holidays, substitutes).alias("day_type"),
             shift_label(F.col("shift")).alias("shift"),
@@ -352,11 +400,7 @@ def page(
 ) -> DataFrame:
     """One page of a report, ordered by the named columns; ``-name`` sorts downwards.
 
-    NULLs count as the largest value. The other columns break ties, so pages do not overlap.
+    NULLs count as the largest value. The other columns break ties, so pages do not overlap. Each page computes and
+    sorts the report; ``sources.pages`` keeps a report whose pages are read one after another.
     """
-    names = [o.lstrip("-") for o in order]
-    keys = [*order, *[c for c in df.columns if c not in names]]
-    sorted_by = [
-        F.desc_nulls_first(k[1:]) if k.startswith("-") else F.asc_nulls_last(k) for k in keys
-    ]
-    return df.orderBy(*sorted_by).offset(offset).limit(limit)
+    return df.orderBy(*sort_keys(df.columns, order)).offset(offset).limit(limit)
