@@ -16,6 +16,7 @@ from crewmetrics import config as C
 from crewmetrics.functions import numeric as N
 from crewmetrics.functions import timeops as TO
 from crewmetrics.operators import activity as A
+from crewmetrics.operators import incremental as I
 from crewmetrics.operators import mastery as M
 from crewmetrics.operators import quality as Q
 from crewmetrics.operators import trimmed as T
@@ -540,6 +541,25 @@ ORACLES["daily_ewt_over_days"] = O.daily("2023-11-25 23:15:00", "2024-01-25 23:1
 QUERIES["daily_ewt_saved"] = daily_saved
 ORACLES["daily_ewt_saved"] = O.daily("2023-12-25 23:15:00", SHIFT_END, O.EWT_CODES)
 
+
+def shift_worker_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shift report of every group from stored days: a month without half of its logouts, the rest, then that month's late rows."""
+    prepare(spark)
+    wh, path = driver_warehouse(spark, sf_dir), new_folder(spark, "shift-days")
+    whole = TO.Window(dt.datetime(2023, 10, 25, 23, 15), dt.datetime.fromisoformat(SHIFT_END))
+    first, second = (TO.Window(*(dt.datetime.fromisoformat(t) for t in ends)) for ends in (_JANUARY, (_JANUARY[1], SHIFT_END)))
+    early = wh.replaced(logout_requests=wh.logout_requests.where("event_id % 2 = 0"))
+    I.write_days(early, path, first)
+    I.write_days(wh, path, second)
+    I.write_days(wh, path, first)
+    times = I.read_times(spark, path, whole)
+    return K.run("shift_worker_ewt_3mo", wh, SHIFT_DAY, groups=None, codes=None, times=times)
+
+
+QUERIES["shift_worker_from_days"] = shift_worker_from_days
+# Before the two months written the tables have no events.
+ORACLES["shift_worker_from_days"] = O.worker_shift(_JANUARY[0], SHIFT_END, group="(2, 3, 4, 5, 8, 998, 999)")
+
 # Twelve report dates, one scan.
 _MONTHS = [(2023, m) for m in (10, 11, 12)] + [(2024, m) for m in range(1, 10)]
 

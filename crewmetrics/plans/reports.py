@@ -37,15 +37,17 @@ def shift_hours(
     codes: Sequence[int] | None = None,
     min_end: int = 420,
     rollup_gaps: bool = False,
+    times: DataFrame | None = None,
 ) -> DataFrame:
     """Milliseconds per shift, worker and category or roll-up, with the normal-shift flag.
 
-    Only the look-ahead for logout times, which shuffles raw events, is narrowed to ``cohort``; the join of
+    ``times`` are the window's shift aggregates where they are stored (``operators.incremental``); then no event is read. Only the look-ahead for logout times, which shuffles raw events, is narrowed to ``cohort``; the join of
     the aggregates drops the other workers.
     """
-    durations = codes is None or rollup_gaps or any(c in A.GAP_CODES for c in codes)
-    events = A.timed_events(*_events(wh), rules, window, durations, _ids(cohort))
-    flagged = A.with_normal_flag(A.shift_times(events), min_end=min_end)
+    if times is None:
+        durations = codes is None or rollup_gaps or any(c in A.GAP_CODES for c in codes)
+        times = A.shift_times(A.timed_events(*_events(wh), rules, window, durations, _ids(cohort)))
+    flagged = A.with_normal_flag(times, min_end=min_end)
     rolled = A.rollup_categories(flagged, rollups, ["is_normal"], rollup_gaps)
     return rolled if codes is None else rolled.filter(F.col("code").isin(*codes))
 
@@ -78,13 +80,14 @@ def report_worker_shift(
     excluded: Sequence[int] = C.EXCLUDED_WORKERS,
     labels: tuple[str, ...] = C.SHIFT_LABELS,
     rollup_gaps: bool = False,
+    times: DataFrame | None = None,
 ) -> DataFrame:
     """Hours per shift, worker and category, with team and shift flags.
 
     Several end-of-shift reports of one shift repeat its rows.
     """
     cohort = cohort_of(wh, groups, excluded, ["planning_group_id"])
-    times = shift_hours(wh, window, cohort if groups else None, rules, rollups, codes, min_end, rollup_gaps)
+    times = shift_hours(wh, window, cohort if groups else None, rules, rollups, codes, min_end, rollup_gaps, times)
     cohort = with_team(cohort, wh).join(P.office_labels(wh.offices), "group_id", "left")
     registered = P.registered_shifts(wh.shift_reports, wh.workers, window)
     named = A.with_activity_names(times, names, keep_unnamed=codes is None)
