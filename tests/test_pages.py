@@ -47,3 +47,14 @@ def test_empty_reports_and_reruns(spark, tmp_path):
 def test_no_order_is_that_of_all_columns(spark, tmp_path):
     path = kept(spark, tmp_path, [(2, "b", None), (1, None, 0.5), (1, "a", None)], (), 2)
     assert [(r.k, r.v) for r in pages.read_page(spark, path, 9).collect()] == [(1, "a"), (1, None), (2, "b")]
+
+
+def test_many_parts_share_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pages, "FOLDERS", 4)
+    rows = [(i % 500, f"{i:04}", None) for i in range(3000)] + [(250, "hot", 1.0)] * 300
+    path = kept(spark, tmp_path, rows, ("-k", "v"), 20)
+    assert len([f for f in os.listdir(f"{path}/rows") if "part=" in f]) == 4  # one for each part would be 151
+    want = sorted(rows, key=lambda r: (-r[0], r[1]))
+    for limit, offset in ((50, 0), (30, 1490), (700, 1300), (3300, 0), (9, 3295)):
+        assert [tuple(r) for r in pages.read_page(spark, path, limit, offset).collect()] == want[offset : offset + limit]
+    assert len(pages.read_page(spark, path, 20, 700).inputFiles()) <= 3
