@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from crewmetrics.llm.common import WORD, words
 
 BUCKETS = 10_000
-#: Trusted rows to learn from at most: those with the smallest hashes of their ids. Their ids are broadcast.
-TRUSTED = 200_000
 THRESHOLD = -0.15
 WINDOW = 5
 #: Fixed values of the contract.
@@ -44,14 +42,14 @@ def _bucket(value: Column, buckets: int) -> Column:
     return F.pmod(value, F.lit(buckets)).cast("int")
 
 
-def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, most: int = TRUSTED) -> list[float]:
-    """log(target / raw) of each bucket, from all ``docs`` and the ``trusted`` ones (doc_id) among them.
+def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
+    """log(target / raw) of each bucket, from all ``docs`` and all the ``trusted`` ones (doc_id) among them.
 
-    One aggregate over all n-grams, combined before the shuffle; ``buckets`` numbers come to the driver.
+    The texts meet the trusted ids by a shuffle unless these are few. One aggregate over all n-grams, combined before
+    its own shuffle; ``buckets`` numbers come to the driver.
     """
-    ids = trusted.select("doc_id").where("doc_id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("trusted", F.lit(1))
-    hashed = docs.select("doc_id", _hashes(words(F.col("text"))).alias("h")).join(F.broadcast(ids), "doc_id", "left")
+    ids = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("trusted", F.lit(1))
+    hashed = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("trusted", _hashes(words(F.col("text"))).alias("h"))
     h = F.col("h")
     bucket = lambda a: _bucket(a, buckets)
     grams = hashed.select("trusted", F.explode(F.transform(F.concat(h, _joined(h, h, 1)), bucket)).alias("g"))

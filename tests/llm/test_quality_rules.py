@@ -90,3 +90,12 @@ def test_long_repeats_take_time_in_proportion(spark):
     text = "spam ham " * 60_000
     row = Q.report(spark.createDataFrame([(1, text, None, None)], DOCS), spark.createDataFrame([], "doc_id long")).first()
     assert (row.n_words, row.n_repeat_words, row.base_failed) == (120_000, 120_000, True)
+
+
+def test_every_trusted_document_counts(spark):
+    """More ids than were once learnt from: where all are trusted both multinomials are the same."""
+    docs = spark.range(201_000).selectExpr("id as doc_id", "concat('w', id % 11, ' x', id % 3) as text")
+    ratios = Q.weights(docs, docs.select("doc_id"), BUCKETS)
+    assert max(map(abs, ratios)) < 1e-12
+    some = Q.weights(docs, docs.where("doc_id >= 1000").select("doc_id"), BUCKETS)
+    assert max(map(abs, some)) > 1e-6
