@@ -48,6 +48,8 @@ RATE, SQUARES = 0.05, 1e-7
 STEEP = 60.0
 #: Texts are packed into streams together up to so many tokens; a longer text alone.
 PACK = 4_000_000
+#: The same where texts are only scored: a task holds several numbers and the words not in the head for each token.
+SCORED_PACK = 1_000_000
 #: Distinct words that a task counts before it sends them on.
 COUNTED = 400_000
 #: Numbers in one row where weights are averaged.
@@ -521,7 +523,7 @@ def score(texts: DataFrame, counts: DataFrame, vocabulary, shape: Shape, weights
                 tail.append(Counter([ws[j] for j in unknown.tolist()]))
                 size += len(places[-1])
                 held.append(whole.slice(i, 1))
-                if size >= PACK:
+                if size >= SCORED_PACK:
                     yield flush(_joined(held), places, tail)
                     held, places, tail, size = [], [], [], 0
         if held:

@@ -146,3 +146,28 @@ def test_empty_tables_and_no_training_rows(spark):
     out = next(i for i in range(100) if crc32(str(i).encode()) % 5 == 1)
     (row,) = report(spark, [(out, "a b")])
     assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0) and abs(row.base_score) < 1e-9 and math.isfinite(row.score)
+
+
+def test_texts_are_scored_in_small_packs_with_the_same_scores(spark, monkeypatch):
+    rows = [(i, b" ".join(b"w%d" % ((i * j) % 40) for j in range(20 + i % 30))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text binary").coalesce(1)
+    head = [(b"w%d" % i, 50 - i) for i in range(30)]
+    v = recurrent.Vocabulary(head, 9, sum(n for _, n in head) + 9, 31, short=12)
+    shape, counts = Shape(v.other + 1), spark.createDataFrame(head, "word binary, n long")
+    given, weights = spark.sparkContext.broadcast(v), shape.start(v.symbol_counts)
+
+    def scored():
+        return {r.doc_id: (r.n_tokens, r.n_known, r.base_score, r.score) for r in recurrent.score(docs, counts, given, shape, weights).collect()}
+
+    whole, packed = scored(), recurrent.pack
+
+    def watched(held):
+        assert sum(map(len, held)) < 500 + 51  # the pack and its last text
+        return packed(held)
+
+    monkeypatch.setattr(recurrent, "SCORED_PACK", 500)
+    monkeypatch.setattr(recurrent, "pack", watched)
+    assert recurrent.PACK > 200 * 51  # by the size of packs for training all texts would be one
+    small = scored()
+    assert small.keys() == whole.keys() == set(range(200))
+    assert all(small[i] == pytest.approx(whole[i], rel=1e-5) for i in whole)
