@@ -42,14 +42,22 @@ def _bucket(value: Column, buckets: int) -> Column:
     return F.pmod(value, F.lit(buckets)).cast("int")
 
 
+def marked(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """text of all ``docs``, and trusted: 1 for those among the ids of ``trusted`` (doc_id), else null.
+
+    The texts are shuffled once, however many ids there are, and each task looks its texts up among its own share of the
+    ids: texts are neither sorted, which would spill them, nor are ids sent to all tasks.
+    """
+    ids = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("trusted", F.lit(1))
+    return docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left").select("text", "trusted")
+
+
 def weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """log(target / raw) of each bucket, from all ``docs`` and all the ``trusted`` ones (doc_id) among them.
 
-    The texts meet the trusted ids by a shuffle unless these are few. One aggregate over all n-grams, combined before
-    its own shuffle; ``buckets`` numbers come to the driver.
+    One aggregate over all n-grams, combined before its own shuffle; ``buckets`` numbers come to the driver.
     """
-    ids = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("trusted", F.lit(1))
-    hashed = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("trusted", _hashes(words(F.col("text"))).alias("h"))
+    hashed = marked(docs, trusted).select("trusted", _hashes(words(F.col("text"))).alias("h"))
     h = F.col("h")
     bucket = lambda a: _bucket(a, buckets)
     grams = hashed.select("trusted", F.explode(F.transform(F.concat(h, _joined(h, h, 1)), bucket)).alias("g"))

@@ -99,3 +99,17 @@ def test_every_trusted_document_counts(spark):
     assert max(map(abs, ratios)) < 1e-12
     some = Q.weights(docs, docs.where("doc_id >= 1000").select("doc_id"), BUCKETS)
     assert max(map(abs, some)) > 1e-6
+
+
+@pytest.mark.parametrize("n", [1, 3_000])
+def test_texts_meet_the_ids_in_one_way_whatever_their_number(spread, n):
+    """Few ids were broadcast and more were not, which then sorted the texts."""
+    spark = spread
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, None), (2_500, "c"), (None, "d"), (9_000, "e")], "doc_id long, text string")
+    ids = spark.range(1, n + 1).selectExpr("id as doc_id").unionByName(spark.createDataFrame([(1,), (None,)], "doc_id long"))
+    found = Q.marked(docs, ids)
+    rows = sorted((r.text or "", r.trusted) for r in found.collect())
+    many = 1 if n > 2 else None
+    assert rows == [("", many), ("a", 1), ("b", 1), ("c", many), ("d", None), ("e", None)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan and "SortMergeJoin" not in plan
