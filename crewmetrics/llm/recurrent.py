@@ -48,8 +48,9 @@ RATE, SQUARES = 0.05, 1e-7
 STEEP = 60.0
 #: Texts are packed into streams together up to so many tokens; a longer text alone.
 PACK = 4_000_000
-#: The same where texts are only scored: a task holds several numbers and the words not in the head for each token.
-SCORED_PACK = 1_000_000
+#: The same where texts are only scored: a task holds several numbers and the words not in the head for each token. A
+#: pack takes as many steps as its longest text has tokens, so small ones leave most streams empty.
+SCORED_PACK = 2_000_000
 #: Distinct words that a task counts before it sends them on.
 COUNTED = 400_000
 #: Numbers in one row where weights are averaged.
@@ -176,6 +177,39 @@ class Network:
             state += new
         return states, (old, gates, news, inner)
 
+    def states(self, before: np.ndarray, kept: np.ndarray, state: np.ndarray, given: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The states of ``forward`` where nothing is learnt: each step writes over what the last one needed."""
+        h = self.shape.hidden
+        to_gates, to_news = given
+        gates_by, news_by = -self.w["gates"], self.w["news"] * np.float32(2)
+        steps, n = before.shape
+        states = np.empty((steps, n, h), dtype=state.dtype)
+        old, inner, new, x = (np.empty((n, h), dtype=state.dtype) for _ in range(4))
+        gate, by = (np.empty((n, 2 * h), dtype=state.dtype) for _ in range(2))
+        update, reset = gate[:, :h], gate[:, h:]
+        for t in range(steps):
+            np.multiply(state, kept[t], out=old)
+            np.take(to_gates, before[t], axis=0, out=gate, mode="clip")
+            np.take(to_news, before[t], axis=0, out=x, mode="clip")
+            gate += np.matmul(old, gates_by, out=by)
+            np.minimum(gate, STEEP, out=gate)
+            np.exp(gate, out=gate)
+            gate += 1
+            np.reciprocal(gate, out=gate)
+            np.matmul(old, news_by, out=inner)
+            np.multiply(reset, inner, out=new)
+            new += x
+            np.minimum(new, STEEP, out=new)
+            np.exp(new, out=new)
+            new += 1
+            np.divide(-2, new, out=new)
+            new += 1
+            state = states[t]
+            np.subtract(old, new, out=state)
+            state *= update
+            state += new
+        return states
+
     def _raised(self, logits: np.ndarray, chosen: np.ndarray, steep: bool) -> tuple[np.ndarray, np.ndarray]:
         """Log probabilities of the chosen columns, and all probabilities (in place of ``logits``)."""
         if steep:
@@ -277,7 +311,7 @@ class Network:
         given, steep = self.inputs(), self.steep()
         state = np.zeros((len(sizes), self.shape.hidden), dtype=self.vector.dtype)
         for at, real, before, kept in self.windows(tokens, first, begins, sizes, SCORED):
-            states, _ = self.forward(before, kept, state[: at.shape[1]], given)
+            states = self.states(before, kept, state[: at.shape[1]], given)
             state = states[-1]
             if real.all():
                 found[at.ravel()] = self.output(states.reshape(-1, states.shape[-1]), tokens[at.ravel()], steep=steep)
@@ -361,8 +395,9 @@ class Vocabulary:
 
     def places(self, ws: list[bytes]) -> np.ndarray:
         """Of a text's words and its end; -1 where only the table of counts knows."""
-        found = np.fromiter(map(self.at.get, ws, repeat(-1)), dtype=np.int64, count=len(ws))
-        return np.append(found, 0)
+        found = np.zeros(len(ws) + 1, dtype=np.int32)
+        found[:-1] = np.fromiter(map(self.at.get, ws, repeat(-1)), dtype=np.int32, count=len(ws))
+        return found
 
     def heard(self, ws: list[bytes]) -> np.ndarray:
         """The symbols of a text's words and its end."""
@@ -505,7 +540,7 @@ def score(texts: DataFrame, counts: DataFrame, vocabulary, shape: Shape, weights
             known = np.add.reduceat((head & v.known[flat]).astype(np.int64), begin)
             base = np.add.reduceat(log_count, begin) - lengths * v.log_all
             columns = [
-                *batch.columns[1:],
+                *batch.columns,
                 pa.array(lengths, pa.int64()),
                 pa.array(known, pa.int64()),
                 pa.array(base),
@@ -516,17 +551,19 @@ def score(texts: DataFrame, counts: DataFrame, vocabulary, shape: Shape, weights
 
         held, places, tail, size = [], [], [], 0
         for whole in batches:
-            for i in range(whole.num_rows):
-                ws = words(whole.column(0)[i].as_py())
+            kept, begin = whole.select(rest), 0  # the texts need not be held
+            for i, text in enumerate(whole.column(0)):
+                ws = words(text.as_py())
                 places.append(v.places(ws))
                 unknown = np.flatnonzero(places[-1] < 0)
                 tail.append(Counter([ws[j] for j in unknown.tolist()]))
                 size += len(places[-1])
-                held.append(whole.slice(i, 1))
                 if size >= SCORED_PACK:
-                    yield flush(_joined(held), places, tail)
-                    held, places, tail, size = [], [], [], 0
-        if held:
+                    yield flush(_joined([*held, kept.slice(begin, i + 1 - begin)]), places, tail)
+                    held, places, tail, size, begin = [], [], [], 0, i + 1
+            if begin < whole.num_rows:
+                held.append(kept.slice(begin))
+        if places:
             yield flush(_joined(held), places, tail)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(rest).schema.fields]

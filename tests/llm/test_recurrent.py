@@ -171,3 +171,28 @@ def test_texts_are_scored_in_small_packs_with_the_same_scores(spark, monkeypatch
     small = scored()
     assert small.keys() == whole.keys() == set(range(200))
     assert all(small[i] == pytest.approx(whole[i], rel=1e-5) for i in whole)
+
+
+def test_states_without_learning_are_those_of_the_forward_pass():
+    rng = np.random.default_rng(5)
+    shape = Shape(70)
+    network = Network(shape, rng.normal(0, 0.5, len(shape.start(np.ones(70)))).astype(np.float32))
+    before = rng.integers(0, 70, (9, 13))
+    kept = (rng.random((9, 13, 1)) < 0.8).astype(np.float32)
+    state = rng.normal(0, 0.5, (13, shape.hidden)).astype(np.float32)
+    expected, _ = network.forward(before, kept, state.copy(), network.inputs())
+    assert np.allclose(network.states(before, kept, state.copy(), network.inputs()), expected, atol=1e-6)
+
+
+def test_a_pack_of_scores_spans_batches(spread, monkeypatch):
+    """Rows keep their own scores where packs end within batches and batches within packs."""
+    spark = spread
+    rows = [(i, " ".join(f"w{(i * j) % 17}" for j in range(i % 40))) for i in range(300)]
+    found = []
+    for most in (50, 10**9):
+        monkeypatch.setattr(recurrent, "SCORED_PACK", most)
+        found.append({r.doc_id: r for r in recurrent.report(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()})
+    for i, text in rows:
+        a, b = found[0][i], found[1][i]
+        assert a.n_tokens == b.n_tokens == len(text.split()) + 1 and a.n_known == b.n_known
+        assert abs(a.base_score - b.base_score) < 1e-9 and abs(a.score - b.score) < 1e-4
