@@ -41,6 +41,8 @@ BITS = 28
 #: The same for bytes: 25.5 expected, 46 is 4.5 deviations off.
 BYTES = 46
 WORDS_KEPT = 200_000
+#: Buckets of shingles, a power of two, whose counts every task knows as a byte each.
+BUCKETS = 1 << 22
 
 _rng = random.Random(1)
 _odd = lambda: _rng.getrandbits(64) | 1
@@ -336,18 +338,51 @@ def link(pairs: DataFrame, sets: DataFrame, scratch: Scratch, labels: DataFrame
     return labels
 
 
-def blocked(sets: DataFrame) -> DataFrame:
-    """Of ``sets`` (id, items, component) pairs a < b of different components, among them all at the threshold.
+def _prefixes(codes):
+    """A row for each shingle of a set's prefix that components share, with its place in the set's order."""
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = codes.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                found, places, sizes = [], [], []
+                for items in part.column(2):
+                    items = items.values.to_numpy(zero_copy_only=False)
+                    of = code[items & (BUCKETS - 1)]
+                    order = np.lexsort((items, of))[: len(items) - (4 * len(items) + 4) // 5 + 1]
+                    at = np.flatnonzero(of[order])
+                    found.append(items[order[at]])
+                    places.append(at + 1)
+                    sizes.append(len(items))
+                n = [len(x) for x in found]
+                columns = [np.concatenate(found), *(np.repeat(part.column(c).to_numpy(), n) for c in (0, 1)), np.repeat(sizes, n), np.concatenate(places)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["item", "id", "component", "size", "at"])
+
+    return prefixes
+
+
+def blocked(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of ``sets`` (id, items, component), read twice, pairs a < b of different components, among them all at the threshold.
 
     Shingles are ordered by how many sets hold them, rare ones first. The first one that two sets share has at least the
-    overlap behind it, so it is among the first 1/5 of the larger set and the first 1/9 of the smaller one.
+    overlap behind it, so it is among the first 1/5 of the larger set and the first 1/9 of the smaller one. That holds in
+    any order that is the same for all sets, so shingles are counted by ``BUCKETS`` buckets of their hashes: every task
+    knows the counts, to an eighth of an octave, and only prefixes become rows. Those that one component holds alone come first.
     """
-    items = sets.select("id", "component", F.size("items").alias("size"), F.explode("items").alias("item"))
-    held = items.groupBy("item").agg(
-        F.count(F.lit(1)).alias("n"), (F.min("component") < F.max("component")).alias("shared")
+    items = sets.select("component", F.explode("items").alias("item"))
+    held = items.groupBy(F.col("item").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).agg(
+        F.least(F.lit(255), F.floor(8 * F.log2(F.count(F.lit(1))))).cast("short").alias("code"),
+        (F.min("component") < F.max("component")).alias("shared"),
+    )
+    held = held.where("shared").select("bucket", "code").toArrow()
+    codes = np.zeros(BUCKETS, dtype=np.uint8)  # 0: not shared
+    codes[held["bucket"].to_numpy()] = held["code"].to_numpy()
+    known = sets.sparkSession.sparkContext.broadcast(codes)
+    rows = sets.select("id", "component", "items").mapInArrow(
+        _prefixes(known), "item long, id long, component long, size long, at long"
     )
-    at = F.row_number().over(Window.partitionBy("id").orderBy("n", "item"))
-    placed = items.join(held, "item").withColumn("at", at).where("shared and at <= size - (4 * size + 4) div 5 + 1")
+    placed = scratch.save(rows)
     columns = ("id", "component", "size", "at")
     small = placed.where("at <= size - (8 * size + 8) div 9 + 1").select("item", *(F.col(c).alias(f"{c}_a") for c in columns))
     large = placed.select("item", *(F.col(c).alias(f"{c}_b") for c in columns))
@@ -396,8 +431,8 @@ def near_duplicates(docs: DataFrame, words: int = 2) -> DataFrame:
         labels = link(wide, sets, scratch, labels, WIDE_ROUNDS)
         if not still.isEmpty():
             hot = sets.join(still, "id", "left_semi").join(labels, "id", "left")
-            hot = hot.select("id", "items", F.coalesce("component", "id").alias("component"))
-            labels = link(scratch.save(blocked(hot)), sets, scratch, labels, ROUNDS)
+            hot = scratch.save(hot.select("id", "items", F.coalesce("component", "id").alias("component")))
+            labels = link(scratch.save(blocked(hot, scratch)), sets, scratch, labels, ROUNDS)
     component = F.coalesce("component", "rep")
     return rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")

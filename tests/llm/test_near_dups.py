@@ -175,3 +175,29 @@ def test_shingles_of_any_width_and_bytes_for_bits(spark):
     y = x.copy()
     y[0, : N.BYTES], y[1, : N.BYTES + 1] = 7, 7
     assert N._close(x, y).tolist() == [True, False]
+
+
+def test_prefix_filter_joins_only_prefixes_and_finds_all_pairs(spread):
+    """Sets of one template in many components: no join looks up every shingle, pairs at 0.8 of different components are found."""
+    rng = random.Random(17)
+    template = [rng.randrange(-(2**63), 2**63) for _ in range(60)]
+    sets = []
+    for i in range(120):
+        mine = rng.sample(template, rng.randrange(30, 61)) + [rng.randrange(-(2**63), 2**63) for _ in range(rng.randrange(8))]
+        sets.append((i, sorted(set(mine)), i // 3))
+    want = {
+        (a, b)
+        for a, x, p in sets
+        for b, y, q in sets
+        if a < b and p != q and 100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y))
+    }
+    scratch = Scratch(spread)
+    saved = scratch.save(spread.createDataFrame(sets, "id long, items array<long>, component long").repartition(3))
+    pairs = N.blocked(saved, scratch)
+    assert want and want <= {tuple(r) for r in pairs.collect()}
+    joins = [x for x in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert len(joins) == 1
+    # A prefix of a fifth of a set is all that meets.
+    known = spread.sparkContext.broadcast(np.ones(N.BUCKETS, dtype=np.uint8))
+    rows = saved.select("id", "component", "items").mapInArrow(N._prefixes(known), "item long, id long, component long, size long, at long")
+    assert rows.count() == sum(len(x) - (4 * len(x) + 4) // 5 + 1 for _, x, _ in sets)
