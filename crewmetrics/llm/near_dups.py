@@ -386,7 +386,8 @@ def blocked(sets: DataFrame, scratch: Scratch) -> DataFrame:
     columns = ("id", "component", "size", "at")
     small = placed.where("at <= size - (8 * size + 8) div 9 + 1").select("item", *(F.col(c).alias(f"{c}_a") for c in columns))
     large = placed.select("item", *(F.col(c).alias(f"{c}_b") for c in columns))
-    met = small.join(large, "item").where(
+    # A stored table of prefixes is many times larger in memory than its files, so it is never broadcast.
+    met = small.join(large.hint("merge"), "item").where(
         "component_a <> component_b and (size_a < size_b or size_a = size_b and id_a < id_b) and 5 * size_a >= 4 * size_b "
         "and 9 * least(size_a - at_a + 1, size_b - at_b + 1) >= 4 * (size_a + size_b)"
     )
