@@ -338,6 +338,25 @@ def link(pairs: DataFrame, sets: DataFrame, scratch: Scratch, labels: DataFrame
     return labels
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket that a task's sets (component, items) have shingles in: how many, one component, and if there are others."""
+    n, first, shared = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=bool)
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            bucket = part.column(1).flatten().to_numpy(zero_copy_only=False) & (BUCKETS - 1)
+            component = np.repeat(part.column(0).to_numpy(), part.column(1).value_lengths().to_numpy())
+            new = n[bucket] == 0
+            first[bucket[new]] = component[new]
+            shared[bucket[first[bucket] != component]] = True
+            np.add.at(n, bucket, 1)
+    held = np.flatnonzero(n)
+    for i in range(0, len(held), 1 << 16):
+        at = held[i : i + (1 << 16)]
+        columns = [pa.array(at, pa.int32()), pa.array(n[at]), pa.array(first[at]), pa.array(shared[at])]
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "n", "component", "shared"])
+
+
 def _prefixes(codes):
     """A row for each shingle of a set's prefix that components share, with its place in the set's order."""
 
@@ -367,13 +386,14 @@ def blocked(sets: DataFrame, scratch: Scratch) -> DataFrame:
 
     Shingles are ordered by how many sets hold them, rare ones first. The first one that two sets share has at least the
     overlap behind it, so it is among the first 1/5 of the larger set and the first 1/9 of the smaller one. That holds in
-    any order that is the same for all sets, so shingles are counted by ``BUCKETS`` buckets of their hashes: every task
-    knows the counts, to an eighth of an octave, and only prefixes become rows. Those that one component holds alone come first.
+    any order that is the same for all sets, so shingles are counted by ``BUCKETS`` buckets of their hashes, first within
+    each task: every task then knows the counts, to an eighth of an octave, and only prefixes become rows. Those that one
+    component holds alone come first.
     """
-    items = sets.select("component", F.explode("items").alias("item"))
-    held = items.groupBy(F.col("item").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).agg(
-        F.least(F.lit(255), F.floor(8 * F.log2(F.count(F.lit(1))))).cast("short").alias("code"),
-        (F.min("component") < F.max("component")).alias("shared"),
+    counted = sets.select("component", "items").mapInArrow(_counts, "bucket int, n long, component long, shared boolean")
+    held = counted.groupBy("bucket").agg(
+        F.least(F.lit(255), F.floor(8 * F.log2(F.sum("n")))).cast("short").alias("code"),
+        (F.max("shared") | (F.min("component") < F.max("component"))).alias("shared"),
     )
     held = held.where("shared").select("bucket", "code").toArrow()
     codes = np.zeros(BUCKETS, dtype=np.uint8)  # 0: not shared

@@ -201,3 +201,39 @@ def test_prefix_filter_joins_only_prefixes_and_finds_all_pairs(spread):
     known = spread.sparkContext.broadcast(np.ones(N.BUCKETS, dtype=np.uint8))
     rows = saved.select("id", "component", "items").mapInArrow(N._prefixes(known), "item long, id long, component long, size long, at long")
     assert rows.count() == sum(len(x) - (4 * len(x) + 4) // 5 + 1 for _, x, _ in sets)
+
+
+def test_shingles_of_a_dense_region_are_counted_before_they_become_rows(spread):
+    """A task gives a row for each bucket, however many sets hold its shingles, and the counts are those of all shingles."""
+    rng = random.Random(23)
+    template = [rng.randrange(-(2**63), 2**63) for _ in range(50)]
+    kept = [(i, sorted([*rng.sample(template, 40), i << 23]), i % 3) for i in range(200)]  # the last shingles share bucket 0
+    kept += [(200, sorted(x ^ 1 for x in template), 7)]  # held by one component alone
+    made = []
+    for times in (1, 4):
+        sets = [(i + 1000 * k, items, c) for i, items, c in kept for k in range(times)]
+        df = spread.createDataFrame(sets, "id long, items array<long>, component long").repartition(2)
+        rows = df.select("component", "items").mapInArrow(N._counts, "bucket int, n long, component long, shared boolean").collect()
+        want, holders = {}, {}
+        for _, items, c in sets:
+            for x in items:
+                want[x % N.BUCKETS] = want.get(x % N.BUCKETS, 0) + 1
+                holders.setdefault(x % N.BUCKETS, set()).add(c)
+        got, of = {}, {}
+        for r in rows:
+            got[r.bucket] = got.get(r.bucket, 0) + r.n
+            of.setdefault(r.bucket, set()).update([r.component, *([-1] if r.shared else [])])
+        assert got == want
+        assert {b for b, c in of.items() if len(c) > 1} == {b for b, c in holders.items() if len(c) > 1}
+        made.append(len(rows))
+        assert len(rows) <= 2 * len(want) < sum(len(x) for _, x, _ in sets) / 20
+    assert made[1] < 3 * made[0]  # not in proportion to the sets, which are four times as many
+
+
+def test_blocked_makes_no_row_for_each_shingle(spread, monkeypatch):
+    """Counting reads the sets as they are: nothing explodes them."""
+    monkeypatch.setattr(N.F, "explode", None)
+    items = [list(range(k, k + 40)) for k in (0, 1, 1000)]
+    scratch = Scratch(spread)
+    saved = scratch.save(spread.createDataFrame([(i, x, i) for i, x in enumerate(items)], "id long, items array<long>, component long"))
+    assert (0, 1) in {tuple(r) for r in N.blocked(saved, scratch).collect()}
