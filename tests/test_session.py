@@ -48,3 +48,26 @@ def test_a_task_gets_a_bounded_share_of_a_shuffle(settings, tmp_path, monkeypatc
     sizes = [r["count"] for r in spark.read.parquet(out).groupBy("task").count().collect()]
     assert sum(sizes) == 400_000
     assert max(sizes) < 400_000 / 16  # eight partitions, the session's number, would hold 50,000 each
+
+
+def test_a_task_scans_a_bounded_part_of_a_table(spark, tmp_path, monkeypatch):
+    key = "spark.sql.files.maxPartitionBytes"
+    before, path = spark.conf.get(key), str(tmp_path / "rows")
+    rows = spark.range(400_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x")).coalesce(1)
+    rows.write.option("parquet.block.size", 1 << 20).option("parquet.page.size.row.check.min", 100).parquet(path)
+    stored = session.stored_bytes(spark, path)
+    try:
+        spark.conf.set(key, "1g")
+        session.prepare(spark, path)
+        assert int(spark.conf.get(key)) == session.SCAN_BYTES  # what a task holds of a scan is no share of the table
+        monkeypatch.setattr(session, "SCAN_BYTES", 4 << 20)
+        session.prepare(spark, path)
+        read = spark.read.parquet(path)
+        assert read.rdd.getNumPartitions() >= stored // (4 << 20)
+        sizes = [r["count"] for r in read.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 400_000 and max(sizes) < 400_000 / 3
+        spark.conf.set(key, "2m")
+        session.prepare(spark, path)
+        assert int(spark.conf.get(key)) == 2 << 20  # never more than the session asks for
+    finally:
+        spark.conf.set(key, before)
